@@ -6,7 +6,7 @@ import importlib
 
 from evalspark.catalog.registry import QUERIES, SQL, Query
 
-MODULES = ["scoring"]
+MODULES = ["scoring", "resampling"]
 
 
 def _load() -> None:

@@ -26,10 +26,21 @@ def dedup_predictions(df: DataFrame) -> DataFrame:
     return df.dropDuplicates([TASK, MODEL, ID, *[c for c in ("score", "y_true", "y_pred") if c in df.columns]])
 
 
-def example_positions(df: DataFrame) -> DataFrame:
-    """Position of each distinct example of a task in id order, with the task's size."""
-    placed = group_rank(df.select(TASK, ID).distinct(), [TASK], [ID], "_i", size="_n")
-    return placed.select(TASK, ID, (F.col("_i") - 1).alias("_p"), "_n")
+def by_example(df: DataFrame) -> DataFrame:
+    """One row per (task, example) with the predictions of all models in ``_rows``.
+
+    The array holds one entry per model, so its length is the number of models. It
+    lets each draw be made once for all of them, and spreads the rows over all tasks
+    before they are multiplied by the number of replicates.
+    """
+    rest = [c for c in df.columns if c not in (TASK, ID)]
+    return df.groupBy(TASK, ID).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+
+
+def example_positions(examples: DataFrame) -> DataFrame:
+    """Position of each example of a task in id order, with the task's size."""
+    placed = group_rank(examples, [TASK], [ID], "_i", size="_n")
+    return placed.withColumn("_p", F.col("_i") - 1).drop("_i")
 
 
 def draw_counts(positions: DataFrame, b: int, seed: int) -> DataFrame:
@@ -47,16 +58,20 @@ def draw_counts(positions: DataFrame, b: int, seed: int) -> DataFrame:
 
 
 def replicate_rows(df: DataFrame, b: int, seed: int, method: str = "multinomial") -> DataFrame:
-    """Prediction rows repeated per replicate with their count ``w``; undrawn rows are left out."""
+    """Prediction rows repeated per replicate with their count ``w``.
+
+    Rows that a replicate does not draw are absent (multinomial) or have count 0 (poisson).
+    """
     if method == "poisson":
-        rows = df.withColumn(REPLICATE, F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-        rows = rows.withColumn("_draw", hash_long(seed, F.col(TASK), F.col(REPLICATE), F.col(ID)))
-        return rows.withColumn("w", poisson_count("_draw")).drop("_draw").where("w > 0")
-    if method != "multinomial":
+        drawn = by_example(df).withColumn(REPLICATE, F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+        drawn = drawn.withColumn("_draw", hash_long(seed, F.col(TASK), F.col(REPLICATE), F.col(ID)))
+        drawn = drawn.withColumn("w", poisson_count("_draw"))
+    elif method == "multinomial":
+        placed = example_positions(by_example(df))
+        drawn = placed.join(draw_counts(placed, b, seed), [TASK, "_p"])
+    else:
         raise ValueError(f"unknown resampling method {method!r}")
-    positions = example_positions(df)
-    placed = df.join(positions.drop("_n"), [TASK, ID])
-    return placed.join(draw_counts(positions, b, seed), [TASK, "_p"]).drop("_p")
+    return drawn.select(TASK, ID, REPLICATE, "w", F.inline("_rows"))
 
 
 def bootstrap(
@@ -96,7 +111,7 @@ def bootstrap_macro_f1(
     by = [TASK, MODEL, REPLICATE]
     sums = metrics.class_counts(rows, by, "w")
     total = F.col("n_true") + F.col("n_pred")
-    summed = sums.groupBy(*by).agg(F.sum(2 * F.col("tp") / total).alias("_f1"))
+    summed = sums.groupBy(*by).agg(F.sum(F.when(total > 0, 2 * F.col("tp") / total)).alias("_f1"))
     out = summed.join(largest, [TASK, MODEL]).select(*by, (F.col("_f1") / F.col("_c")).alias("value"))
     if inner == 1:
         return out

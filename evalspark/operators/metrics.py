@@ -1,8 +1,8 @@
 """Scores over predictions ``(keys…, img_id, score, y_true, y_pred)``.
 
 Every function groups by ``by`` and returns those columns plus ``value``. An
-optional ``weight`` column counts a row several times, which is how the
-resampling operators reuse the same code.
+optional ``weight`` column counts a row several times (or not at all), which is how
+the resampling operators reuse the same code.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ def _weight(weight: str | None) -> Column:
 def mean_score(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """Mean of the score column."""
     w = _weight(weight)
-    return df.groupBy(*by).agg((F.sum(F.col("score") * w) / F.sum(w)).alias("value"))
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.col("score") * w), F.sum(w)).alias("value"))
 
 
 def micro_acc(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """Share of rows whose prediction equals the truth."""
     w = _weight(weight)
     hit = (F.col("y_true") == F.col("y_pred")).cast("double")
-    return df.groupBy(*by).agg((F.sum(hit * w) / F.sum(w)).alias("value"))
+    return df.groupBy(*by).agg(F.try_divide(F.sum(hit * w), F.sum(w)).alias("value"))
 
 
 def macro_acc(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def micro_f1(df: DataFrame, by: list[str], weight: str | None = None) -> DataFra
     """F1 of the summed counts."""
     counts = class_counts(df, by, weight)
     return counts.groupBy(*by).agg(
-        (2 * F.sum("tp") / (F.sum("n_true") + F.sum("n_pred"))).alias("value")
+        F.try_divide(2 * F.sum("tp"), F.sum("n_true") + F.sum("n_pred")).alias("value")
     )
 
 

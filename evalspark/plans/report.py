@@ -14,7 +14,7 @@ from evalspark.functions.text import json_labels
 from evalspark.operators import bootstrap as boot
 from evalspark.operators import costs, metrics
 from evalspark.operators.tables import filter_known, union_all
-from evalspark.scaling import stable
+from evalspark.scaling import materialize
 
 logger = logging.getLogger(__name__)
 
@@ -114,12 +114,14 @@ def calc_scores(
         if not names:
             continue
         rows = boot.dedup_predictions(convert(predictions.where(F.col(boot.TASK).isin(names))))
+        # Parsed once; read by the point score, the positions and the replicates.
+        rows = materialize(rows, f"rows-{kind}")
         points.append(point(rows, BY))
         replicates.append(resample(rows, b, seed, method))
     if not points:
         raise ValueError("no predictions of a known task")
     # b values per task and model, read by the interval, the best model and the tests.
-    values = stable(union_all(replicates))
+    values = materialize(union_all(replicates), "replicates")
     scores = union_all(points).withColumnRenamed("value", "mean").join(boot.summarize_ci(values, alpha), BY)
     scores = scores.withColumnsRenamed({boot.TASK: "task", boot.MODEL: "model"})
     bests = boot.best_and_ties(values, alpha).withColumnRenamed(boot.TASK, "task")

@@ -54,6 +54,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows once as Parquet in the shared folder, for results that are read several times."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Row count of the biggest group; counts are combined before the shuffle."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

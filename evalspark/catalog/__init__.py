@@ -6,7 +6,7 @@ import importlib
 
 from evalspark.catalog.registry import QUERIES, SQL, Query
 
-MODULES = ["scoring", "resampling"]
+MODULES = ["scoring", "resampling", "vectors", "ranks", "files"]
 
 
 def _load() -> None:

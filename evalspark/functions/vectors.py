@@ -23,29 +23,29 @@ def as_vector(df: DataFrame, col: str) -> Column:
 
 def l2_normalize(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Scale each vector to unit Euclidean length."""
-    scaled = Normalizer(inputCol="_vec", outputCol="_unit", p=2.0).transform(
-        df.withColumn("_vec", as_vector(df, col))
+    scaled = Normalizer(inputCol="_tmp_vec", outputCol="_tmp_unit", p=2.0).transform(
+        df.withColumn("_tmp_vec", as_vector(df, col))
     )
-    return scaled.withColumn(out or col, vector_to_array("_unit")).drop("_vec", "_unit")
+    return scaled.withColumn(out or col, vector_to_array("_tmp_unit")).drop("_tmp_vec", "_tmp_unit")
 
 
 def fit_center(df: DataFrame, col: str) -> StandardScalerModel:
     """Column means of the vectors, ready to be subtracted from other rows."""
-    scaler = StandardScaler(withMean=True, withStd=False, inputCol="_vec", outputCol="_centred")
-    return scaler.fit(df.select(as_vector(df, col).alias("_vec")))
+    scaler = StandardScaler(withMean=True, withStd=False, inputCol="_tmp_vec", outputCol="_tmp_centred")
+    return scaler.fit(df.select(as_vector(df, col).alias("_tmp_vec")))
 
 
 def center(df: DataFrame, col: str, model: StandardScalerModel, out: str | None = None) -> DataFrame:
     """Subtract the fitted means."""
-    moved = model.transform(df.withColumn("_vec", as_vector(df, col)))
-    return moved.withColumn(out or col, vector_to_array("_centred")).drop("_vec", "_centred")
+    moved = model.transform(df.withColumn("_tmp_vec", as_vector(df, col)))
+    return moved.withColumn(out or col, vector_to_array("_tmp_centred")).drop("_tmp_vec", "_tmp_centred")
 
 
 def center_and_normalize(df: DataFrame, col: str, model: StandardScalerModel, out: str | None = None) -> DataFrame:
     """Subtract the fitted means, then scale to unit length."""
-    moved = model.transform(df.withColumn("_vec", as_vector(df, col)))
-    unit = Normalizer(inputCol="_centred", outputCol="_unit", p=2.0).transform(moved)
-    return unit.withColumn(out or col, vector_to_array("_unit")).drop("_vec", "_centred", "_unit")
+    moved = model.transform(df.withColumn("_tmp_vec", as_vector(df, col)))
+    unit = Normalizer(inputCol="_tmp_centred", outputCol="_tmp_unit", p=2.0).transform(moved)
+    return unit.withColumn(out or col, vector_to_array("_tmp_unit")).drop("_tmp_vec", "_tmp_centred", "_tmp_unit")
 
 
 def layer_norm(col: Column, eps: float = 1e-5) -> Column:

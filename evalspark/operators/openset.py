@@ -58,8 +58,9 @@ def class_products(df: DataFrame, moments: DataFrame, col: str, label: str, id_c
     kind = df.schema[label].dataType.simpleString()
     rows = df.select(F.col(label).alias("_label"), F.col(col).cast("array<double>").alias("_x"), F.col(id_col).alias("_id"))
     keyed = rows.join(plan.select("_label", "_blocks"), "_label")
-    keyed = keyed.withColumn("_block", F.pmod(hash_long("block", F.col("_id")), F.col("_blocks")).cast("int")).drop("_id")
+    keyed = keyed.withColumn("_block", F.pmod(hash_long("block", F.col("_id")), F.col("_blocks")).cast("int")).drop("_id", "_blocks")
     blocks = plan.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    blocks = blocks.drop("_blocks")
 
     def product(data: pa.Table, stats: pa.Table) -> pa.Table:
         if not data.num_rows or not stats.num_rows:

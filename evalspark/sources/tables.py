@@ -33,21 +33,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> Data
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_keyed_json(spark: SparkSession, path: str, value_schema: str, key: str = "id") -> DataFrame:
-    """Files that each hold one JSON object from ids to records: one row per id.
+def read_keyed_json(
+    spark: SparkSession, path: str, value_schema: str, key: str = "id", one_per_line: bool = False
+) -> DataFrame:
+    """JSON objects from ids to records, one object per file or per line: one row per id.
 
-    A JSON document cannot be split, so one file is one task; several files run in parallel.
+    A JSON document cannot be split, so one document is one task; several run in parallel.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.option("wholetext", not one_per_line).text(path)
     records = F.explode(F.from_json("value", f"map<string,{value_schema}>"))
     return text.select(records.alias(key, "_v")).select(key, "_v.*")
 
 
-def read_videos(spark: SparkSession, path: str) -> DataFrame:
+def read_videos(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """Video annotations with segments in seconds and the frame size as numbers."""
     from evalspark.functions.text import resolution, segment
 
-    raw = read_keyed_json(spark, path, VIDEO_SCHEMA, "vid_id")
+    raw = read_keyed_json(spark, path, VIDEO_SCHEMA, "vid_id", one_per_line)
     return raw.select(
         "vid_id",
         F.col("taxnomy").alias("taxonomy"),
@@ -67,13 +69,13 @@ def read_videos(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_coco(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_coco(spark: SparkSession, path: str, strict: bool = True, one_per_line: bool = False) -> DataFrame:
     """Images with the name of their only annotation: ``(img_id, file_name, label)``.
 
     An image with no or several annotations fails the job, or is kept with a null
     label and its count when not strict.
     """
-    doc = spark.read.schema(COCO_SCHEMA).option("multiLine", True).json(path)
+    doc = spark.read.schema(COCO_SCHEMA).option("multiLine", not one_per_line).json(path)
     images = doc.select(F.explode("images").alias("i")).select("i.id", "i.file_name")
     notes = doc.select(F.explode("annotations").alias("a")).groupBy(F.col("a.image_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n"), F.min("a.name").alias("name")

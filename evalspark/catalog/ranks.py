@@ -176,12 +176,12 @@ def part_counts(spark, sf):
     return longtail.class_counts(rows, ["g"], "l_partkey")
 
 
-def tail(name, fn, sql):
+def tail(name, fn, sql, digits=9):
     """Register a statistic of line items per part and return flag."""
 
     @query(name, f"WITH {PARTS} {sql}")
     def run(spark, sf):
-        return rounded(fn(part_counts(spark, sf), ["g"]))
+        return rounded(fn(part_counts(spark, sf), ["g"]), digits)
 
     return run
 
@@ -194,7 +194,8 @@ tail(
 tail(
     "effective_classes",
     longtail.effective_classes,
-    "SELECT g, round(exp(-sum(p * ln(p))), 9) AS value FROM (SELECT g, n / CAST(sum(n) OVER (PARTITION BY g) AS DOUBLE) AS p FROM c) GROUP BY 1",
+    "SELECT g, round(exp(-sum(p * ln(p))), 6) AS value FROM (SELECT g, n / CAST(sum(n) OVER (PARTITION BY g) AS DOUBLE) AS p FROM c) GROUP BY 1",
+    digits=6,
 )
 tail("imbalance_ratio", longtail.imbalance_ratio, "SELECT g, round(max(n) / CAST(min(n) AS DOUBLE), 9) AS value FROM c GROUP BY 1")
 tail(

@@ -10,16 +10,18 @@ TRUE_KEYS = ("y_true", "true_y")
 PRED_KEYS = ("y_pred", "pred_y")
 
 
-def json_label(info: Column, keys: tuple[str, ...]) -> Column:
-    """First present key of the JSON text, as a string."""
-    return F.coalesce(*[F.get_json_object(info, f"$.{key}") for key in keys])
-
-
 def parse_info(df: DataFrame, info: str = "info") -> DataFrame:
-    """Add ``y_true`` and ``y_pred`` strings read from the JSON column."""
-    return df.withColumns(
-        {"y_true": json_label(F.col(info), TRUE_KEYS), "y_pred": json_label(F.col(info), PRED_KEYS)}
-    )
+    """Add ``y_true`` and ``y_pred`` strings read from the JSON column.
+
+    The text is parsed once for all four keys; the first key that is present wins.
+    """
+    keys = TRUE_KEYS + PRED_KEYS
+    parsed = df.withColumn("_info", F.from_json(info, ", ".join(f"{key} string" for key in keys)))
+    first = {
+        name: F.coalesce(*[F.col(f"_info.{key}") for key in options])
+        for name, options in (("y_true", TRUE_KEYS), ("y_pred", PRED_KEYS))
+    }
+    return parsed.withColumns(first).drop("_info")
 
 
 def cast_label(label: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.draws import hash_index, hash_long, poisson_count
@@ -37,20 +37,25 @@ def by_example(df: DataFrame) -> DataFrame:
     return df.groupBy(TASK, ID).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
 
 
-def example_positions(examples: DataFrame) -> DataFrame:
-    """Position of each example of a task in id order, with the task's size."""
-    placed = group_rank(examples, [TASK], [ID], "_i", size="_n")
+def task_sizes(df: DataFrame) -> dict[str, int]:
+    """Number of distinct examples per task."""
+    return {row[0]: row[1] for row in df.groupBy(TASK).agg(F.count_distinct(ID)).collect()}
+
+
+def example_positions(examples: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Position of each example of a task in id order."""
+    placed = group_rank(examples, [TASK], [ID], "_i", largest=max(sizes.values(), default=0))
     return placed.withColumn("_p", F.col("_i") - 1).drop("_i")
 
 
-def draw_counts(positions: DataFrame, b: int, seed: int) -> DataFrame:
+def draw_counts(spark: SparkSession, sizes: dict[str, int], b: int, seed: int) -> DataFrame:
     """How often each position is drawn in each replicate: ``(task_name, _p, replicate, w)``.
 
     Slot s of a replicate picks position ``hash(seed, task, replicate, s) mod n``. The
     draws are shuffled once, on (task, position), which the later join uses again.
     """
-    sizes = positions.groupBy(TASK).agg(F.first("_n").alias("_n"))
-    replicates = sizes.withColumn(REPLICATE, F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    tasks = spark.createDataFrame(sorted(sizes.items()), f"{TASK} string, _n bigint")
+    replicates = tasks.withColumn(REPLICATE, F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     slots = explode_range(replicates, F.lit(0), F.col("_n") - 1, "_slot")
     position = hash_index(F.col("_n"), seed, F.col(TASK), F.col(REPLICATE), F.col("_slot"))
     picked = slots.select(TASK, REPLICATE, position.alias("_p")).repartition(TASK, "_p")
@@ -67,8 +72,9 @@ def replicate_rows(df: DataFrame, b: int, seed: int, method: str = "multinomial"
         drawn = drawn.withColumn("_draw", hash_long(seed, F.col(TASK), F.col(REPLICATE), F.col(ID)))
         drawn = drawn.withColumn("w", poisson_count("_draw"))
     elif method == "multinomial":
-        placed = example_positions(by_example(df))
-        drawn = placed.join(draw_counts(placed, b, seed), [TASK, "_p"])
+        sizes = task_sizes(df)
+        placed = example_positions(by_example(df), sizes)
+        drawn = placed.join(draw_counts(df.sparkSession, sizes, b, seed), [TASK, "_p"])
     else:
         raise ValueError(f"unknown resampling method {method!r}")
     return drawn.select(TASK, ID, REPLICATE, "w", F.inline("_rows"))

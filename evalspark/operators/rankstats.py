@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.draws import hash_index, hash_long
-from evalspark.scaling import group_rank
+from evalspark.scaling import group_rank, largest_group, stable
 
 # Rows per piece when inversions are counted.
 PIECE = 65_536
@@ -48,8 +48,8 @@ def _tied_pairs(df: DataFrame, keys: list[str], cols: list[str], out: str) -> Da
     return sizes.groupBy(*keys).agg((F.sum(F.col("_c") * (F.col("_c") - 1)) / 2).alias(out))
 
 
-def discordant_pairs(df: DataFrame, keys: list[str], x: str, y: str, id_col: str) -> DataFrame:
-    """Number of pairs per group that x and y order in opposite ways.
+def discordant_pairs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Number of pairs per group that ``_x`` and ``_y`` order in opposite ways.
 
     Rows are numbered in (x, y) order and y becomes an integer code. Two codes differ
     first at one binary digit; so for each digit, rows that share the higher digits
@@ -57,10 +57,9 @@ def discordant_pairs(df: DataFrame, keys: list[str], x: str, y: str, id_col: str
     scan per digit, and scans run over pieces of bounded length whose totals are
     carried forward, so the work is n log n and no group meets in one task.
     """
-    codes = df.select(*keys, F.col(y).alias("_y")).distinct()
-    codes = group_rank(codes, keys, ["_y"], "_code")
-    rows = df.select(*keys, id_col, F.col(x).alias("_x"), F.col(y).alias("_y")).join(codes, [*keys, "_y"])
-    rows = group_rank(rows, keys, ["_x", "_y", id_col], "_i", size="_n")
+    largest = largest_group(df, keys)
+    codes = group_rank(df.select(*keys, "_y").distinct(), keys, ["_y"], "_code", largest=largest)
+    rows = group_rank(df.join(codes, [*keys, "_y"]), keys, ["_x", "_y", "_id"], "_i", size="_n", largest=largest)
     digits = F.length(F.bin("_n"))
     scans = rows.select(
         *keys,
@@ -99,12 +98,14 @@ def discordant_pairs(df: DataFrame, keys: list[str], x: str, y: str, id_col: str
 def kendall_tau(df: DataFrame, by: list[str], x: str, y: str, id_col: str) -> DataFrame:
     """Kendall tau-b per group; null when a side is constant."""
     df, keys = _no_keys(df, by)
+    # Read by the pair count, the tie counts and the scan.
+    df = stable(df.select(*keys, F.col(id_col).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y")))
     n = F.count(F.lit(1)).cast("double")
     out = df.groupBy(*keys).agg((n * (n - 1) / 2).alias("_pairs"))
-    out = out.join(_tied_pairs(df, keys, [x], "_tx"), keys)
-    out = out.join(_tied_pairs(df, keys, [y], "_ty"), keys)
-    out = out.join(_tied_pairs(df, keys, [x, y], "_txy"), keys)
-    out = out.join(discordant_pairs(df, keys, x, y, id_col), keys)
+    out = out.join(_tied_pairs(df, keys, ["_x"], "_tx"), keys)
+    out = out.join(_tied_pairs(df, keys, ["_y"], "_ty"), keys)
+    out = out.join(_tied_pairs(df, keys, ["_x", "_y"], "_txy"), keys)
+    out = out.join(discordant_pairs(df, keys), keys)
     ordered = F.col("_pairs") - F.col("_tx") - F.col("_ty") + F.col("_txy")
     free_x, free_y = F.col("_pairs") - F.col("_tx"), F.col("_pairs") - F.col("_ty")
     tau = (ordered - 2 * F.col("discordant")) / (F.sqrt(free_x) * F.sqrt(free_y))

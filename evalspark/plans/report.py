@@ -8,8 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.labels import cast_label, json_label, parse_info
-from evalspark.functions.labels import PRED_KEYS, TRUE_KEYS
+from evalspark.functions.labels import cast_label, parse_info
 from evalspark.functions.text import json_labels
 from evalspark.operators import bootstrap as boot
 from evalspark.operators import costs, metrics
@@ -67,11 +66,6 @@ def array_labels(df: DataFrame) -> DataFrame:
     return df.withColumns({name: json_labels(F.col(name)) for name in ("y_true", "y_pred")})
 
 
-def label_columns(info):
-    """Label texts of a JSON column, as two columns."""
-    return json_label(info, TRUE_KEYS).alias("y_true"), json_label(info, PRED_KEYS).alias("y_pred")
-
-
 def _families(harmful) -> dict[str, tuple[Callable, Callable, Callable]]:
     """Per kind of score: label conversion, point score, replicates."""
 

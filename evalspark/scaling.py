@@ -61,6 +61,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan of fewer splits than cores (one small file); larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Row count of the biggest group; counts are combined before the shuffle."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -73,7 +79,7 @@ def group_rank(
     order: list[Column | str],
     name: str = "rank",
     size: str | None = None,
-    bounded: bool = False,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, and optionally the group size.
 
@@ -81,10 +87,10 @@ def group_rank(
     a task use a window. Otherwise rows are range-partitioned on (keys, order), so
     a hot group spreads over many partitions; the position is then the position
     inside the partition plus the group's row count in earlier partitions.
-    ``bounded`` skips the size check where the caller knows a bound.
+    ``largest`` is the size of the biggest group where the caller has counted already.
     """
     limit = setting(df.sparkSession, "groupRows", GROUP_ROWS)
-    if bounded or largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         window = Window.partitionBy(*keys)
         out = df.withColumn(name, F.row_number().over(window.orderBy(*order)).cast("bigint"))
         if size:
@@ -126,11 +132,15 @@ def explode_range(df: DataFrame, first: str | Column, last: str | Column, name:
     first = F.col(first) if isinstance(first, str) else first
     last = F.col(last) if isinstance(last, str) else last
     first, last = first.cast("bigint"), last.cast("bigint")
+    spark = df.sparkSession
+    # A fixed number, since these few rows would otherwise be merged into one task.
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keys = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
     cut = (
         df.where(last >= first)
         .withColumn("_last", last)
         .withColumn("_start", F.explode(F.sequence(first, last, F.lit(RANGE_STEP).cast("bigint"))))
-        .repartition("_start", *df.columns[:4])
+        .repartition(pieces, "_start", *keys)
     )
     stop = F.least(F.col("_start") + RANGE_STEP - 1, F.col("_last"))
     return cut.withColumn(name, F.explode(F.sequence("_start", stop))).drop("_start", "_last")

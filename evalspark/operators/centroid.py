@@ -15,15 +15,15 @@ from evalspark.operators.neighbours import distances, knn_join
 from evalspark.scaling import MODEL_BYTES, setting, stable
 
 
-def _argmin_udf(points: np.ndarray):
+def _nearest_udf(points: np.ndarray, labels: pa.Array, kind: str):
     from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf("struct<pos:int,dist:double>")
+    @arrow_udf(f"struct<label:{kind},dist:double>")
     def nearest(vectors: pa.Array) -> pa.Array:
         x = matrix(vectors) if len(vectors) else np.zeros((0, points.shape[1]))
         pos = np.round(distances(x, points), 12).argmin(1)
         dist = np.sqrt(((x - points[pos]) ** 2).sum(1))
-        return pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), pa.array(dist)], ["pos", "dist"])
+        return pa.StructArray.from_arrays([labels.take(pa.array(pos)), pa.array(dist)], ["label", "dist"])
 
     return nearest
 
@@ -46,11 +46,10 @@ def nearest_centroid(
     table = centroids.select(F.col(label).alias("_label"), F.col(col).alias("_centre"))
     if model_bytes(table, "_centre") <= limit:
         local = table.orderBy("_label").toArrow()
-        points = matrix(local["_centre"])
-        kind = centroids.schema[label].dataType
-        names = F.array(*[F.lit(v).cast(kind) for v in local["_label"].to_pylist()])
-        scored = df.withColumn("_near", _argmin_udf(points)(F.col(col)))
-        return scored.withColumns({out: F.get(names, F.col("_near.pos")), "dist": F.col("_near.dist")}).drop("_near")
+        kind = centroids.schema[label].dataType.simpleString()
+        nearest = _nearest_udf(matrix(local["_centre"]), local["_label"].combine_chunks(), kind)
+        scored = df.withColumn("_near", nearest(F.col(col)))
+        return scored.withColumns({out: F.col("_near.label"), "dist": F.col("_near.dist")}).drop("_near")
     refs = table.select(F.col("_label").alias("rid"), F.col("_centre").alias(col))
     near = knn_join(df, refs, 1, id_col, col, ref_id="rid")
     near = near.select(F.col("qid").alias(id_col), F.col("rid").alias(out), "dist")

@@ -37,21 +37,22 @@ def macro_acc(df: DataFrame, by: list[str], weight: str | None = None) -> DataFr
 def class_counts(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """True-positive, truth and prediction counts per class.
 
-    Each row gives one truth and one prediction entry; both are added up before the
-    shuffle, so a class that holds most rows costs one partial row per task.
+    Rows are first added up per (truth, prediction) cell, before any shuffle, so a
+    class that holds most rows costs one partial row per task. Only the cells are then
+    split into a truth entry and a prediction entry.
     """
-    w = _weight(weight)
+    cells = df.groupBy(*by, "y_true", "y_pred").agg(F.sum(_weight(weight)).alias("_w"))
     hit = F.col("y_true") == F.col("y_pred")
+    zero = F.lit(0.0)
     entry = F.explode(
         F.array(
-            F.struct(F.col("y_true").alias("label"), w.alias("t"), F.lit(0.0).alias("p"),
-                     F.when(hit, w).otherwise(0.0).alias("tp")),
-            F.struct(F.col("y_pred").alias("label"), F.lit(0.0).alias("t"), w.alias("p"),
-                     F.lit(0.0).alias("tp")),
+            F.struct(F.col("y_true").alias("label"), F.col("_w").alias("t"), zero.alias("p"),
+                     F.when(hit, F.col("_w")).otherwise(zero).alias("tp")),
+            F.struct(F.col("y_pred").alias("label"), zero.alias("t"), F.col("_w").alias("p"), zero.alias("tp")),
         )
     )
     return (
-        df.select(*by, entry.alias("e"))
+        cells.select(*by, entry.alias("e"))
         .groupBy(*by, F.col("e.label").alias("label"))
         .agg(
             F.sum("e.tp").alias("tp"),

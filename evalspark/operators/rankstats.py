@@ -26,9 +26,10 @@ def ordinal_rank(df: DataFrame, by: list[str], value: str, id_col: str, out: str
 
 def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Pearson r, 0 when either side is constant."""
-    r = F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
-    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return df.groupBy(*by).agg(F.when(constant, 0.0).otherwise(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))).alias("value"))
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    constant = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
+    return df.groupBy(*by).agg(F.when(constant, 0.0).otherwise(F.coalesce(r, F.lit(0.0))).alias("value"))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, id_col: str, ties: str = "ordinal") -> DataFrame:
@@ -157,6 +158,7 @@ def permutation_p(
 ) -> DataFrame:
     """(1 + number of shuffles that reach the observed value) / (b + 1)."""
     stat = STATISTICS[statistic]
+    df = stable(df.select(id_col, x, y))
     observed = stat(df, [], x, y, id_col).select(F.round("value", 12).alias("v")).scalar()
     shuffled = stat(permuted(df, x, y, id_col, b, seed), ["replicate"], "x", "y", "position")
     reached = F.count_if(F.round("value", 12) >= observed)
@@ -171,7 +173,7 @@ def internal_agreement(
     ``top`` keeps the models with the highest means.
     """
     mean = sum((F.col(t) for t in tasks[1:]), F.col(tasks[0])) / len(tasks)
-    scored = wide.select(model, *tasks, mean.alias("_mean"))
+    scored = stable(wide.select(model, *tasks, mean.alias("_mean")))
     if top is not None:
         scored = scored.orderBy(F.desc("_mean"), model).limit(top)
     long = scored.unpivot([model, "_mean"], tasks, "task_name", "score")
@@ -194,7 +196,7 @@ def hook_curve(
     df: DataFrame, x: str, y: str, id_col: str, thresholds: list[float], min_models: int, b: int, seed: int
 ) -> DataFrame:
     """Kendall tau above each threshold with a 95 % bootstrap band."""
-    rows = threshold_sweep(df, x, thresholds, min_models)
+    rows = stable(threshold_sweep(df.select(id_col, x, y), x, thresholds, min_models))
     point = kendall_tau(rows, ["threshold"], x, y, id_col).withColumnRenamed("value", "tau")
     band = percentile_band(bootstrap_rank(rows, ["threshold"], x, y, id_col, b, seed), ["threshold"])
     return point.join(band, "threshold")

@@ -31,9 +31,11 @@ def balanced_sample(df: DataFrame, label: str, n: int, seed: int, id_col: str) -
     base = F.floor(F.lit(n) / F.col("_k"))
     quota = (base + F.when(F.col("_c") <= n - base * F.col("_k"), 1).otherwise(0)).cast("bigint")
     classes = classes.select(label, quota.alias("_quota"), "_have")
-    chosen = classes.agg(F.coalesce(F.sum(F.least("_quota", "_have")), F.lit(0)).alias("s")).scalar()
+    chosen = classes.agg(F.sum(F.least("_quota", "_have"))).first()[0] or 0
     marked = ranked.join(classes.select(label, "_quota"), label)
     inside = marked.where(F.col("_r") <= F.col("_quota")).select(*df.columns)
+    if chosen >= n:
+        return inside
     rest = marked.where(F.col("_r") > F.col("_quota")).select(*df.columns, "_h")
     filled = group_rank(rest, [], ["_h", id_col], "_r").where(F.col("_r") <= n - chosen)
     return inside.unionByName(filled.select(*df.columns))

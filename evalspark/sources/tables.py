@@ -40,7 +40,7 @@ def read_keyed_json(
 
     A JSON document cannot be split, so one document is one task; several run in parallel.
     """
-    text = spark.read.option("wholetext", not one_per_line).text(path)
+    text = spark.read.text(path, wholetext=not one_per_line)
     records = F.explode(F.from_json("value", f"map<string,{value_schema}>"))
     return text.select(records.alias(key, "_v")).select(key, "_v.*")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.draws import hash_long
+from evalspark.functions.draws import BITS, hash_long
 from evalspark.scaling import explode_range, group_rank
 
 
@@ -13,9 +13,30 @@ def _shuffled(df: DataFrame, seed: int, id_col: str, tag: str) -> DataFrame:
     return df.withColumn("_h", hash_long(seed, tag, F.col(id_col)))
 
 
+def _share(wanted: Column, have: Column) -> Column:
+    """Share of the hash range that holds the ``wanted`` lowest of ``have`` rows, with a wide margin."""
+    return F.least(F.lit(1.0), (wanted + 8 * F.sqrt(wanted) + 32) / have)
+
+
+def _lowest(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that can be among the ``_quota`` lowest hashes of their group of ``_have`` rows.
+
+    Only a sample-sized part of the data is shuffled afterwards. The part is checked by
+    a count; should any group hold too few rows, nothing is cut away.
+    """
+    low = F.col("_h") <= F.col("_share") * float(2**BITS)
+    held = marked.groupBy(*keys).agg(
+        F.count_if(low).alias("_c"), F.min(F.least("_quota", "_have")).alias("_need")
+    )
+    return marked.where(low) if held.where("_c < _need").isEmpty() else marked
+
+
 def sample_n(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
     """Simple random sample of n rows without replacement (all rows if fewer)."""
-    ranked = group_rank(_shuffled(df, seed, id_col, "simple"), [], ["_h", id_col], "_r")
+    total = F.lit(df.count())
+    rows = _shuffled(df, seed, id_col, "simple")
+    marked = rows.withColumns({"_quota": F.lit(n), "_have": total, "_share": _share(F.lit(n), total)})
+    ranked = group_rank(_lowest(marked, []), [], ["_h", id_col], "_r")
     return ranked.where(F.col("_r") <= n).select(*df.columns)
 
 
@@ -25,20 +46,34 @@ def balanced_sample(df: DataFrame, label: str, n: int, seed: int, id_col: str) -
     Every class gets n // k rows; the remainder goes to classes in hashed order, one
     each. What small classes cannot supply is drawn from the rows not yet chosen.
     """
-    ranked = group_rank(_shuffled(df, seed, id_col, "row"), [label], ["_h", id_col], "_r")
     classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_have"))
-    classes = group_rank(classes.withColumn("_ch", hash_long(seed, "class", F.col(label))), [], ["_ch", label], "_c", size="_k")
+    classes = classes.withColumn("_ch", hash_long(seed, "class", F.col(label)))
+    classes = group_rank(classes, [], ["_ch", label], "_c", size="_k")
     base = F.floor(F.lit(n) / F.col("_k"))
     quota = (base + F.when(F.col("_c") <= n - base * F.col("_k"), 1).otherwise(0)).cast("bigint")
     classes = classes.select(label, quota.alias("_quota"), "_have")
-    chosen = classes.agg(F.sum(F.least("_quota", "_have"))).first()[0] or 0
-    marked = ranked.join(classes.select(label, "_quota"), label)
-    inside = marked.where(F.col("_r") <= F.col("_quota")).select(*df.columns)
-    if chosen >= n:
+    totals = classes.agg(
+        F.coalesce(F.sum(F.least("_quota", "_have")), F.lit(0)).alias("chosen"),
+        F.coalesce(F.sum(F.when(F.col("_have") > F.col("_quota"), F.col("_have"))), F.lit(0)).alias("large"),
+        F.coalesce(F.sum(F.when(F.col("_have") > F.col("_quota"), F.col("_quota"))), F.lit(0)).alias("taken"),
+    ).first()
+    missing = max(n - totals["chosen"], 0)
+    share = _share(F.col("_quota"), F.col("_have"))
+    if missing and totals["large"]:
+        # Low rows of the large classes beyond their quota fill the gap.
+        gap = F.lit(totals["taken"] + missing)
+        share = F.greatest(share, _share(gap, F.lit(totals["large"])))
+    rows = _shuffled(df, seed, id_col, "row")
+    marked = rows.join(classes.withColumn("_share", share), label)
+    ranked = group_rank(_lowest(marked, [label]), [label], ["_h", id_col], "_r")
+    inside = ranked.where(F.col("_r") <= F.col("_quota")).select(*df.columns)
+    if not missing:
         return inside
-    rest = marked.where(F.col("_r") > F.col("_quota")).select(*df.columns, "_h")
-    filled = group_rank(rest, [], ["_h", id_col], "_r").where(F.col("_r") <= n - chosen)
-    return inside.unionByName(filled.select(*df.columns))
+    rest = ranked.where(F.col("_r") > F.col("_quota"))
+    if rest.count() < min(missing, totals["large"] - totals["taken"]):
+        rest = group_rank(marked, [label], ["_h", id_col], "_r").where(F.col("_r") > F.col("_quota"))
+    filled = group_rank(rest.withColumnRenamed("_r", "_in_class"), [], ["_h", id_col], "_r")
+    return inside.unionByName(filled.where(F.col("_r") <= missing).select(*df.columns))
 
 
 def stratified_sample(
@@ -54,9 +89,13 @@ def stratified_sample(
     if n < 2:
         raise ValueError("both labels need at least one row")
     is_train = F.col(split) == "train"
-    train = group_rank(_shuffled(df.where(is_train), seed, id_col, "stratum"), [task, label], ["_h", id_col], "_r")
+    train = df.where(is_train)
     quota = F.when(F.col(label) == 0, n // 2).when(F.col(label) == 1, n - n // 2)
-    kept = train.where(F.col("_r") <= quota).select(*df.columns)
+    strata = train.groupBy(task, label).agg(F.count(F.lit(1)).alias("_have")).withColumn("_quota", quota)
+    strata = strata.dropna(subset=["_quota"]).withColumn("_share", _share(F.col("_quota"), F.col("_have")))
+    marked = _shuffled(train, seed, id_col, "stratum").join(strata, [task, label])
+    ranked = group_rank(_lowest(marked, [task, label]), [task, label], ["_h", id_col], "_r")
+    kept = ranked.where(F.col("_r") <= F.col("_quota")).select(*df.columns)
     return df.where(F.coalesce(~is_train, F.lit(True))).unionByName(kept)
 
 

@@ -32,6 +32,19 @@ def test_balanced_sample_covers_classes_and_is_even(spark, seed):
     assert np.std(list(counts.values())) < np.std([r["count"] for r in plain] + [0] * (k - len(plain)))
 
 
+def test_cut_keeps_the_lowest_hashes(spark):
+    labels = [0] * 20_000 + [1] * 300 + [2] * 40
+    df = labelled(spark, labels)
+    cut = {r["id"] for r in sampling.balanced_sample(df, "y", 900, 4, "id").collect()}
+    ranked = sampling._shuffled(df, 4, "id", "row").select("id", "y", "_h").toPandas().sort_values(["_h", "id"])
+    want = set(ranked.groupby("y").head(300)["id"])
+    rest = ranked[~ranked["id"].isin(want)]
+    assert cut == want | set(rest["id"].head(900 - len(want))) and len(cut) == 900
+    simple = {r["id"] for r in sampling.sample_n(df, 500, 4, "id").collect()}
+    order = sampling._shuffled(df, 4, "id", "simple").select("id", "_h").toPandas().sort_values(["_h", "id"])
+    assert simple == set(order["id"].head(500))
+
+
 def test_same_seed_same_rows(spark):
     df = labelled(spark, range(500))
     first = {r["id"] for r in sampling.sample_n(df, 50, 9, "id").collect()}

@@ -42,11 +42,9 @@ SELECT f1.task_name, f1.model_ckpt, round(macro_f1, 9) AS macro_f1, round(micro_
 FROM f1 JOIN acc USING (task_name, model_ckpt)""",
 )
 def flagship_macro_f1(spark, sf):
-    rows = analysis(spark, sf)
-    f1 = metrics.macro_f1(rows, BY).withColumnRenamed("value", "macro_f1")
-    acc = metrics.micro_acc(rows, BY).withColumnRenamed("value", "micro_acc")
-    joined = rounded(f1.join(acc, BY))
-    return joined.orderBy("task_name", F.desc("macro_f1"), "model_ckpt")
+    scored = metrics.summary(analysis(spark, sf), BY)
+    board = rounded(scored.select(*BY, "macro_f1", "micro_acc"))
+    return board.orderBy("task_name", F.desc("macro_f1"), "model_ckpt")
 
 
 @query(

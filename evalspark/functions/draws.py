@@ -19,8 +19,13 @@ def hash_long(*parts: object) -> Column:
 
 
 def hash_index(n: Column | int, *parts: object) -> Column:
-    """Uniform index in [0, n)."""
-    return F.pmod(hash_long(*parts), F.lit(n).cast("bigint") if isinstance(n, int) else n)
+    """Uniform index in [0, n).
+
+    The fallback never applies for n > 0; it tells Spark that the index is not null, so
+    a later join need not compute the digest a second time in a null filter.
+    """
+    size = F.lit(n).cast("bigint") if isinstance(n, int) else n
+    return F.coalesce(F.pmod(hash_long(*parts), size), F.lit(0))
 
 
 def poisson_limits() -> list[int]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.operators.metrics import macro_f1
+from evalspark.operators.metrics import cells, macro_f1
 
 UNKNOWN = -1
 
@@ -133,12 +133,15 @@ def user_loss_norm(
 
 
 def cost_report(df: DataFrame, by: list[str], harmful: Iterable[int] | DataFrame, costs: Costs = Costs()) -> DataFrame:
-    """Macro F1 (percent), plain error, harm cost, user loss and error with unknowns."""
-    flagged = flag_harmful(df, harmful)
-    sums = flagged.groupBy(*by).agg(
-        _unknown_cost(None, 1.0, 1.0).alias("ce"),
-        _harm_cost(None, costs).alias("psc_esc_cost"),
-        _unknown_cost(None, costs.unknown_as_known, costs.known_as_unknown).alias("ce_unk"),
+    """Macro F1 (percent), plain error, harm cost, user loss and error with unknowns.
+
+    Both halves start from the same (truth, prediction) cells, which Spark computes once.
+    """
+    counted = cells(df, by)
+    sums = flag_harmful(counted, harmful).groupBy(*by).agg(
+        _unknown_cost("w", 1.0, 1.0).alias("ce"),
+        _harm_cost("w", costs).alias("psc_esc_cost"),
+        _unknown_cost("w", costs.unknown_as_known, costs.known_as_unknown).alias("ce_unk"),
     )
     f1 = macro_f1(df, by, present_only=True).withColumn("f1_macro", F.col("value") * 100).drop("value")
     return f1.join(sums, by).withColumn("user_loss", F.col("ce_unk") + F.col("psc_esc_cost"))

@@ -34,25 +34,32 @@ def macro_acc(df: DataFrame, by: list[str], weight: str | None = None) -> DataFr
     return recall.groupBy(*by).agg(F.avg("value").alias("value"))
 
 
+def cells(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """Summed weight ``w`` per (truth, prediction) pair.
+
+    Rows are added up before any shuffle, so a class that holds most rows costs one
+    partial row per task.
+    """
+    return df.groupBy(*by, "y_true", "y_pred").agg(F.sum(_weight(weight)).alias("w"))
+
+
 def class_counts(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """True-positive, truth and prediction counts per class.
 
-    Rows are first added up per (truth, prediction) cell, before any shuffle, so a
-    class that holds most rows costs one partial row per task. Only the cells are then
-    split into a truth entry and a prediction entry.
+    Only the cells are split into a truth entry and a prediction entry, never the rows.
     """
-    cells = df.groupBy(*by, "y_true", "y_pred").agg(F.sum(_weight(weight)).alias("_w"))
     hit = F.col("y_true") == F.col("y_pred")
-    zero = F.lit(0.0)
+    w, zero = F.col("w"), F.lit(0.0)
     entry = F.explode(
         F.array(
-            F.struct(F.col("y_true").alias("label"), F.col("_w").alias("t"), zero.alias("p"),
-                     F.when(hit, F.col("_w")).otherwise(zero).alias("tp")),
-            F.struct(F.col("y_pred").alias("label"), zero.alias("t"), F.col("_w").alias("p"), zero.alias("tp")),
+            F.struct(F.col("y_true").alias("label"), w.alias("t"), zero.alias("p"),
+                     F.when(hit, w).otherwise(zero).alias("tp")),
+            F.struct(F.col("y_pred").alias("label"), zero.alias("t"), w.alias("p"), zero.alias("tp")),
         )
     )
     return (
-        cells.select(*by, entry.alias("e"))
+        cells(df, by, weight)
+        .select(*by, entry.alias("e"))
         .groupBy(*by, F.col("e.label").alias("label"))
         .agg(
             F.sum("e.tp").alias("tp"),
@@ -62,6 +69,17 @@ def class_counts(df: DataFrame, by: list[str], weight: str | None = None) -> Dat
     )
 
 
+def summary(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """Accuracy, balanced accuracy and dense macro F1 from one pass over the rows."""
+    total = F.col("n_true") + F.col("n_pred")
+    f1 = F.when(total > 0, 2 * F.col("tp") / total)
+    return class_counts(df, by, weight).groupBy(*by).agg(
+        F.try_divide(F.sum("tp"), F.sum("n_true")).alias("micro_acc"),
+        F.avg(F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true"))).alias("macro_acc"),
+        (F.sum(f1) / (F.max("label") + 1)).alias("macro_f1"),
+    )
+
+
 def micro_f1(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """F1 of the summed counts."""
     counts = class_counts(df, by, weight)

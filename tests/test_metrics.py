@@ -41,6 +41,9 @@ def test_random_labels_match_direct_formulas(spark, seed):
     assert value(metrics.macro_acc(df, BY)) == pytest.approx(np.mean(recalls), abs=1e-12)
     assert value(metrics.macro_f1(df, BY)) == pytest.approx(dense_macro_f1(t, p), abs=1e-12)
     assert value(metrics.macro_f1(df, BY, n_classes=60)) == pytest.approx(dense_macro_f1(t, p, 60), abs=1e-12)
+    row = metrics.summary(df, BY).first()
+    assert row["micro_acc"] == pytest.approx(acc) and row["macro_acc"] == pytest.approx(np.mean(recalls))
+    assert row["macro_f1"] == pytest.approx(dense_macro_f1(t, p), abs=1e-12)
     present = len(np.union1d(t, p))
     expected = dense_macro_f1(t, p) * (max(t.max(), p.max()) + 1) / present
     assert value(metrics.macro_f1(df, BY, present_only=True)) == pytest.approx(expected, abs=1e-12)

@@ -8,17 +8,23 @@ no draw table and no join, so it is the one to use on very large tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from evalspark.functions.draws import hash_index, hash_long, poisson_count
+from evalspark.functions.draws import hash_index, hash_long, poisson_count, poisson_limits
+from evalspark.functions.vectors import list_column
 from evalspark.operators import costs, metrics
 from evalspark.scaling import explode_range, group_rank
 
 TASK, MODEL, ID = "task_name", "model_ckpt", "img_id"
 REPLICATE = "replicate"
+# Counts held at once by one Arrow step (8 bytes each).
+BATCH_CELLS = 4_000_000
 
 
 def dedup_predictions(df: DataFrame) -> DataFrame:
@@ -48,18 +54,17 @@ def example_positions(examples: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return placed.withColumn("_p", F.col("_i") - 1).drop("_i")
 
 
-def draw_counts(spark: SparkSession, sizes: dict[str, int], b: int, seed: int) -> DataFrame:
-    """How often each position is drawn in each replicate: ``(task_name, _p, replicate, w)``.
+def draws(spark: SparkSession, sizes: dict[str, int], b: int, seed: int) -> DataFrame:
+    """All draws ``(task_name, replicate, _p)``, shuffled once on (task, position).
 
     Slot s of a replicate picks position ``hash(seed, task, replicate, s) mod n``. The
-    draws are shuffled once, on (task, position), which the later join uses again.
+    groupings and the join that follow use the same partitioning.
     """
     tasks = spark.createDataFrame(sorted(sizes.items()), f"{TASK} string, _n bigint")
     replicates = tasks.withColumn(REPLICATE, F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     slots = explode_range(replicates, F.lit(0), F.col("_n") - 1, "_slot")
     position = hash_index(F.col("_n"), seed, F.col(TASK), F.col(REPLICATE), F.col("_slot"))
-    picked = slots.select(TASK, REPLICATE, position.alias("_p")).repartition(TASK, "_p")
-    return picked.groupBy(TASK, "_p", REPLICATE).agg(F.count(F.lit(1)).alias("w"))
+    return slots.select(TASK, REPLICATE, position.alias("_p")).repartition(TASK, "_p")
 
 
 def replicate_rows(df: DataFrame, b: int, seed: int, method: str = "multinomial") -> DataFrame:
@@ -74,33 +79,107 @@ def replicate_rows(df: DataFrame, b: int, seed: int, method: str = "multinomial"
     elif method == "multinomial":
         sizes = task_sizes(df)
         placed = example_positions(by_example(df), sizes)
-        drawn = placed.join(draw_counts(df.sparkSession, sizes, b, seed), [TASK, "_p"])
+        counts = draws(df.sparkSession, sizes, b, seed).groupBy(TASK, "_p", REPLICATE).agg(F.count(F.lit(1)).alias("w"))
+        drawn = placed.join(counts, [TASK, "_p"])
     else:
         raise ValueError(f"unknown resampling method {method!r}")
     return drawn.select(TASK, ID, REPLICATE, "w", F.inline("_rows"))
 
 
+def _add_up(names: list[str], b: int, limits: list[int] | None):
+    """Arrow step: sum each example's replicate counts over rows that agree in ``names``.
+
+    A batch's counts form a matrix (examples x replicates); rows of one model and label
+    pair are added in one step instead of being repeated per replicate.
+    """
+
+    def counts_of(drawn: pa.ListArray) -> np.ndarray:
+        flat = drawn.flatten().to_numpy(zero_copy_only=False)
+        if limits is not None:
+            return np.searchsorted(np.array(limits), flat, side="right").reshape(-1, b)
+        place = drawn.value_parent_indices().to_numpy().astype(np.int64) * b + flat
+        return np.bincount(place, minlength=len(drawn) * b).reshape(-1, b)
+
+    def add(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = part.column("_rows")
+        parent = rows.value_parent_indices()
+        flat = rows.flatten()
+        keys = {TASK: part.column(TASK).take(parent)} | {n: flat.field(n) for n in names if n != TASK}
+        group = pa.table(keys).to_pandas().groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        counts = counts_of(part.column("_draws"))
+        sums = np.add.reduceat(counts[parent.to_numpy()[order]], starts, axis=0)
+        first = pa.array(order[starts])
+        columns = [keys[n].take(first) for n in names] + [list_column(sums.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "_w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            while done < batch.num_rows:
+                # About BATCH_CELLS counts at a time, whatever the number of models.
+                models = max(len(batch.column("_rows")[done]), 1)
+                step = max(1, BATCH_CELLS // (b * models))
+                yield add(batch.slice(done, step))
+                done += step
+
+    return run
+
+
+def replicate_cells(df: DataFrame, columns: list[str], b: int, seed: int, method: str = "multinomial") -> DataFrame:
+    """Counts ``w`` per (task, model, replicate, columns), partly added up in each task.
+
+    The draws are those of ``replicate_rows``. Metrics that read only ``columns`` give
+    the same result on these rows, of which there are far fewer.
+    """
+    names = [TASK, MODEL, *columns]
+    rows = df.select(TASK, MODEL, ID, *columns)
+    if method == "poisson":
+        each = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda r: hash_long(seed, F.col(TASK), r, F.col(ID)))
+        fed = by_example(rows).withColumn("_draws", each)
+    elif method == "multinomial":
+        sizes = task_sizes(rows)
+        placed = example_positions(by_example(rows), sizes)
+        # A position is drawn b times on average, so these lists stay near that length.
+        lists = draws(df.sparkSession, sizes, b, seed).groupBy(TASK, "_p").agg(F.collect_list(REPLICATE).alias("_draws"))
+        fed = placed.join(lists, [TASK, "_p"])
+    else:
+        raise ValueError(f"unknown resampling method {method!r}")
+    schema = rows.select(*names).schema.add("_w", ArrayType(LongType()))
+    step = _add_up(names, b, poisson_limits() if method == "poisson" else None)
+    summed = fed.select(TASK, "_rows", "_draws").mapInArrow(step, schema)
+    return summed.select(*names, F.posexplode("_w").alias(REPLICATE, "w")).where("w > 0")
+
+
 def bootstrap(
     df: DataFrame,
     metric: Callable[..., DataFrame],
     b: int,
     seed: int,
     method: str = "multinomial",
+    columns: list[str] | None = None,
     **options: object,
 ) -> DataFrame:
-    """Metric per (task, model, replicate)."""
-    rows = replicate_rows(df, b, seed, method)
+    """Metric per (task, model, replicate).
+
+    ``columns`` names the plain columns the metric reads; without it whole rows are repeated.
+    """
+    rows = replicate_cells(df, columns, b, seed, method) if columns else replicate_rows(df, b, seed, method)
     return metric(rows, [TASK, MODEL, REPLICATE], weight="w", **options)
 
 
+LABELS = ["y_true", "y_pred"]
+
+
 def bootstrap_mean(df: DataFrame, b: int, seed: int, method: str = "multinomial") -> DataFrame:
     """Replicates of the mean score."""
-    return bootstrap(df, metrics.mean_score, b, seed, method)
+    return bootstrap(df, metrics.mean_score, b, seed, method, ["score"])
 
 
 def bootstrap_accuracy(df: DataFrame, b: int, seed: int, method: str = "multinomial") -> DataFrame:
     """Replicates of the accuracy."""
-    return bootstrap(df, metrics.micro_acc, b, seed, method)
+    return bootstrap(df, metrics.micro_acc, b, seed, method, LABELS)
 
 
 def bootstrap_macro_f1(
@@ -113,7 +192,7 @@ def bootstrap_macro_f1(
     above 1 each replicate is the mean of that many draws.
     """
     largest = df.groupBy(TASK, MODEL).agg((F.greatest(F.max("y_true"), F.max("y_pred")) + 1).alias("_c"))
-    rows = replicate_rows(df, b * inner, seed, method)
+    rows = replicate_cells(df, LABELS, b * inner, seed, method)
     by = [TASK, MODEL, REPLICATE]
     sums = metrics.class_counts(rows, by, "w")
     total = F.col("n_true") + F.col("n_pred")
@@ -135,7 +214,7 @@ def bootstrap_user_loss(
 ) -> DataFrame:
     """Replicates of the normalised user loss; the largest loss is pooled over replicates."""
     return bootstrap(
-        df, costs.user_loss_norm, b, seed, method, harmful=harmful, shared=[TASK, MODEL]
+        df, costs.user_loss_norm, b, seed, method, LABELS, harmful=harmful, shared=[TASK, MODEL]
     )
 
 

@@ -42,9 +42,25 @@ def test_draws_are_paired_and_intervals_cover(spark, method):
         assert r["ci_high"] - r["ci_low"] == pytest.approx(3.92 * spread, rel=0.3)
 
 
+@pytest.mark.parametrize("cells", [10, 4_000_000])
+@pytest.mark.parametrize("method", ["multinomial", "poisson"])
+def test_summed_counts_equal_repeated_rows(spark, monkeypatch, method, cells):
+    monkeypatch.setattr(boot, "BATCH_CELLS", cells)
+    df = predictions(spark, 60, 2)
+    keys = ["model_ckpt", "replicate", "y_true", "y_pred"]
+
+    def table(rows):
+        return sorted(map(tuple, rows.groupBy(*keys).agg(F.sum("w").alias("w")).where("w > 0").select(*keys, "w").collect()))
+
+    summed = table(boot.replicate_cells(df, ["y_true", "y_pred"], 7, 1, method))
+    assert summed == table(boot.replicate_rows(df, 7, 1, method)) and summed
+
+
 def test_unknown_method_is_rejected(spark):
     with pytest.raises(ValueError):
         boot.replicate_rows(predictions(spark, 3), 2, 1, "other")
+    with pytest.raises(ValueError):
+        boot.replicate_cells(predictions(spark, 3), ["score"], 2, 1, "other")
 
 
 def test_holm_known_values(spark):

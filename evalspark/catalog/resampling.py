@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from evalspark.catalog import fixtures as fx
 from evalspark.catalog.registry import query, rounded
-from evalspark.catalog.scoring import analysis
 from evalspark.functions.draws import poisson_limits
 from evalspark.operators import bootstrap as boot
 from evalspark.operators import costs, metrics, sampling

@@ -5,17 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import Interaction, Normalizer, OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.draws import BITS, hash_long
-from evalspark.functions.vectors import as_vector, layer_norm
+from evalspark.functions.vectors import as_vector, l2_normalize, layer_norm, map_vectors, pool_mean
 from evalspark.operators.metrics import macro_f1
 from evalspark.operators.tables import balanced_weights, label_codes
 from evalspark.scaling import stable
@@ -125,8 +126,6 @@ def _task_rows(df: DataFrame, codes: DataFrame, task: str, col: str) -> DataFram
 
 def _center_by_task(df: DataFrame, train: DataFrame, task: str, col: str) -> DataFrame:
     """Subtract each task's training mean and scale to unit length."""
-    from evalspark.functions.vectors import l2_normalize, pool_mean
-
     means = pool_mean(train.select(task, col), [task], col).withColumnRenamed(col, "_mean")
     moved = df.join(means, task).withColumn(col, F.zip_with(F.col(col).cast("array<double>"), "_mean", lambda x, m: x - m))
     return l2_normalize(moved.drop("_mean"), col)
@@ -180,11 +179,7 @@ def multilabel_probe(
     weights = head.fit(rows).coefficients.toArray().reshape(traits, -1)
 
     def predict(df: DataFrame) -> DataFrame:
-        from evalspark.functions.vectors import map_vectors
-
         def score(x):
-            import numpy as np
-
             return 1 / (1 + np.exp(-(x @ weights[:, :-1].T + weights[:, -1])))
 
         return df.withColumn("scores", map_vectors(col, score))
@@ -200,8 +195,3 @@ def multilabel_decide(df: DataFrame, threshold: float = 0.5, scores: str = "scor
         F.zip_with("y_pred", labels, lambda p, t: (p == t).cast("double")), F.lit(0.0), lambda acc, hit: acc + hit
     )
     return out.withColumn("score", right / F.size(labels))
-
-
-def unit_features(df: DataFrame, col: str) -> DataFrame:
-    """Unit-length vector column ``features`` for MLlib estimators."""
-    return Normalizer(inputCol="_x", outputCol="features").transform(df.withColumn("_x", as_vector(df, col))).drop("_x")

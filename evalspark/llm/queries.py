@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from evalspark.llm import chat, line_crf, secrets
+from evalspark.llm import chat, line_crf, perplexity, secrets
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_perplexity_rules": perplexity.op5_perplexity_rules,
     "op8_line_quality": line_crf.op8_line_quality,
 }
 SQL = {"op2_chat_format": chat.SQL, "op4_secret_scan": secrets.SQL}

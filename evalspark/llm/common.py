@@ -147,3 +147,40 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+# Bits of the bitmap of `Bitmap`: 1 MB on driver and tasks, whatever the data size.
+BITMAP_BITS = 1 << 23
+
+
+class Bitmap:
+    """Approximate set of 64-bit ids in a fixed number of bits.
+
+    It only spares the shuffle of rows that cannot match: members always pass, and the more ids there are, the more
+    others pass too, up to all. Results never depend on it.
+    """
+
+    def __init__(self, ids: DataFrame, column: str):
+        bit = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(BITMAP_BITS))
+        word = ids.select(F.floor(bit / 64).cast("int").alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).distinct()
+        rows = word.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))).alias("v")).collect()
+        words = np.zeros(BITMAP_BITS // 64, np.int64)
+        for w, v in rows:  # BITMAP_BITS / 64 rows at most
+            words[w] = v
+        self.data = ids.sparkSession.sparkContext.broadcast(words)
+
+    def split(self, df: DataFrame, column: str, inside: bool) -> DataFrame:
+        """The rows whose id may be in the set, or those whose id is not."""
+        data, name, columns = self.data, "_bit", df.columns
+        bit = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(BITMAP_BITS))
+        keyed = df.withColumn(name, bit)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = batch.column(name).to_numpy()
+                found = ((data.value[bits >> 6] >> (bits & 63)) & 1).astype(bool)
+                rows = np.flatnonzero(found if inside else ~found)
+                if len(rows):
+                    yield batch.select(columns).take(pa.array(rows))
+
+        return keyed.mapInArrow(run, df.schema)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from evalspark.llm import chat, line_crf, perplexity, secrets
+from evalspark.llm import anchors, chat, line_crf, packing, perplexity, secrets
 
 QUERIES = {
+    "op10_fixed_anchors": anchors.op10_fixed_anchors,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_curve_packing": packing.op3_curve_packing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_perplexity_rules": perplexity.op5_perplexity_rules,
     "op8_line_quality": line_crf.op8_line_quality,

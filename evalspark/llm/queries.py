@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evalspark.llm import anchors, chat, line_crf, packing, perplexity, secrets
+from evalspark.llm import anchors, chat, jaccard, line_crf, packing, perplexity, secrets
 
 QUERIES = {
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_fixed_anchors": anchors.op10_fixed_anchors,
     "op2_chat_format": chat.op2_chat_format,
     "op3_curve_packing": packing.op3_curve_packing,

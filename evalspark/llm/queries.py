@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm import anchors, chat, jaccard, line_crf, packing, perplexity, secrets
+from evalspark.llm import anchors, chat, columns, jaccard, line_crf, packing, perplexity, secrets
 
 QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_curve_packing": packing.op3_curve_packing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_perplexity_rules": perplexity.op5_perplexity_rules,
+    "op7_column_dedup": columns.op7_column_dedup,
     "op8_line_quality": line_crf.op8_line_quality,
 }
 SQL = {"op2_chat_format": chat.SQL, "op4_secret_scan": secrets.SQL}

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from evalspark.llm import anchors, chat, columns, jaccard, line_crf, packing, perplexity, secrets
+from evalspark.llm import anchors, chat, columns, jaccard, line_crf, packing, perplexity, product, secrets, subword
 
 QUERIES = {
-    "op9_jaccard_join": jaccard.op9_jaccard_join,
-    "op10_fixed_anchors": anchors.op10_fixed_anchors,
+    "op1_product_quantisation": product.op1_product_quantisation,
     "op2_chat_format": chat.op2_chat_format,
     "op3_curve_packing": packing.op3_curve_packing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_perplexity_rules": perplexity.op5_perplexity_rules,
+    "op6_merge_dropout": subword.op6_merge_dropout,
     "op7_column_dedup": columns.op7_column_dedup,
     "op8_line_quality": line_crf.op8_line_quality,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_fixed_anchors": anchors.op10_fixed_anchors,
 }
 SQL = {"op2_chat_format": chat.SQL, "op4_secret_scan": secrets.SQL}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import Bitmap, Words, kept_table, pieces, table, window_hashes
+from evalspark.llm.common import Bitmap, Words, kept_table, mix, pieces, table, window_hashes
 
 WINDOW, BLOCK = 20, 10
 SALTS = 4
@@ -79,9 +79,30 @@ def _request_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _answers(found: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
-    ids = pa.array(list(found), pa.int64())
-    return pa.RecordBatch.from_arrays([ids, pa.array([np.concatenate(v).tobytes() for v in found.values()], pa.binary())], ["_id", "found"])
+def _answers(owner: np.ndarray, hashes: np.ndarray, shards: int) -> list[tuple]:
+    """Hashes for documents, packed like requests and dealt by document."""
+    ids, row = np.unique(owner, return_inverse=True)
+    return _requests((mix(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int32)[row], 0, row, ids, hashes)
+
+
+def _by_document(answers: DataFrame, kind: type, shards: int) -> DataFrame:
+    """(_id, found): one row for each document with its hashes; the answers stay packed until they meet here."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, hashes = [], []
+        for batch in batches:
+            for ids, sizes, found in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "hashes")), strict=True):
+                owners.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.uint32)))
+                hashes.append(np.frombuffer(found, kind))
+        if owners:
+            owner, found = np.concatenate(owners), np.concatenate(hashes)
+            order = np.argsort(owner, kind="stable")
+            owner, found = owner[order], found[order]
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            values = pa.array([np.unique(v).tobytes() for v in np.split(found, cuts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(owner[np.concatenate([[0], cuts])]), values], ["_id", "found"])
+
+    return answers.repartition(shards, "shard").mapInArrow(gather, "_id bigint, found binary")
 
 
 def block_hits(docs: DataFrame) -> DataFrame:
@@ -122,25 +143,23 @@ def block_hits(docs: DataFrame) -> DataFrame:
             known, times = np.unique(np.concatenate(index[key]), return_counts=True) if key in index else (np.zeros(0, np.uint32), None)
             if not len(known):
                 continue
-            found = defaultdict(list)
+            owners, found = [], []
             for is_block, ids, sizes, hashes in asked:
                 h = np.frombuffer(hashes, np.uint32)
                 place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = known[place] == h
                 if is_block:
                     hit &= times[place] > 1
-                owner = np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.uint32))[hit]
-                cuts = np.flatnonzero(np.diff(owner)) + 1
-                if len(owner):
-                    for o, v in zip(owner[np.concatenate([[0], cuts])], np.split(h[hit], cuts), strict=True):
-                        found[int(o)].append(np.unique(v))
-            if found:
-                yield _answers(found)
+                owners.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.uint32))[hit])
+                found.append(h[hit])
+            rows = _answers(np.concatenate(owners), np.concatenate(found), shards)
+            if rows:
+                yield _request_batch(rows)
 
     asked = _keyed(docs, "text").mapInArrow(ask, REQUEST)
     # The salt that an entry is for; index entries carry it as a negative number.
     lane = F.when(F.col("salt") < 0, -1 - F.col("salt")).otherwise(F.col("salt") % SALTS)
-    return asked.repartition(shards, "shard", lane).mapInArrow(meet, "_id bigint, found binary")
+    return _by_document(asked.repartition(shards, "shard", lane).mapInArrow(meet, REQUEST), np.uint32, shards)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -152,14 +171,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     shards = _shards(spark)
     hits = kept_table(block_hits(docs), "hits")
     texts = Bitmap(hits, "_id").split(_keyed(docs, "text"), "_id", True)
-    joined = texts.join(hits.groupBy("_id").agg(F.collect_list("found").alias("found")), "_id")
+    joined = texts.join(hits, "_id")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 words, ids = Words(batch.column("text")), _ids(batch)
                 hashes, first, row = _runs(words, BLOCK)
-                found = [np.concatenate([np.frombuffer(x, np.uint32) for x in v]) for v in batch.column("found").to_pylist()]
+                found = [np.frombuffer(v, np.uint32) for v in batch.column("found").to_pylist()]
                 near = np.zeros(len(words.hash) + 1, np.int64)
                 cuts = np.searchsorted(row, np.arange(len(ids) + 1))
                 for k, wanted in enumerate(found):
@@ -178,49 +197,39 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 h, i, r = hashes[order], ids[row][order], row[order]
                 lead = np.concatenate([[True], h[1:] != h[:-1]])
                 best = i[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-                lost, own = defaultdict(list), ~lead & (i == best)
-                for k in np.flatnonzero(~lead & (i > best)):
-                    lost[int(i[k])].append(h[k])
-                for k in np.unique(r[own]):
-                    lost[int(ids[k])] = lost[int(ids[k])]
+                # A document that repeats its own window gets an answer too, which is no loss by itself.
+                lost = ~lead & (i > best)
+                owner, gone = i[lost], h[lost]
+                own = np.unique(i[~lead & (i == best)])
+                owner, gone = np.concatenate([owner, own]), np.concatenate([gone, np.zeros(len(own), np.uint64)])
                 rows = _requests((h[lead] % np.uint64(shards)).astype(np.int32), 0, r[lead], ids, h[lead])
-                rows += [
-                    (o % shards, SETTLED, np.array([o]).tobytes(), b"", np.unique(np.array(v, np.uint64)).tobytes())
-                    for o, v in lost.items()
-                ]
+                rows += [(shard, SETTLED, *rest) for shard, _, *rest in _answers(owner, gone, shards)]
                 yield _request_batch(rows)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = defaultdict(list)
         for batch in batches:
-            settled = []
+            rows = []
             for shard, kind, ids, sizes, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == SETTLED:
-                    settled.append((int(np.frombuffer(ids, np.int64)[0]), hashes))
+                    rows.append((shard, kind, ids, sizes, hashes))
                     continue
                 owner = np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.uint32))
                 asked[shard].append((owner, np.frombuffer(hashes, np.uint64)))
-            if settled:
-                ids, hashes = zip(*settled, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], ["_id", "found"])
+            if rows:
+                yield _request_batch(rows)
         for parts in asked.values():
             owner, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((owner, hashes))
             owner, hashes = owner[order], hashes[order]
             lead = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-            best = owner[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-            lost = owner > best
-            order = np.argsort(owner[lost], kind="stable")
-            o, h = owner[lost][order], hashes[lost][order]
-            if len(o):
-                cuts = np.flatnonzero(np.diff(o)) + 1
-                values = [np.unique(v).tobytes() for v in np.split(h, cuts)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(o[np.concatenate([[0], cuts])], pa.int64()), pa.array(values, pa.binary())], ["_id", "found"]
-                )
+            lost = owner > owner[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+            rows = _answers(owner[lost], hashes[lost], shards)
+            if rows:
+                yield _request_batch(rows)
 
     asked = joined.select("_id", "text", "found").mapInArrow(extend, REQUEST)
-    return asked.repartition(shards, "shard").mapInArrow(decide, "_id bigint, found binary")
+    return _by_document(asked.repartition(shards, "shard").mapInArrow(decide, REQUEST), np.uint64, shards)
 
 
 def _kept(batch: pa.RecordBatch, losses: list | None) -> Iterator[tuple[int, int, bytes, bool]]:
@@ -238,8 +247,8 @@ def _kept(batch: pa.RecordBatch, losses: list | None) -> Iterator[tuple[int, int
         h, at = hashes[cuts[k] : cuts[k + 1]], first[cuts[k] : cuts[k + 1]] - words.row_at[k]
         gone = np.ones(len(h), bool)
         gone[np.unique(h, return_index=True)[1]] = False  # a window's later places in the document itself
-        for x in losses[k] or ():
-            gone |= np.isin(h, np.frombuffer(x, np.uint64))
+        if losses[k]:
+            gone |= np.isin(h, np.frombuffer(losses[k], np.uint64))
         step = np.zeros(words.count[k] + 1, np.int64)
         np.add.at(step, at[gone], 1)
         np.add.at(step, at[gone] + WINDOW, -1)
@@ -264,7 +273,7 @@ def without(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
             for batch in pieces(whole, "text"):
                 yield make(batch, list(_kept(batch, batch.column("_found").to_pylist())))
 
-    losses = told.groupBy("_id").agg(F.collect_list("found").alias("_found"))
+    losses = told.withColumnRenamed("found", "_found")
     repeated = marks.split(keyed, "_id", True).join(losses, "_id", "left")
     return marks.split(keyed, "_id", False).mapInArrow(plain, schema).union(repeated.mapInArrow(cut, schema))
 

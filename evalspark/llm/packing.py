@@ -13,6 +13,7 @@ table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,9 @@ LENGTH = 2048
 CLOSE = 1
 DIMENSIONS, BITS = 4, 15
 # Words with their tokens that a worker remembers.
-MEMORY = 200_000
+MEMORY = 400_000
+# A space that white space or the end follows; the tokenizer may then join white space.
+LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 
 
 def tokenizer_path() -> str:
@@ -55,35 +58,28 @@ class Encoder:
         found = self.inner.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
 
-    def plain(self, words: list[str]) -> bool:
-        return all(w and not w[0].isspace() for w in words[1:])
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = []
-        for text in texts:
-            words = text.split(" ")
-            whole = any(s in text for s in self.specials) or not self.plain(words)
-            split.append(None if whole else words)
+        split: list[list[str] | None] = []
+        fresh: set[str] = set()
         known = self.known
-        fresh = {}
-        for words in split:
+        for text in texts:
+            whole = LOOSE_SPACE.search(text) or any(s in text for s in self.specials)
+            words = None if whole else text.split(" ")
+            split.append(words)
             if words is not None:
-                for w in words[1:]:
-                    if w not in known:
-                        fresh[w] = None
-        fresh = list(fresh)
+                fresh.update(set(words[1:]).difference(known))
         if len(known) + len(fresh) > MEMORY:
             known.clear()
-            fresh = list({w for words in split if words is not None for w in words[1:]})
-        known.update(zip(fresh, self._bytes([" " + w for w in fresh]), strict=True))
+            fresh = {w for words in split if words is not None for w in words[1:]}
+        new = list(fresh)
+        known.update(zip(new, self._bytes([" " + w for w in new]), strict=True))
         # First words have no space before them.
-        heads = iter(self._bytes([words[0] if words is not None else text for words, text in zip(split, texts, strict=True)]))
-        out = []
-        for words in split:
-            head = next(heads)
-            out.append(head if words is None else head + b"".join([known[w] for w in words[1:]]))
-        return out
+        heads = self._bytes([text if words is None else words[0] for words, text in zip(split, texts, strict=True)])
+        return [
+            head if words is None else head + b"".join(map(known.__getitem__, words[1:]))
+            for head, words in zip(heads, split, strict=True)
+        ]
 
 
 def signs(ids: np.ndarray) -> np.ndarray:

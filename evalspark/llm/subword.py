@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.common import mix, pieces, table
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED, VARIANTS = 0.1, 17, 2
 SPACE = "▁"
 # Stands for a character outside the vocabulary, whose ids are below.
 UNKNOWN = 0xFFFF
 # Segmented words that a worker remembers.
-MEMORY = 400_000
+MEMORY = 500_000
 
 
 def model_path() -> str:
@@ -93,7 +93,9 @@ class Codec:
         word = np.repeat(np.arange(len(words)), lengths)
         start = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         origin, size = np.arange(len(text)), np.ones(len(text), np.int64)
-        base = mix(np.array([zlib.crc32(w.encode(), self.seed) for w in words], np.uint64) * np.uint64(64) + variant.astype(np.uint64))
+        # A name for each word: its characters with their places, the variant and the seed.
+        marks = mix(text.astype(np.uint64) << np.uint64(32) | start.astype(np.uint64))
+        base = mix(np.add.reduceat(marks, np.cumsum(lengths) - lengths) + mix(variant.astype(np.uint64) + np.uint64(self.seed)))
 
         def score(k: np.ndarray) -> np.ndarray:
             """Score of the candidates of symbols k and k + 1; endless if there is none."""
@@ -149,23 +151,22 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known, lists, fresh = self.known, [], {}
+        known, lists, fresh = self.known, [], set()
         for text in texts:
             words = re.findall(" *[^ ]+| +", " " + text) if text else []
             key = np.uint64(xxhash.xxh3_64_intdigest(text.encode(), seed=self.seed))
             drawn = (mix(key + np.arange(len(words), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
             pairs = list(zip(words, drawn, strict=True))
             lists.append(pairs)
-            for pair in pairs:
-                if pair not in known:
-                    fresh[pair] = None
+            fresh.update(set(pairs).difference(known))
         if len(known) + len(fresh) > MEMORY:
             known.clear()
-            fresh = dict.fromkeys(pair for pairs in lists for pair in pairs)
+            fresh = {pair for pairs in lists for pair in pairs}
         if fresh:
-            words, variants = zip(*fresh, strict=True)
-            known.update(zip(fresh, self.agenda(list(words), np.array(variants)), strict=True))
-        return [b"".join([known[pair] for pair in pairs]) for pairs in lists]
+            order = list(fresh)
+            words, variants = zip(*order, strict=True)
+            known.update(zip(order, self.agenda(list(words), np.array(variants)), strict=True))
+        return [b"".join(map(known.__getitem__, pairs)) for pairs in lists]
 
     def decode(self, ids: bytes) -> str:
         data = b"".join([self.bytes_of[i] for i in np.frombuffer(ids, np.uint32).tolist()])

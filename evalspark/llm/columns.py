@@ -5,8 +5,8 @@ Every byte goes that a 400-byte string covers which also starts elsewhere, judge
 1. Anchors: of the rolling hashes of 32 bytes the smallest in any window of 400 bytes. Equal windows have equal
    anchors, at the same offset. A row holds the anchor, a hash of all bytes that a window with the anchor can
    reach (its surroundings), and the place.
-2. Surroundings that occur at two places are repeated as a whole. Anchors whose surroundings occur in several
-   kinds send one segment of bytes for each kind.
+2. Surroundings that occur at two places are repeated as a whole. Kinds of surroundings of an anchor that share
+   half of a window send one segment of bytes each.
 3. Columns: segments of an anchor stand below each other, anchor under anchor, so equal windows start in the same
    column. From the last column to the first each round inserts one symbol of every segment: the order of the
    suffixes is carried on by a stable sort on the symbol, as in a multi-document Burrows-Wheeler transform, and the
@@ -37,7 +37,10 @@ from evalspark.llm.common import BYTE_CODES, ODD, Bitmap, as_long, kept_table, m
 
 WINDOW, ANCHOR = 400, 32
 LEAD = WINDOW - ANCHOR
-MOST_KINDS = 8192
+HALF = LEAD // 2
+# Steps of the runs that settle anchors with very many kinds.
+STEP = 64
+MOST_KINDS = 65_536
 SEGMENTS = 4096
 
 
@@ -76,13 +79,18 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[found], found
 
 
-PLACES = "a bigint, c bigint, t bigint, u bigint, place bigint, pos int, lead int, tail int"
+PLACES = "a bigint, c bigint, l bigint, r bigint, t bigint, u int, pos int, lead int, tail int"
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """One row for each anchor: its hash, that of its surroundings, the text's name, and where it stands."""
+    """One row for each anchor and kind of surroundings in a text: the hashes, the text's name, and the first place.
+
+    l and r name the HALF bytes before and after the anchor; a window with the anchor holds one of them whole.
+    Surroundings that occur twice in the text are repeated: rows without a hash are spans (pos, tail) of such.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in PLACES.split(", ")]
         for whole in batches:
             for batch in pieces(whole, "text"):
                 data, at = text_bytes(batch.column("text"))
@@ -91,17 +99,34 @@ def places(docs: DataFrame) -> DataFrame:
                     continue
                 row = np.searchsorted(at, found, side="right") - 1
                 lead, tail = np.minimum(found - at[row], LEAD), np.minimum(at[row + 1] - found, WINDOW)
-                view = memoryview(data)
-                around = [
-                    xxhash.xxh3_64_intdigest(view[s:e], seed=int(x))
-                    for s, e, x in zip((found - lead).tolist(), (found + tail).tolist(), lead.tolist(), strict=True)
-                ]
-                t, u = (batch.column(c).to_numpy()[row] for c in ("t", "u"))
+                view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+                ends = list(zip((found - lead).tolist(), (found + tail).tolist(), lead.tolist(), strict=True))
+                around = np.array([digest(view[s:e], seed=x) for s, e, x in ends], np.uint64)
+                at_anchor = found.tolist()
+                left = np.array([digest(view[p - HALF : p], seed=1) if x >= HALF else 0 for p, (_, _, x) in zip(at_anchor, ends, strict=True)], np.uint64)
+                after = [(p + ANCHOR, e) for p, (_, e, _) in zip(at_anchor, ends, strict=True)]
+                right = np.array([digest(view[p : p + HALF], seed=2) if e - p >= HALF else 0 for p, e in after], np.uint64)
                 pos = found - at[row]
-                place = mix(mix(t.view(np.uint64) + pos.astype(np.uint64) * ODD) + u.view(np.uint64))
-                small = [pa.array(x.astype(np.int32)) for x in (pos, lead, tail)]
-                columns = [as_long(hashes), as_long(np.array(around, np.uint64)), pa.array(t), pa.array(u), as_long(place), *small]
-                yield pa.RecordBatch.from_arrays(columns, [part.split()[0] for part in PLACES.split(", ")])
+                order = np.lexsort((pos, around, hashes, row))
+                same = (row[order][1:] == row[order][:-1]) & (hashes[order][1:] == hashes[order][:-1]) & (around[order][1:] == around[order][:-1])
+                fresh = np.concatenate([[True], ~same])
+                twice = np.concatenate([~fresh[1:], [False]]) | ~fresh
+                t, u = (batch.column(c).to_numpy() for c in ("t", "u"))
+                k = order[fresh]
+                columns = [as_long(x[k]) for x in (hashes, around, left, right)]
+                columns += [pa.array(x[row[k]]) for x in (t, u)] + [pa.array(x[k].astype(np.int32)) for x in (pos, lead, tail)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                k = np.sort(order[twice])
+                if len(k):
+                    # Spans of a row that touch or overlap become one.
+                    first, stop = (pos - lead)[k], (pos + tail)[k]
+                    cut = np.concatenate([[True], (row[k][1:] != row[k][:-1]) | (first[1:] > stop[:-1])])
+                    begin = np.flatnonzero(cut)
+                    first, stop, owner = first[begin], np.maximum.reduceat(stop, begin), row[k][begin]
+                    none, zero = pa.nulls(len(begin), pa.int64()), pa.array(np.zeros(len(begin), np.int32))
+                    columns = [none] * 4 + [pa.array(x[owner]) for x in (t, u)]
+                    columns += [pa.array(first.astype(np.int32)), zero, pa.array(stop.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("t", "u", "text").mapInArrow(run, PLACES)
 
@@ -185,31 +210,62 @@ def column_spans(segments: DataFrame) -> DataFrame:
     return segments.repartition("a").sortWithinPartitions("a", "c").select("a", "c", "lead", "data").mapInArrow(run, SPANS)
 
 
-def grouped_spans(segments: DataFrame) -> DataFrame:
-    """The same spans from a grouping of all windows, for anchors with very many kinds of surroundings."""
+def _named_runs(segments: DataFrame, length: int, starts) -> DataFrame:
+    """(a, c, at, name): 128-bit names of runs of `length` bytes of a segment, `at` relative to its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, c, lead, data in zip(*(batch.column(k).to_pylist() for k in ("a", "c", "lead", "data")), strict=True):
-                n = len(data) - WINDOW + 1
-                names = [xxhash.xxh3_128_digest(data[k : k + WINDOW]) for k in range(n)]
-                columns = [pa.array([a] * n), pa.array([c] * n), pa.array(np.arange(n, dtype=np.int32) - lead), pa.array(names, pa.binary())]
+            out = []
+            for row in batch.to_pylist():
+                data, lead = row["data"], row["lead"]
+                for at in starts(row):
+                    if 0 <= at + lead <= len(data) - length:
+                        out.append((row["a"], row["c"], at, xxhash.xxh3_128_digest(data[at + lead : at + lead + length])))
+            if out:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "c", "at", "name"])
 
-    windows = segments.select("a", "c", "lead", "data").mapInArrow(run, "a bigint, c bigint, at int, name binary")
-    # Segments of an anchor differ, so a window of one occurs once in it at its offset.
-    often = windows.groupBy("a", "at", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = windows.join(often, ["a", "at", "name"]).groupBy("a", "c")
-    return found.agg(F.min("at").alias("first"), (F.max("at") + WINDOW).alias("stop"))
+    named = kept_table(segments.mapInArrow(run, "a bigint, c bigint, at int, name binary"), "runs")
+    # Segments of an anchor differ, so equal runs at one offset lie in different segments.
+    often = named.groupBy("a", "at", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return named.join(often, ["a", "at", "name"]).select("a", "c", "at")
+
+
+def grouped_spans(segments: DataFrame) -> DataFrame:
+    """The same spans by groupings, for anchors with very many kinds of surroundings.
+
+    Any window holds a whole run of WINDOW - STEP bytes that starts at a multiple of STEP; only windows around
+    repeated ones of these are named and grouped themselves.
+    """
+    grid = range(-(LEAD // STEP) * STEP, STEP + 1, STEP)
+    coarse = _named_runs(segments, WINDOW - STEP, lambda row: grid)
+    lists = coarse.groupBy("a", "c").agg(F.collect_set("at").alias("runs"))
+    near = segments.join(lists, ["a", "c"])
+    windows = _named_runs(near, WINDOW, lambda row: sorted({k for g in row["runs"] for k in range(g - STEP + 1, g + 1) if -LEAD <= k <= 0}))
+    return windows.groupBy("a", "c").agg(F.min("at").alias("first"), (F.max("at") + WINDOW).alias("stop"))
 
 
 def marks(docs: DataFrame, most_kinds: int = MOST_KINDS) -> DataFrame:
     """(t, u, first, stop): byte spans of texts that repeated windows cover. docs: t, u, text."""
     found = kept_table(places(docs), "places")
-    kinds = found.groupBy("a", "c").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
-    several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
-    known = kinds.join(several, "a").where("kinds > 1 OR lo < hi")
-    hits = kept_table(found.join(known, ["a", "c"]), "hits")
+    inner = found.where("a IS NULL").select("t", "u", F.col("pos").alias("first"), F.col("tail").alias("stop"))
+    found = found.where("a IS NOT NULL").withColumn("place", F.xxhash64("t", "u", "pos"))
+    kinds = found.groupBy("a", "c").agg(*[f(c).alias(n) for f, c, n in ((F.min, "place", "lo"), (F.max, "place", "hi"), (F.max, "l", "l"), (F.max, "r", "r"))])
+    kinds = kept_table(kinds, "kinds")
+    shared = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    halves = kinds.join(shared, "a").select("a", "c", F.explode(F.array("l", "r")).alias("half")).where("half != 0")
+    halves = kept_table(halves, "halves")
+    often = halves.groupBy("a", "half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    partial = kept_table(halves.join(often, ["a", "half"]).select("a", "c").distinct(), "partial")
+    several = partial.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
+    partial = partial.join(several, "a").select("a", "c", "kinds")
+    known = kinds.where("lo < hi").select("a", "c", "lo", "hi").join(partial, ["a", "c"], "full")
+    known = known.join(kinds.select("a", "c", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), ["a", "c"])
+    known = known.select("a", "c", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.coalesce("kinds", F.lit(1)).alias("kinds"))
+    known = kept_table(known, "known")
+    hits = Bitmap(known, "a").split(found, "a", True).drop("l", "r").join(known, ["a", "c"])
+    hits = kept_table(hits, "hits")
     whole = hits.where("lo < hi").select("t", "u", (F.col("pos") - F.col("lead")).alias("first"), (F.col("pos") + F.col("tail")).alias("stop"))
 
     wanted = hits.where("kinds > 1 AND place = lo").dropDuplicates(["a", "c"])
@@ -234,12 +290,12 @@ def marks(docs: DataFrame, most_kinds: int = MOST_KINDS) -> DataFrame:
     partly = partly.select("t", "u", (F.col("pos") + F.col("first")).alias("first"), (F.col("pos") + F.col("stop")).alias("stop"))
     copies = docs.groupBy("t", "u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = copies.select("t", "u", F.lit(0).alias("first"), F.lit(2**31 - 1).alias("stop"))
-    return whole.union(partly).union(copies).distinct()
+    return inner.union(whole).union(partly).union(copies)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("t"), F.xxhash64(text, F.lit(1)).alias("u"), text.alias("text"))
+    return docs.select("doc_id", F.xxhash64(text).alias("t"), F.hash(text).alias("u"), text.alias("text"))
 
 
 DIGESTS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"

@@ -7,7 +7,8 @@ Sets are the distinct 3-word shingles of lower-cased texts (A-Z only); two docum
    links with a leader takes over the leader's group as its own answer, so groups of near copies need no pairs.
 2. Index lists: every set enters the lists of its prefix, the first n - ceil(0.9 n) + 1 shingles in an order that
    puts frequent shingles last. Lists are sorted by set size and skipped in blocks whose sizes or positions cannot
-   reach the overlap; sets that share an answer are skipped as well. What is left is verified exactly.
+   reach the overlap; sets that share an answer are skipped as well. What is left is compared by a sketch that
+   bounds the difference of two sets, then exactly.
 
 The order of shingles only has to be the same everywhere: frequent ones are found per batch, added up by Spark, and
 the `FREQUENT` most frequent are known to all tasks; this bounds a broadcast and has no effect on results.
@@ -35,6 +36,7 @@ FREQUENT = 100_000
 LOWEST = -(2**63)
 TURNS = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
 LIST_BLOCK = 512
+BINS = 128
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,15 @@ def set_names(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(_reduced(np.add, mix(keys ^ TURNS[1]), at) * ODD + np.diff(at).astype(np.uint64))
 
 
-SCAN = "doc_id bigint, n bigint, s bigint, k0 bigint, k1 bigint, token bigint, times bigint"
+def sketches(keys: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """How many shingles of each row fall into each of BINS classes, up to 255."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    counts = np.bincount(row * BINS + (keys >> np.uint64(40)).astype(np.int64) % BINS, minlength=(len(at) - 1) * BINS)
+    counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BINS)
+    return [c.tobytes() for c in counts]
+
+
+SCAN = "doc_id bigint, n bigint, s bigint, k0 bigint, k1 bigint, sketch binary, token bigint, times bigint"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -95,9 +105,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 mins = [_reduced(np.minimum, mix(keys ^ t), at) for t in TURNS]
                 m = batch.num_rows
                 none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), as_long(np.diff(at)), as_long(name), as_long(mins[0]), as_long(mins[1]), none, none], names
-                )
+                longs = [as_long(x) for x in (np.diff(at), name, *mins)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array(sketches(keys, at), pa.binary()), none, none], names)
                 # Copies count once.
                 lead = np.zeros(m, bool)
                 lead[np.unique(name, return_index=True)[1]] = True
@@ -106,7 +115,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 token, times = token[times > 1], times[times > 1]
                 if len(token):
                     none = pa.nulls(len(token), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, none, none, as_long(token), as_long(times)], names)
+                    blank = pa.nulls(len(token), pa.binary())
+                    yield pa.RecordBatch.from_arrays([none, none, none, none, none, blank, as_long(token), as_long(times)], names)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCAN)
 
@@ -129,8 +139,27 @@ def _contents(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of set names whose sets link."""
-    pairs = kept_table(pairs.distinct(), "pairs")
+    """The pairs (a, b) of set names whose sets link.
+
+    The classes of two sets' shingles differ by no more than the sets do, so most pairs fall before any set is sent.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("x", "y")
+            )
+            total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            good = (100 + percent) * apart <= (100 - percent) * total
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    known = sets.select("s", "n", "sketch")
+    paired = pairs.distinct().join(known.select(F.col("s").alias("a"), "n", F.col("sketch").alias("x")), "a")
+    paired = paired.join(known.select(F.col("s").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    pairs = kept_table(paired.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a bigint, b bigint"), "pairs")
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
     contents = kept_table(_contents(docs, kept_table(sets.join(wanted, "s").select("s", "node"), "wanted")), "contents")
 
@@ -255,8 +284,8 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     scanned = kept_table(scan(docs), "shingles")
-    rows = scanned.where("token IS NULL").select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "n", "s", "k0", "k1")
-    sets = rows.where("n > 0").groupBy("s").agg(*[F.min(c).alias(c) for c in ("n", "k0", "k1")], F.min("doc_id").alias("node"))
+    rows = scanned.where("token IS NULL").select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "n", "s", "k0", "k1", "sketch")
+    sets = rows.where("n > 0").groupBy("s").agg(*[F.min(c).alias(c) for c in ("n", "k0", "k1")], F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
     sets = kept_table(sets, "sets")
     frequent = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times"))
     first = kept_table(verified(docs, leader_pairs(sets, percent), sets, percent), "leaders")

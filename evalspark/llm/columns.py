@@ -40,7 +40,7 @@ LEAD = WINDOW - ANCHOR
 HALF = LEAD // 2
 # Steps of the runs that settle anchors with very many kinds.
 STEP = 64
-MOST_KINDS = 65_536
+MOST_KINDS = 16_384
 SEGMENTS = 4096
 
 
@@ -274,7 +274,7 @@ def marks(docs: DataFrame, most_kinds: int = MOST_KINDS) -> DataFrame:
     lists = wanted.groupBy("t", "u").agg(F.collect_list(F.struct("a", "c", "kinds", "pos", "lead", "tail")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             for text, asked in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
                 data = text.as_py().encode()
                 rows = [(w["a"], w["c"], w["kinds"], w["lead"], data[w["pos"] - w["lead"] : w["pos"] + w["tail"]]) for w in asked]
@@ -324,7 +324,7 @@ def digests(docs: DataFrame, most_kinds: int = MOST_KINDS) -> DataFrame:
         return doc_id, len(data), removed, runs, kept.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             spans = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
             texts = (t.as_py().encode() for t in batch.column("text"))
             out = [row(*x) for x in zip(batch.column("doc_id").to_pylist(), texts, spans, strict=True)]

@@ -37,6 +37,8 @@ LOWEST = -(2**63)
 TURNS = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
 LIST_BLOCK = 512
 BINS = 128
+# Pairs whose sketches are compared at a time.
+CHUNK = 65_536
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +84,16 @@ def set_names(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(_reduced(np.add, mix(keys ^ TURNS[1]), at) * ODD + np.diff(at).astype(np.uint64))
 
 
-def sketches(keys: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """How many shingles of each row fall into each of BINS classes, up to 255."""
+def sketches(keys: np.ndarray, at: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """How many shingles of each row fall into each of the classes, up to 255."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    counts = np.bincount(row * BINS + (keys >> np.uint64(40)).astype(np.int64) % BINS, minlength=(len(at) - 1) * BINS)
-    counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BINS)
-    return [c.tobytes() for c in counts]
+    counts = np.bincount(row * bins + (keys >> np.uint64(40)).astype(np.int64) % bins, minlength=(len(at) - 1) * bins)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, bins)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least number of shingles that two sets differ by, from their sketches."""
+    return np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1, dtype=np.int64)
 
 
 SCAN = "doc_id bigint, n bigint, s bigint, k0 bigint, k1 bigint, sketch binary, token bigint, times bigint"
@@ -106,7 +112,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 m = batch.num_rows
                 none = pa.nulls(m, pa.int64())
                 longs = [as_long(x) for x in (np.diff(at), name, *mins)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array(sketches(keys, at), pa.binary()), none, none], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array([x.tobytes() for x in sketches(keys, at)], pa.binary()), none, none], names)
                 # Copies count once.
                 lead = np.zeros(m, bool)
                 lead[np.unique(name, return_index=True)[1]] = True
@@ -148,12 +154,9 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("x", "y")
-            )
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
             total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
-            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
-            good = (100 + percent) * apart <= (100 - percent) * total
+            good = (100 + percent) * apart(x, y) <= (100 - percent) * total
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     known = sets.select("s", "n", "sketch")
@@ -191,7 +194,7 @@ def leader_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 ENTRIES = "shard int, data binary"
-ENTRY = np.dtype([("token", "<u8"), ("s", "<i8"), ("label", "<i8"), ("n", "<u4"), ("at", "<u4")])
+ENTRY = np.dtype([("token", "<u8"), ("s", "<i8"), ("label", "<i8"), ("n", "<u4"), ("at", "<u4"), ("sketch", "u1", (32,))])
 
 
 def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -216,7 +219,7 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                 label = np.where(given.is_null().to_numpy(zero_copy_only=False), name, given.fill_null(0).to_numpy())
                 lead = np.zeros(len(name), bool)
                 lead[np.unique(name, return_index=True)[1]] = True  # copies in a batch enter once
-                size = np.diff(at)
+                size, sketch = np.diff(at), sketches(keys, at, 32)
                 row = np.repeat(np.arange(len(size)), size)
                 part = lead[row]
                 keys, row = keys[part], row[part]
@@ -231,7 +234,7 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                 n = size[row]
                 taken = rank < n - (percent * n + 99) // 100 + 1
                 entries = np.zeros(int(taken.sum()), ENTRY)
-                for field, values in (("token", keys), ("s", name[row]), ("label", label[row]), ("n", n), ("at", rank)):
+                for field, values in (("token", keys), ("s", name[row]), ("label", label[row]), ("n", n), ("at", rank), ("sketch", sketch[row])):
                     entries[field] = values[taken]
                 shard = (entries["token"] % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
@@ -268,6 +271,13 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                 good = (reach >= need) & (g["label"][block][:, None] != g["label"][other][None, :])
                 good &= np.arange(start, block.stop)[:, None] < np.arange(start, stop)[None, :]
                 i, j = np.nonzero(good)
+                near = [
+                    (100 + percent) * apart(g["sketch"][block][i[k : k + CHUNK]], g["sketch"][other][j[k : k + CHUNK]])
+                    <= (100 - percent) * (n[block][i[k : k + CHUNK]] + n[other][j[k : k + CHUNK]])
+                    for k in range(0, len(i), CHUNK)
+                ]
+                near = np.concatenate(near) if near else np.zeros(0, bool)
+                i, j = i[near], j[near]
                 if len(i):
                     a, b = g["s"][block][i], g["s"][other][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])

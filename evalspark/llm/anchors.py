@@ -49,11 +49,11 @@ def _runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    return batch.column("__id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("_id"), *columns)
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("__id"), *columns)
 
 
 REQUEST = "shard int, salt int, ids binary, sizes binary, hashes binary"
@@ -100,9 +100,9 @@ def _by_document(answers: DataFrame, kind: type, shards: int) -> DataFrame:
             owner, found = owner[order], found[order]
             cuts = np.flatnonzero(np.diff(owner)) + 1
             values = pa.array([np.unique(v).tobytes() for v in np.split(found, cuts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(owner[np.concatenate([[0], cuts])]), values], ["_id", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner[np.concatenate([[0], cuts])]), values], ["__id", "found"])
 
-    return answers.repartition(shards, "shard").mapInArrow(gather, "_id bigint, found binary")
+    return answers.repartition(shards, "shard").mapInArrow(gather, "__id bigint, found binary")
 
 
 def block_hits(docs: DataFrame) -> DataFrame:
@@ -170,8 +170,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shards = _shards(spark)
     hits = kept_table(block_hits(docs), "hits")
-    texts = Bitmap(hits, "_id").split(_keyed(docs, "text"), "_id", True)
-    joined = texts.join(hits, "_id")
+    texts = Bitmap(hits, "__id").split(_keyed(docs, "text"), "__id", True)
+    joined = texts.join(hits, "__id")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -228,7 +228,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _request_batch(rows)
 
-    asked = joined.select("_id", "text", "found").mapInArrow(extend, REQUEST)
+    asked = joined.select("__id", "text", "found").mapInArrow(extend, REQUEST)
     return _by_document(asked.repartition(shards, "shard").mapInArrow(decide, REQUEST), np.uint64, shards)
 
 
@@ -260,7 +260,7 @@ def _kept(batch: pa.RecordBatch, losses: list | None) -> Iterator[tuple[int, int
 def without(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
     """Apply `make(batch, rows of _kept)` to every document; documents with no repeat are not shuffled."""
     told = kept_table(repeated_windows(docs), "repeats")
-    marks = Bitmap(told, "_id")
+    marks = Bitmap(told, "__id")
     keyed = _keyed(docs, "*")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,11 +271,11 @@ def without(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
-                yield make(batch, list(_kept(batch, batch.column("_found").to_pylist())))
+                yield make(batch, list(_kept(batch, batch.column("__found").to_pylist())))
 
-    losses = told.withColumnRenamed("found", "_found")
-    repeated = marks.split(keyed, "_id", True).join(losses, "_id", "left")
-    return marks.split(keyed, "_id", False).mapInArrow(plain, schema).union(repeated.mapInArrow(cut, schema))
+    losses = told.withColumnRenamed("found", "__found")
+    repeated = marks.split(keyed, "__id", True).join(losses, "__id", "left")
+    return marks.split(keyed, "__id", False).mapInArrow(plain, schema).union(repeated.mapInArrow(cut, schema))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ class Bitmap:
 
     def split(self, df: DataFrame, column: str, inside: bool) -> DataFrame:
         """The rows whose id may be in the set, or those whose id is not."""
-        data, name, columns = self.data, "_bit", df.columns
+        data, name, columns = self.data, "__bit", df.columns
         bit = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(BITMAP_BITS))
         keyed = df.withColumn(name, bit)
 

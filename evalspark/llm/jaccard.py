@@ -317,14 +317,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each component, once if it is repeated; rows without doc_id stay."""
     found = kept_table(join(docs).where("doc_id IS NOT NULL"), "linked")
     own = F.max(F.col("component_id").eqNullSafe(F.col("doc_id")).cast("int"))
-    told = found.groupBy("doc_id").agg(own.alias("_own"), F.count(F.lit(1)).alias("_n"))
-    told = kept_table(told.where("_own = 0 OR _n > 1").select(F.col("doc_id").alias("_key"), "_own"), "dropped")
-    marks = Bitmap(told, "_key")
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)))
-    plain = marks.split(keyed, "_key", False).select(*docs.columns)
-    judged = marks.split(keyed, "_key", True).join(told, "_key", "left").where("_own IS NULL OR _own = 1")
-    repeated = judged.where("_own = 1").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return plain.union(judged.where("_own IS NULL").select(*docs.columns)).union(repeated)
+    told = found.groupBy("doc_id").agg(own.alias("__own"), F.count(F.lit(1)).alias("__n"))
+    told = kept_table(told.where("__own = 0 OR __n > 1").select(F.col("doc_id").alias("__key"), "__own"), "dropped")
+    marks = Bitmap(told, "__key")
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)))
+    plain = marks.split(keyed, "__key", False).select(*docs.columns)
+    judged = marks.split(keyed, "__key", True).join(told, "__key", "left").where("__own IS NULL OR __own = 1")
+    repeated = judged.where("__own = 1").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return plain.union(judged.where("__own IS NULL").select(*docs.columns)).union(repeated)
 
 
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

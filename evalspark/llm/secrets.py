@@ -117,13 +117,13 @@ def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
 
 
 def findings(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The columns of `versions` with `_spans`: array of (start, kind as index of the rules, end), in order."""
+    """The columns of `versions` with `__spans`: array of (start, kind as index of the rules, end), in order."""
     spark = versions.sparkSession
     keys = F.array(*[F.lit(rule.key) for rule in rules])
     current = F.filter("spans", lambda s: F.array_contains(keys, s["rule"]))
     hits = read_ledger(spark, path).select("blob", current.alias("s")).where(F.size("s") > 0)
     hits = hits.select(
-        F.col("blob").alias("_blob"),
+        F.col("blob").alias("__blob"),
         F.array_sort(
             F.transform(
                 "s",
@@ -131,10 +131,10 @@ def findings(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) ->
                     s["start"].alias("start"), (F.array_position(keys, s["rule"]) - 1).cast("int").alias("kind"), s["end"].alias("end")
                 ),
             )
-        ).alias("_spans"),
+        ).alias("__spans"),
     )
-    keyed = versions.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return keyed.join(hits, "_blob", "left").drop("_blob").withColumn("_spans", F.coalesce("_spans", F.array().cast(f"array<{SPAN}>")))
+    keyed = versions.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return keyed.join(hits, "__blob", "left").drop("__blob").withColumn("__spans", F.coalesce("__spans", F.array().cast(f"array<{SPAN}>")))
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -159,11 +159,11 @@ def redact(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, mark: st
         return F.concat(end["out"], F.substring(F.col("text"), end["at"] + 1, F.length("text")))
 
     found = findings(docs, path, rules)
-    text = F.when(F.size("_spans") > 0, rebuilt(F.col("_spans"))).otherwise(F.col("text"))
-    found = found.withColumn("_new", text)
-    out = {"text": F.col("_new")}
+    text = F.when(F.size("__spans") > 0, rebuilt(F.col("__spans"))).otherwise(F.col("text"))
+    found = found.withColumn("__new", text)
+    out = {"text": F.col("__new")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.size("_spans") > 0, F.length("_new").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(F.size("__spans") > 0, F.length("__new").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
     return found.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
@@ -173,14 +173,14 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "llm-ledger")
     update_ledger(docs, path, known=False)
     found = findings(docs, path)
-    base = F.filter("_spans", lambda s: s["kind"] < len(BASE))
+    base = F.filter("__spans", lambda s: s["kind"] < len(BASE))
 
     def count(i: int) -> Column:
-        return F.size(F.filter("_spans", lambda s: s["kind"] == i)).cast("bigint").alias(f"n_{BASE[i].kind}")
+        return F.size(F.filter("__spans", lambda s: s["kind"] == i)).cast("bigint").alias(f"n_{BASE[i].kind}")
 
     counts = [count(i) for i in range(len(BASE))]
     return found.select(
-        "doc_id", *counts, F.sha2(_listed(base, RULES), 256).alias("base_sha256"), _listed(F.col("_spans"), RULES).alias("spans")
+        "doc_id", *counts, F.sha2(_listed(base, RULES), 256).alias("base_sha256"), _listed(F.col("__spans"), RULES).alias("spans")
     )
 
 

@@ -1,0 +1,122 @@
+"""Vectors, conversations, components and the registered queries."""
+
+import sys
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+
+from evalspark.llm import chat, common, product
+from evalspark.llm.queries import QUERIES, SQL
+
+FOLDER = Path("/root/testdata/sf0.001")
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(120, 24))
+    near = base[:30] + rng.normal(size=(30, 24)) * 0.05
+    x = np.concatenate([base, near, near[:10], base[:5] * 3, base[:1] + rng.normal(size=(40, 24)) * 0.03])
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.array([min([label[i], *label[linked[i]]]) for i in range(len(x))])
+        if (new == label).all():
+            break
+        label = new
+    odd = [(1000, None), (1001, [0.0] * 24), (1002, [float("nan")] * 24), (1003, [None, 1.0]), (1004, [1.0, 2.0]), (None, [9.0] * 24), (1005, [])]
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: tuple(r) for r in product.near_duplicates(df).collect()}
+    for i in range(len(x)):
+        assert got[i] == (i, int(linked[i].sum()), int(label[i]), bool(label[i] == i))
+    for i, _ in odd:
+        assert got[i] == (i, 0, i, True)
+    assert product.near_duplicates(df.where("false")).count() == 0
+
+
+def test_blocks_of_a_hot_list(spark):
+    rng = np.random.default_rng(4)
+    x = np.ones((70, 8)) + rng.normal(size=(70, 8)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, 1, v.tobytes()) for i, v in enumerate(x)], "rep bigint, copies bigint, unit binary")
+    found = product.links(df, 8, block=16).collect()
+    counts = {}
+    for r in found:
+        if r["a"] == r["b"]:
+            counts[r["a"]] = counts.get(r["a"], 0) + r["n"]
+    assert counts == dict.fromkeys(range(70), 69)
+    assert len(found) < 70 * 30  # a forest and counts, not the pairs
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 50 + i) for i in range(20)] + [(7, 7), (300, 200)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in common.components(df, "a", "b").collect()}
+    want = {i: 0 for i in range(41)} | {50 + i: 50 for i in range(20)} | {100: 50, 200: 200, 300: 200}
+    assert got == want
+    assert common.components(df.where("false"), "a", "b").count() == 0
+
+
+def test_chat_round_trip(spark):
+    nasty = ["</turn>", "<turn user>\n", "\\", "a\\<turn", "<\\/turn", None, "", "### x\n</turn>\n", "\\\\</turn>"]
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(nasty)]
+    rows += [(2, 0, "us>er\\", "x"), (None, None, None, None), (3, 0, "user", "q"), (3, 1, "assistant", "a"), (3, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    template = chat.Template()
+    for text in [t for t in nasty if t is not None]:
+        assert template.unescape(template.escape(text)) == text
+        assert "</turn" not in template.escape(text) and "<turn" not in template.escape(text)
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    assert {k: r["n_turns"] for k, r in got.items()} == {1: 9, 2: 1, 3: 3, None: 1}
+    assert {k: r["valid"] for k, r in got.items()} == {1: False, 2: False, 3: False, None: False}
+    assert got[1]["loss_chars"] == sum(len(t or "") for t in nasty[1::2])
+    assert chat.read_back(chat.format_turns(df.where("false"))).count() == 0
+
+
+@pytest.fixture(scope="module")
+def engine():
+    con = duckdb.connect()
+    for name in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="test tables are absent")
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_against_sql(spark, engine, name):
+    df = QUERIES[name](spark, str(FOLDER))
+    result = engine.execute(SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, df.select(*names).collect())) == sorted(
+        repr(r) for r in spark.createDataFrame(result.fetchall(), df.select(*names).schema).collect()
+    )
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="test tables are absent")
+def test_pipeline_stages(spark):
+    """Each stage against what its operator says of the stage's own input."""
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+    import corpus_pipeline as pipeline
+
+    from evalspark.llm import anchors, jaccard, line_crf
+
+    docs = common.table(spark, str(FOLDER), "documents")
+    inputs = []
+    for name, stage in pipeline.STAGES:
+        inputs.append(docs)
+        docs = common.kept_table(stage(spark, docs, str(FOLDER)), name)
+        if name != "packing":
+            assert docs.columns == inputs[0].columns
+    ids = [sorted(r["doc_id"] for r in d.select("doc_id").collect()) for d in inputs]
+    model = line_crf.fit(inputs[0], common.table(spark, str(FOLDER), "labels"))
+    assert ids[1] == sorted(r["doc_id"] for r in line_crf.score(inputs[0], model).where("predicted = 1").collect())
+    assert ids[2] == sorted(r["doc_id"] for r in jaccard.join(inputs[1]).where("doc_id = component_id").collect())
+    cut = {r["doc_id"]: r for r in anchors.digests(inputs[2]).collect()}
+    assert ids[3] == sorted(k for k, r in cut.items() if not r["n_removed"] or r["n_removed"] < r["n_words"])
+    assert ids[4] == ids[3]
+    assert {r["doc_id"] for r in docs.collect()} == set(ids[4])

@@ -48,6 +48,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.sql.files.minPartitionNum", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

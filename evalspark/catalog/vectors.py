@@ -53,7 +53,7 @@ def center_vectors(spark, sf):
 
 @query(
     "layer_norm",
-    ELEMS + ", s AS (SELECT vec_id, avg(x) AS m, avg(x * x) - avg(x) * avg(x) AS v FROM elems GROUP BY 1) SELECT elems.vec_id AS id, CAST(j AS INTEGER) AS j, round((x - m) / sqrt(v + 1e-5), 9) AS value FROM elems JOIN s ON elems.vec_id = s.vec_id",
+    ELEMS + ", s AS (SELECT vec_id, avg(x) AS m, var_pop(x) AS v FROM elems GROUP BY 1) SELECT elems.vec_id AS id, CAST(j AS INTEGER) AS j, round((x - m) / sqrt(v + 1e-5), 9) AS value FROM elems JOIN s ON elems.vec_id = s.vec_id",
 )
 def layer_norm(spark, sf):
     rows = fx.embeddings(spark, sf)

@@ -49,20 +49,20 @@ def center_and_normalize(df: DataFrame, col: str, model: StandardScalerModel, ou
 
 
 def layer_norm(col: Column, eps: float = 1e-5) -> Column:
-    """Subtract the mean of the row's values and divide by their deviation."""
+    """Subtract the mean of the row's values, then divide by the deviation of what is left."""
     values = col.cast("array<double>")
     size = F.size(values)
-    sums = F.aggregate(
-        values,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
-        lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q")),
-        lambda acc: F.struct(
-            (acc["s"] / size).alias("mean"),
-            F.sqrt(acc["q"] / size - acc["s"] / size * acc["s"] / size + eps).alias("dev"),
-        ),
-    )
-    # The repeated struct is computed once per row, not once per element.
-    return F.zip_with(values, F.array_repeat(sums, size), lambda x, m: (x - m["mean"]) / m["dev"])
+
+    def total(x: Column, of) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + of(v))
+
+    def scaled(centred: Column) -> Column:
+        deviation = F.sqrt(total(centred, lambda v: v * v) / size + eps)
+        return F.zip_with(centred, F.array_repeat(deviation, size), lambda v, d: v / d)
+
+    # An array of one element binds a value, so it is computed once per row.
+    centred = F.zip_with(values, F.array_repeat(total(values, lambda v: v) / size, size), lambda v, m: v - m)
+    return F.get(F.transform(F.array(centred), scaled), F.lit(0))
 
 
 def first_token(patches: Column) -> Column:

@@ -166,7 +166,14 @@ def bootstrap(
     ``columns`` names the plain columns the metric reads; without it whole rows are repeated.
     """
     rows = replicate_cells(df, columns, b, seed, method) if columns else replicate_rows(df, b, seed, method)
-    return metric(rows, [TASK, MODEL, REPLICATE], weight="w", **options)
+    found = metric(rows, [TASK, MODEL, REPLICATE], weight="w", **options)
+    return complete(found, df, b) if method == "poisson" else found
+
+
+def complete(replicates: DataFrame, df: DataFrame, b: int) -> DataFrame:
+    """All b replicates of every task and model; one that draws no row has a null value."""
+    every = df.select(TASK, MODEL).distinct().withColumn(REPLICATE, F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    return every.join(replicates, [TASK, MODEL, REPLICATE], "left")
 
 
 LABELS = ["y_true", "y_pred"]
@@ -198,6 +205,8 @@ def bootstrap_macro_f1(
     total = F.col("n_true") + F.col("n_pred")
     summed = sums.groupBy(*by).agg(F.sum(F.when(total > 0, 2 * F.col("tp") / total)).alias("_f1"))
     out = summed.join(largest, [TASK, MODEL]).select(*by, (F.col("_f1") / F.col("_c")).alias("value"))
+    if method == "poisson":
+        out = complete(out, df, b * inner)
     if inner == 1:
         return out
     grouped = out.withColumn(REPLICATE, F.floor(F.col(REPLICATE) / inner).cast("int"))

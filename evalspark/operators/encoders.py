@@ -45,7 +45,7 @@ def list_encoders() -> list[str]:
 
 def get_encoder(org: str) -> Encoder:
     if org not in _encoders:
-        raise ValueError(f"Org '{org}' not found.")
+        raise ValueError(f"no encoder family is registered as {org!r}")
     return _encoders[org]
 
 

@@ -138,8 +138,14 @@ def check_equal_n(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def assert_equal_n(df: DataFrame, by: list[str]) -> None:
-    """Fail when the groups differ in size."""
+def assert_equal_n(df: DataFrame, by: list[str], within: str | None = None) -> None:
+    """Fail when the groups differ in size, or those with the same value of ``within``."""
+    if within:
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).groupBy(within)
+        odd = sizes.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo < hi").first()
+        if odd:
+            raise ValueError(f"{odd[within]} has between {odd['lo']} and {odd['hi']} rows")
+        return
     row = check_equal_n(df, by).first()
     if row["min_n"] != row["max_n"]:
         raise ValueError(f"groups have between {row['min_n']} and {row['max_n']} rows")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.draws import hash_long
 from evalspark.functions.vectors import as_vector, list_column, map_vectors, matrix
 from evalspark.operators.centroid import nearest_centroid
-from evalspark.scaling import MODEL_BYTES, stable
+from evalspark.scaling import MODEL_BYTES, group_rank, stable
 
 # Rows per task-sized block when products of vectors are summed.
 BLOCK_ROWS = 8192
@@ -137,10 +137,32 @@ def pooled_covariance(
 
 
 def whitening(precision: np.ndarray, diagonal: bool = False) -> np.ndarray:
-    """Matrix L with ``L L^T`` equal to the precision, or to its diagonal only."""
+    """Matrix L with ``L L^T`` equal to the precision, which may be singular, or to its diagonal only."""
     if diagonal:
         return np.diag(np.sqrt(np.diag(precision)))
-    return np.linalg.cholesky(precision)
+    values, axes = np.linalg.eigh((precision + precision.T) / 2)
+    return axes * np.sqrt(np.maximum(values, 0))
+
+
+def precision_of(covariance: np.ndarray) -> np.ndarray:
+    """Inverse on the axes along which the data vary; the others do not count."""
+    values, axes = np.linalg.eigh((covariance + covariance.T) / 2)
+    least = values.max(initial=0) * len(values) * np.finfo(float).eps
+    weights = np.divide(1.0, values, out=np.zeros_like(values), where=values > least)
+    return (axes * weights) @ axes.T
+
+
+def quantile(df: DataFrame, value: str, id_col: str, pct: float) -> float:
+    """Percentile of a column, interpolated between the two rows around it, found by rank."""
+    rows = df.select(value, id_col).where(F.col(value).isNotNull())
+    count = rows.count()
+    if not count:
+        raise ValueError("a percentile needs at least one row")
+    place = pct * (count - 1)
+    low = int(place)
+    ranked = group_rank(rows, [], [value, id_col], largest=count)
+    near = [r[0] for r in ranked.where(F.col("rank").isin(low + 1, min(low + 2, count))).orderBy("rank").select(value).collect()]
+    return near[0] + (place - low) * (near[-1] - near[0])
 
 
 def min_mahalanobis(
@@ -200,10 +222,7 @@ def openset_fit(
     predict_known = base(train)
     moments = stable(class_moments(train, col, label))
     covariance = pooled_covariance(train, moments, col, label, id_col, shrink)
-    try:
-        precision = np.linalg.inv(covariance)
-    except np.linalg.LinAlgError:
-        precision = np.linalg.pinv(covariance)
-    own = min_mahalanobis(train, moments, precision, col, label, id_col, diagonal)
-    threshold = own.agg(F.percentile("d2", F.lit(pct))).first()[0]
+    precision = precision_of(covariance)
+    own = stable(min_mahalanobis(train, moments, precision, col, label, id_col, diagonal).select("d2", id_col))
+    threshold = quantile(own, "d2", id_col, pct)
     return OpenSet(predict_known, moments, precision, threshold, col, label, id_col, unknown, diagonal)

@@ -66,7 +66,7 @@ def array_labels(df: DataFrame) -> DataFrame:
     return df.withColumns({name: json_labels(F.col(name)) for name in ("y_true", "y_pred")})
 
 
-def _families(harmful) -> dict[str, tuple[Callable, Callable, Callable]]:
+def _families(harmful, inner: int = 1) -> dict[str, tuple[Callable, Callable, Callable]]:
     """Per kind of score: label conversion, point score, replicates."""
 
     def user_loss(df, by):
@@ -75,10 +75,13 @@ def _families(harmful) -> dict[str, tuple[Callable, Callable, Callable]]:
     def user_loss_replicates(df, b, seed, method):
         return boot.bootstrap_user_loss(df, harmful, b, seed, method)
 
+    def macro_f1_replicates(df, b, seed, method):
+        return boot.bootstrap_macro_f1(df, b, seed, method, inner)
+
     return {
         "mean": (lambda df: df, metrics.mean_score, boot.bootstrap_mean),
         "accuracy": (int_labels, metrics.micro_acc, boot.bootstrap_accuracy),
-        "macro_f1": (int_labels, metrics.macro_f1, boot.bootstrap_macro_f1),
+        "macro_f1": (int_labels, metrics.macro_f1, macro_f1_replicates),
         "multilabel": (array_labels, metrics.multilabel_macro_f1, boot.bootstrap_multilabel),
         "user_loss": (int_labels, user_loss, user_loss_replicates),
     }
@@ -92,24 +95,29 @@ def calc_scores(
     method: str = "multinomial",
     task_scores: dict[str, str] | None = None,
     harmful: Iterable[int] | DataFrame = (),
+    inner: int = 1,
+    equal_n: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores ``(task, model, mean, bootstrap_mean, ci_low, ci_high)`` and bests ``(task, best, ties)``.
 
     All tasks with the same kind of score are computed together, so the number of
-    Spark jobs does not grow with the number of tasks.
+    Spark jobs does not grow with the number of tasks. A macro-F1 replicate is the mean of ``inner`` draws. Models
+    of a task with different numbers of rows are an error unless ``equal_n`` is false.
     """
     task_scores = TASK_SCORES if task_scores is None else task_scores
     present = {row[0] for row in predictions.select(boot.TASK).distinct().collect()}
     for name in sorted(present - set(task_scores)):
         logger.warning("No score for task '%s'.", name)
     points, replicates = [], []
-    for kind, (convert, point, resample) in _families(harmful).items():
+    for kind, (convert, point, resample) in _families(harmful, inner).items():
         names = sorted(t for t in present if task_scores.get(t) == kind)
         if not names:
             continue
         rows = boot.dedup_predictions(convert(predictions.where(F.col(boot.TASK).isin(names))))
         # Parsed once; read by the point score, the positions and the replicates.
         rows = materialize(rows, f"rows-{kind}")
+        if equal_n:
+            metrics.assert_equal_n(rows, BY, within=boot.TASK)
         points.append(point(rows, BY))
         replicates.append(resample(rows, b, seed, method))
     if not points:

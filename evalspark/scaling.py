@@ -61,12 +61,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan of fewer splits than cores (one small file); larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Row count of the biggest group; counts are combined before the shuffle."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,8 @@ row follows. Readers join the two, so a run that failed half-way is never seen.
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,11 +40,12 @@ class RunInfo:
     hostname: str = ""
 
 
-def run_id(info: RunInfo) -> Column:
-    """Repeatable id of a run from its key and time."""
-    return F.xxhash64(
-        F.lit(info.task_name.lower()), F.lit(info.model_org), F.lit(info.model_ckpt), F.lit(info.n_train), F.lit(info.posix)
-    )
+RUN_KEY = ["task_name", "model_org", "model_ckpt", "n_train", "posix"]
+
+
+def attempt_id() -> int:
+    """Id of one call of `write_report`: later calls have larger ids, and no two share one."""
+    return (time.time_ns() >> 10 << 10) + uuid.uuid4().int % 1024
 
 
 def prediction_info(y_true: Column, y_pred: Column, **extra: Column) -> Column:
@@ -52,21 +55,28 @@ def prediction_info(y_true: Column, y_pred: Column, **extra: Column) -> Column:
 
 
 def write_report(predictions: DataFrame, info: RunInfo, folder: str) -> None:
-    """Append the predictions ``(img_id, score, info)`` of one run, then its experiments row."""
+    """Append the predictions ``(img_id, score, info)`` of one run, then its experiments row.
+
+    Both carry the id of this attempt, so predictions of an attempt that failed before its experiments row are never
+    joined. A later attempt with the same key and time supersedes an earlier one.
+    """
     spark = predictions.sparkSession
-    task = info.task_name.lower()
-    rows = predictions.select("img_id", "score", "info", run_id(info).alias("experiment_id"), F.lit(task).alias("task_name"))
+    task, attempt = info.task_name.lower(), attempt_id()
+    rows = predictions.select("img_id", "score", "info", F.lit(attempt).cast("bigint").alias("experiment_id"), F.lit(task).alias("task_name"))
     rows.write.mode("append").partitionBy("task_name").parquet(f"{folder}/predictions")
     values = (
-        0, task, info.model_org, info.model_ckpt, info.n_train, json.dumps(info.exp_cfg), json.dumps(info.argv),
+        attempt, task, info.model_org, info.model_ckpt, info.n_train, json.dumps(info.exp_cfg), json.dumps(info.argv),
         {k: float(v) for k, v in info.splits.items()}, info.git_commit, float(info.posix), info.gpu_name, info.hostname,
     )
-    row = spark.createDataFrame([values], EXPERIMENTS_SCHEMA).withColumn("id", run_id(info))
+    row = spark.createDataFrame([values], EXPERIMENTS_SCHEMA)
     row.coalesce(1).write.mode("append").parquet(f"{folder}/experiments")
 
 
 def read_experiments(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(EXPERIMENTS_SCHEMA).parquet(f"{folder}/experiments")
+    """The last attempt of every run."""
+    rows = spark.read.schema(EXPERIMENTS_SCHEMA).parquet(f"{folder}/experiments")
+    last = rows.groupBy(*RUN_KEY).agg(F.max_by(F.struct(*rows.columns), "id").alias("_run"))
+    return last.select("_run.*")
 
 
 def read_predictions(spark: SparkSession, folder: str) -> DataFrame:

@@ -118,3 +118,22 @@ def test_long_tail_formulas(spark, counts):
     }
     for fn, want in expected.items():
         assert fn(df, []).first()["value"] == pytest.approx(want, abs=1e-9), fn.__name__
+
+
+def test_poisson_keeps_every_replicate(spark):
+    rows = [("t", "m", str(i), 1.0, 1, 1) for i in range(2)]
+    df = spark.createDataFrame(rows, "task_name string, model_ckpt string, img_id string, score double, y_true int, y_pred int")
+    for found in (boot.bootstrap_mean(df, 40, 3, "poisson"), boot.bootstrap_macro_f1(df, 40, 3, "poisson")):
+        values = {r[boot.REPLICATE]: r["value"] for r in found.collect()}
+        assert sorted(values) == list(range(40))
+        assert None in values.values()
+
+
+def test_unequal_counts_are_an_error(spark):
+    from evalspark.plans import report
+
+    rows = [("newt", m, str(i), 1.0, "1", "1") for m, n in (("a", 3), ("b", 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "task_name string, model_ckpt string, img_id string, score double, y_true string, y_pred string")
+    with pytest.raises(ValueError, match="between 2 and 3"):
+        report.calc_scores(df, b=3)
+    assert report.calc_scores(df, b=3, equal_n=False)[0].count() == 2

@@ -137,6 +137,25 @@ def test_half_written_run_is_invisible(spark):
     assert "PartitionFilters: [isnotnull(task_name" in pruned
 
 
+def test_failed_attempt_and_retry(spark, monkeypatch):
+    folder = shared_folder(spark, "store-test")
+    rows = spark.createDataFrame([("1", 1.0, "{}"), ("2", 0.0, "{}")], "img_id string, score double, info string")
+    info = store.RunInfo("NeWT", "o", "a")
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+
+        def fail(self, *args, **kwargs):
+            raise RuntimeError("lost before the experiments row")
+
+        patch.setattr(type(spark), "createDataFrame", fail)
+        store.write_report(rows, info, folder)
+    store.write_report(rows, info, folder)
+    assert store.read_results(spark, folder).count() == 2
+    store.write_report(rows.where("img_id = '1'"), info, folder)
+    assert [r["img_id"] for r in store.read_results(spark, folder).collect()] == ["1"]
+    store.write_report(rows, store.RunInfo("NeWT", "o", "b"), folder)
+    assert store.read_results(spark, folder).count() == 3
+
+
 def test_audit_reports_every_kind(spark):
     files = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "name string, content string")
     manifest = files.where("name <> 'c'").select("name", F.md5("content").alias("md5")).withColumn("md5", F.when(F.col("name") == "b", "0").otherwise(F.upper("md5")))

@@ -195,3 +195,24 @@ def test_encoder_registry(spark, caplog):
     assert out == {1: ([6.0, 3.0], [[6.0, 3.0], [7.0, 4.0]]), 2: ([1.0, 0.0], [[1.0, 0.0], [2.0, 1.0]])}
     with pytest.raises(ValueError):
         encoders.embed(df, "absent", "a", "s")
+
+
+def test_layer_norm_far_from_zero(spark):
+    x = 3000 + 0.01 * np.random.default_rng(0).normal(size=64)
+    row = spark.createDataFrame([(x.tolist(),)], "v array<double>").select(vectors.layer_norm(F.col("v")).alias("v")).first()
+    assert np.allclose(row["v"], (x - x.mean()) / np.sqrt(x.var() + 1e-5), atol=1e-9)
+
+
+def test_singular_covariance(spark):
+    rng = np.random.default_rng(1)
+    flat = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 5))
+    precision = openset.precision_of(np.cov(flat.T))
+    root = openset.whitening(precision)
+    assert np.allclose(root @ root.T, np.linalg.pinv(np.cov(flat.T), rcond=1e-10))
+
+
+def test_quantile_by_rank(spark):
+    values = np.random.default_rng(2).normal(size=101)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id bigint, d double")
+    for pct in (0.0, 0.5, 0.95, 1.0):
+        assert np.isclose(openset.quantile(df, "d", "id", pct), np.quantile(values, pct))

@@ -12,9 +12,11 @@ table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ CLOSE = 1
 DIMENSIONS, BITS = 4, 15
 # Words with their tokens that a worker remembers.
 MEMORY = 400_000
+# Latin letters, and marks before them, come before this character.
+LATIN_END = "\u0250"
 # A space that white space or the end follows; the tokenizer may then join white space.
 LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 
@@ -39,21 +43,48 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def rank_path() -> str:
+    """The vocabulary of `tokenizer_path` as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 class Encoder:
     """Token ids as the tokenizer gives them; words seen before are looked up.
 
     A word with the space before it is encoded alone, which the tokenizer itself does, as long as no white space
-    follows that space; texts with other spacing or with a special token are encoded whole.
+    follows that space; texts with other spacing or with a special token are encoded whole. With `ranks`, the same
+    vocabulary for a faster library, that library encodes words of Latin letters, where both give equal ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
+        self.fast = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.inner = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
+    def _words(self, words: list[str]) -> None:
+        """Remember the ids of words, each with a space before it."""
+        if self.fast:
+            encode = self.fast.encode_ordinary
+            for w in words:
+                if w.isascii() or max(w) < LATIN_END:
+                    self.known[w] = array("I", encode(" " + w)).tobytes()
+            words = [w for w in words if w not in self.known]
+        self.known.update(zip(words, self._bytes([" " + w for w in words]), strict=True))
+
     def _bytes(self, texts: list[str]) -> list[bytes]:
         found = self.inner.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
@@ -72,8 +103,7 @@ class Encoder:
         if len(known) + len(fresh) > MEMORY:
             known.clear()
             fresh = {w for words in split if words is not None for w in words[1:]}
-        new = list(fresh)
-        known.update(zip(new, self._bytes([" " + w for w in new]), strict=True))
+        self._words(list(fresh))
         # First words have no space before them.
         heads = self._bytes([text if words is None else words[0] for words, text in zip(split, texts, strict=True)])
         return [
@@ -124,11 +154,11 @@ def id_type(path: str) -> type:
     return np.uint16 if Encoder(path).inner.get_vocab_size(with_added_tokens=True) < 1 << 16 else np.uint32
 
 
-def tokens(docs: DataFrame, path: str, kind: type, close: int = CLOSE) -> DataFrame:
+def tokens(docs: DataFrame, path: str, kind: type, close: int = CLOSE, ranks: str | None = None) -> DataFrame:
     """doc_id, curve key, number of tokens, ids, and a hash of them, per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, ranks)
         end = np.array([close], np.uint32).tobytes()
         table_of_signs = signs(np.arange(encoder.inner.get_vocab_size(with_added_tokens=True) + 1))
         for whole in batches:
@@ -155,12 +185,13 @@ PIECES = (
 )
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, ranks: str | None = None) -> DataFrame:
     """Pieces of all documents in sequences of `length` tokens, neighbours on the curve after each other."""
-    path = path or tokenizer_path()
+    if path is None:
+        path, ranks = tokenizer_path(), rank_path()
     # The row number is fixed by writing it.
     kind = id_type(path)
-    encoded = kept_table(tokens(docs, path, kind).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    encoded = kept_table(tokens(docs, path, kind, ranks=ranks).withColumn("row", F.monotonically_increasing_id()), "tokens")
     small = encoded.select("row", "doc_id", "key", "n", "crc")
     order = ["key", "doc_id", "crc", "row"]
     ranged = small.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -3,8 +3,10 @@
 Sets are the distinct 3-word shingles of lower-cased texts (A-Z only); two documents link when the intersection is
 90 % of the union or more. Equal sets are one set.
 
-1. Answers from similar sets: sets that share a min-hash are compared with two leaders of their group only. A set that
-   links with a leader takes over the leader's group as its own answer, so groups of near copies need no pairs.
+1. Answers from similar sets: sets that share a min-hash are compared with the leader of their group only, the one
+   that shares most min-hashes with most sets and so stands nearest to the text that others were made from. A set that
+   links with a leader takes over the leader's group as its own answer, so groups of near copies need no pairs. Sets
+   without an answer choose leaders among themselves in a second round.
 2. Index lists: every set enters the lists of its prefix, the first n - ceil(0.9 n) + 1 shingles in an order that
    puts frequent shingles last. Lists are sorted by set size and skipped in blocks whose sizes or positions cannot
    reach the overlap; sets that share an answer are skipped as well. What is left is compared by a sketch that
@@ -34,9 +36,13 @@ from evalspark.llm.common import ODD, Bitmap, Words, as_long, components, kept_t
 SHINGLE, PERCENT = 3, 90
 FREQUENT = 100_000
 LOWEST = -(2**63)
-TURNS = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
+TURN = np.uint64(0x13198A2E03707344)
+MINS, ROUNDS = 8, 2
 LIST_BLOCK = 512
-BINS = 128
+# Bits of a set's sketch, and of its folded form in the index lists.
+BITS, LIST_BITS = 1024, 512
+# Index lists are dealt to so many tasks for each shuffle partition, so that a task holds little.
+SHARDS = 4
 # Pairs whose sketches are compared at a time.
 CHUNK = 65_536
 
@@ -81,26 +87,46 @@ def _reduced(ufunc, values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def set_names(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
     """64-bit name of each row's set."""
-    return mix(_reduced(np.add, mix(keys ^ TURNS[1]), at) * ODD + np.diff(at).astype(np.uint64))
+    return mix(_reduced(np.add, mix(keys ^ TURN), at) * ODD + np.diff(at).astype(np.uint64))
 
 
-def sketches(keys: np.ndarray, at: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """How many shingles of each row fall into each of the classes, up to 255."""
+def min_hashes(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Least shingle of each row in each of MINS classes; the largest number where there is none."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    counts = np.bincount(row * bins + (keys >> np.uint64(40)).astype(np.int64) % bins, minlength=(len(at) - 1) * bins)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, bins)
+    out = np.full((len(at) - 1) * MINS, ~np.uint64(0))
+    np.minimum.at(out, row * MINS + (keys % np.uint64(MINS)).astype(np.int64), keys)
+    return out
+
+
+def sketches(keys: np.ndarray, at: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """For each row and class of shingles, whether the row has an odd number of them; packed to bytes."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = (keys >> np.uint64(40)).astype(np.int64) % bits
+    out = np.zeros((len(at) - 1, bits // 8), np.uint8)
+    for k in range(0, len(out), LIST_BLOCK):
+        stop = min(k + LIST_BLOCK, len(out))
+        part = slice(at[k], at[stop])
+        odd = np.bincount((row[part] - k) * bits + place[part], minlength=(stop - k) * bits) & 1
+        out[k:stop] = np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1)
+    return out
+
+
+def folded(sketch: np.ndarray, bits: int = LIST_BITS) -> np.ndarray:
+    """The sketches with fewer bits, which divide those they have."""
+    return np.bitwise_xor.reduce(sketch.reshape(len(sketch), -1, bits // 8), axis=1)
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Least number of shingles that two sets differ by, from their sketches."""
-    return np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    """Least number of shingles that two sets differ by: classes where one has an odd number and the other has not."""
+    x, y = (np.ascontiguousarray(v).view(np.uint64) for v in (x, y))
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
-SCAN = "doc_id bigint, n bigint, s bigint, k0 bigint, k1 bigint, sketch binary, token bigint, times bigint"
+SCAN = "doc_id bigint, n bigint, s bigint, mins array<bigint>, sketch binary, token bigint, times bigint"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """For every row its set's size, name and two min-hashes; and rows with the shingles that sets of a batch share."""
+    """For every row its set's size, name, min-hashes and sketch; and rows with the shingles that sets of a batch share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in SCAN.split(", ")]
@@ -108,11 +134,11 @@ def scan(docs: DataFrame) -> DataFrame:
             for batch in pieces(whole, "text"):
                 keys, at = shingle_sets(batch.column("text"))
                 name = set_names(keys, at)
-                mins = [_reduced(np.minimum, mix(keys ^ t), at) for t in TURNS]
                 m = batch.num_rows
+                mins = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * MINS), as_long(min_hashes(keys, at)))
                 none = pa.nulls(m, pa.int64())
-                longs = [as_long(x) for x in (np.diff(at), name, *mins)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array([x.tobytes() for x in sketches(keys, at)], pa.binary()), none, none], names)
+                sketch = pa.array([x.tobytes() for x in sketches(keys, at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_long(np.diff(at)), as_long(name), mins, sketch, none, none], names)
                 # Copies count once.
                 lead = np.zeros(m, bool)
                 lead[np.unique(name, return_index=True)[1]] = True
@@ -121,8 +147,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 token, times = token[times > 1], times[times > 1]
                 if len(token):
                     none = pa.nulls(len(token), pa.int64())
-                    blank = pa.nulls(len(token), pa.binary())
-                    yield pa.RecordBatch.from_arrays([none, none, none, none, none, blank, as_long(token), as_long(times)], names)
+                    blank = [pa.nulls(len(token), kind) for kind in (pa.list_(pa.int64()), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([none, none, none, *blank, as_long(token), as_long(times)], names)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCAN)
 
@@ -147,14 +173,14 @@ def _contents(docs: DataFrame, sets: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of set names whose sets link.
 
-    The classes of two sets' shingles differ by no more than the sets do, so most pairs fall before any set is sent.
+    Sketches differ by no more than the sets do, so most pairs fall before any set is sent.
     """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("x", "y"))
             total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
             good = (100 + percent) * apart(x, y) <= (100 - percent) * total
             yield batch.select(["a", "b"]).filter(pa.array(good))
@@ -182,19 +208,33 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int =
 
 
 def leader_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): each set with the first and last set of its two min-hash groups, sizes allowing."""
-    out = None
-    for key in ("k0", "k1"):
-        leaders = sets.groupBy(key).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi")
-        pairs = sets.join(leaders, key).select(F.col("s").alias("a"), "n", F.explode(F.array("lo", "hi")).alias("b")).where("a != b")
-        out = pairs if out is None else out.union(pairs)
-    out = out.distinct().join(sets.select(F.col("s").alias("b"), F.col("n").alias("m")), "b")
+    """(a, b): each set with the leaders of its min-hash groups, sizes allowing."""
+    mins = sets.select("s", "n", F.posexplode("mins").alias("k", "v")).where("v != -1")
+    groups = mins.groupBy("k", "v").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    met = kept_table(mins.join(groups, ["k", "v"]), "met")
+    central = met.groupBy("s").agg(F.sum("met").alias("score"))
+    first = F.max_by(F.struct(F.col("s").alias("b"), F.col("n").alias("m")), F.struct("score", "s"))
+    leaders = met.join(central, "s").groupBy("k", "v").agg(first.alias("leader")).select("k", "v", "leader.*")
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    return out.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = met.join(leaders, ["k", "v"]).where("s != b").where(fits)
+    return pairs.select(F.least("s", "b").alias("a"), F.greatest("s", "b").alias("b"))
+
+
+def led(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links of sets with their leaders, from ROUNDS rounds over the sets that have none yet."""
+    links = None
+    for _ in range(ROUNDS):
+        open_sets = sets
+        if links is not None:
+            answered = links.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+            open_sets = kept_table(sets.join(answered, "s", "left_anti"), "open")
+        found = kept_table(verified(docs, leader_pairs(open_sets, percent), open_sets, percent), "leaders")
+        links = found if links is None else links.union(found)
+    return links
 
 
 ENTRIES = "shard int, data binary"
-ENTRY = np.dtype([("token", "<u8"), ("s", "<i8"), ("label", "<i8"), ("n", "<u4"), ("at", "<u4"), ("sketch", "u1", (32,))])
+ENTRY = np.dtype([("token", "<u8"), ("s", "<i8"), ("label", "<i8"), ("n", "<u4"), ("at", "<u4"), ("sketch", "u1", (LIST_BITS // 8,))])
 
 
 def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -203,7 +243,7 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
     labels: (doc_id, label) of the documents whose set has an answer already; other sets are their own label.
     """
     spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    shards = SHARDS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     common = frequent.orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
     tokens = np.array([r["token"] for r in common], np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -219,7 +259,7 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                 label = np.where(given.is_null().to_numpy(zero_copy_only=False), name, given.fill_null(0).to_numpy())
                 lead = np.zeros(len(name), bool)
                 lead[np.unique(name, return_index=True)[1]] = True  # copies in a batch enter once
-                size, sketch = np.diff(at), sketches(keys, at, 32)
+                size, sketch = np.diff(at), folded(sketches(keys, at))
                 row = np.repeat(np.arange(len(size)), size)
                 part = lead[row]
                 keys, row = keys[part], row[part]
@@ -294,11 +334,11 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     scanned = kept_table(scan(docs), "shingles")
-    rows = scanned.where("token IS NULL").select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "n", "s", "k0", "k1", "sketch")
-    sets = rows.where("n > 0").groupBy("s").agg(*[F.min(c).alias(c) for c in ("n", "k0", "k1")], F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
+    rows = scanned.where("token IS NULL").select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "n", "s", "mins", "sketch")
+    sets = rows.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("mins", "sketch")])
     sets = kept_table(sets, "sets")
     frequent = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times"))
-    first = kept_table(verified(docs, leader_pairs(sets, percent), sets, percent), "leaders")
+    first = led(docs, sets, percent)
     answers = kept_table(components(first, "a", "b"), "answers")
     labels = rows.join(answers.select(F.col("node").alias("s"), F.col("component").alias("label")), "s").select("doc_id", "label").distinct()
     labels = kept_table(labels, "labels")

@@ -161,7 +161,7 @@ class Bitmap:
     """
 
     def __init__(self, ids: DataFrame, column: str):
-        bit = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(BITMAP_BITS))
+        bit = self.bit(column)
         word = ids.select(F.floor(bit / 64).cast("int").alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).distinct()
         rows = word.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))).alias("v")).collect()
         words = np.zeros(BITMAP_BITS // 64, np.int64)
@@ -169,16 +169,23 @@ class Bitmap:
             words[w] = v
         self.data = ids.sparkSession.sparkContext.broadcast(words)
 
+    @staticmethod
+    def bit(column: str):
+        """The bit of an id, to be given to `maybe`."""
+        return F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(BITMAP_BITS))
+
+    def maybe(self, bits: np.ndarray) -> np.ndarray:
+        """Whether ids with these bits may be in the set; for use inside tasks."""
+        return ((self.data.value[bits >> 6] >> (bits & 63)) & 1).astype(bool)
+
     def split(self, df: DataFrame, column: str, inside: bool) -> DataFrame:
         """The rows whose id may be in the set, or those whose id is not."""
-        data, name, columns = self.data, "__bit", df.columns
-        bit = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(BITMAP_BITS))
-        keyed = df.withColumn(name, bit)
+        name, columns = "__bit", df.columns
+        keyed = df.withColumn(name, self.bit(column))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bits = batch.column(name).to_numpy()
-                found = ((data.value[bits >> 6] >> (bits & 63)) & 1).astype(bool)
+                found = self.maybe(batch.column(name).to_numpy())
                 rows = np.flatnonzero(found if inside else ~found)
                 if len(rows):
                     yield batch.select(columns).take(pa.array(rows))

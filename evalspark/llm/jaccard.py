@@ -249,9 +249,15 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
     order = np.argsort(tokens)
     known = spark.sparkContext.broadcast((tokens[order], np.array([r["times"] for r in common], np.int64)[order]))
 
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("_id"), "text")
+    marks = Bitmap(labels, "doc_id")
+
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = known.value
         for whole in batches:
+            # Texts with an answer come with a label and a bit below zero.
+            bits = whole.column("bit").to_numpy()
+            whole = whole.filter(pa.array((bits < 0) | ~marks.maybe(np.maximum(bits, 0))))
             for batch in pieces(whole, "text"):
                 keys, at = shingle_sets(batch.column("text"))
                 name = set_names(keys, at).view(np.int64)
@@ -322,12 +328,9 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                     a, b = g["s"][block][i], g["s"][other][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("_id"), "text")
-    marks = Bitmap(labels, "doc_id")
     answered = marks.split(texts, "_id", True).join(labels.select(F.col("doc_id").alias("_id"), "label"), "_id", "left")
-    alone = marks.split(texts, "_id", False).withColumn("label", F.lit(None).cast("bigint"))
-    columns = ["text", "label"]
-    entered = alone.select(*columns).union(answered.select(*columns)).mapInArrow(enter, ENTRIES)
+    alone = texts.select("text", F.lit(None).cast("bigint").alias("label"), marks.bit("_id").alias("bit"))
+    entered = alone.union(answered.select("text", "label", F.lit(-1).cast("bigint"))).mapInArrow(enter, ENTRIES)
     return entered.repartition(shards, "shard").mapInArrow(meet, "a bigint, b bigint")
 
 

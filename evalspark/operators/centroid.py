@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.vectors import center_and_normalize, fit_center, matrix, pool_mean
-from evalspark.operators.neighbours import distances, knn_join
+from evalspark.operators.neighbours import knn_join, nearest_rows
 from evalspark.scaling import MODEL_BYTES, setting, stable
 
 
@@ -21,9 +21,13 @@ def _nearest_udf(points: np.ndarray, labels: pa.Array, kind: str):
     @arrow_udf(f"struct<label:{kind},dist:double>")
     def nearest(vectors: pa.Array) -> pa.Array:
         x = matrix(vectors) if len(vectors) else np.zeros((0, points.shape[1]))
-        pos = np.round(distances(x, points), 12).argmin(1)
-        dist = np.sqrt(((x - points[pos]) ** 2).sum(1))
-        return pa.StructArray.from_arrays([labels.take(pa.array(pos)), pa.array(dist)], ["label", "dist"])
+        pos, dist = np.full(len(x), -1), np.full(len(x), np.nan)
+        rows, cols, gaps = nearest_rows(x, points, 1)
+        pos[rows], dist[rows] = cols, gaps
+        none = pos < 0
+        return pa.StructArray.from_arrays(
+            [labels.take(pa.array(pos, mask=none)), pa.array(dist, mask=none)], ["label", "dist"]
+        )
 
     return nearest
 
@@ -39,6 +43,8 @@ def nearest_centroid(
 ) -> DataFrame:
     """Add the label of the nearest centroid and the distance ``dist``; the lowest label wins a tie.
 
+    Both are null for a vector with a component that is not finite.
+
     A centroid table below the model size limit goes to every task and the rows are
     scored where they are. A larger one is joined as a 1-nearest-neighbour search.
     """
@@ -53,7 +59,7 @@ def nearest_centroid(
     refs = table.select(F.col("_label").alias("rid"), F.col("_centre").alias(col))
     near = knn_join(df, refs, 1, id_col, col, ref_id="rid")
     near = near.select(F.col("qid").alias(id_col), F.col("rid").alias(out), "dist")
-    return df.join(near, id_col)
+    return df.join(near, id_col, "left")
 
 
 @dataclass(frozen=True)

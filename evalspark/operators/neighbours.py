@@ -5,6 +5,10 @@ bounded size. A query first searches the chunks of its own pivot, which bounds i
 k-th distance, and then only the chunks that the triangle inequality cannot rule
 out. A task meets one chunk and one bounded slice of its queries; it returns the best
 k per query, never the pairs. Nothing is dropped, so the result is exact.
+
+Every path ranks by one key, the distance taken from the difference of two vectors, then
+the id. Matrix products only choose candidates, with a margin for their rounding. Vectors
+with a component that is not finite have no neighbours and are nobody's neighbour.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.draws import hash_long
@@ -25,6 +29,8 @@ from evalspark.scaling import MODEL_BYTES, setting, stable
 CHUNK_ROWS = 4096
 QUERY_ROWS = 8192
 MAX_PIVOTS = 4096
+# Tiles of a distance matrix, and pairs whose differences are taken at a time.
+TILE_QUERIES, TILE_POINTS, TILE_PAIRS = 256, 8192, 16_384
 
 
 @dataclass(frozen=True)
@@ -41,10 +47,63 @@ class Cells:
         return np.concatenate([[0], np.cumsum(self.chunks)[:-1]])
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances between the rows of two matrices."""
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(d2, 0.0)
+def rounding(width: int) -> float:
+    """Bound of the error of |a|2 + |b|2 - 2ab, as a share of |a|2 + |b|2."""
+    return 4 * (width + 4) * np.finfo(float).eps
+
+
+def products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances by matrix product, a bound of their error for each row of ``a``)."""
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    return aa[:, None] + bb[None, :] - 2.0 * (a @ b.T), rounding(a.shape[1]) * (aa + bb.max(initial=0.0))
+
+
+def _gaps(q: np.ndarray, r: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Distances of the pairs, from the differences."""
+    out = np.empty(len(rows))
+    for k in range(0, len(rows), TILE_PAIRS):
+        part = slice(k, k + TILE_PAIRS)
+        out[part] = np.sqrt(((q[rows[part]] - r[cols[part]]) ** 2).sum(1))
+    return out
+
+
+def nearest_rows(
+    q: np.ndarray, r: np.ndarray, k: int, qids: np.ndarray | None = None, rids: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, row of ``r``, distance) of the k nearest, by distance and then by row of ``r``.
+
+    Pairs with equal ids are left out where ids are given. Both sides are cut into tiles, so memory does not grow
+    with either.
+    """
+    asked, known = (np.flatnonzero(np.isfinite(x).all(1)) for x in (q, r))
+    found = []
+    # Without its common offset a tile loses little to cancellation.
+    centre = r[known].mean(0) if len(known) else 0.0
+    for i in range(0, len(asked), TILE_QUERIES):
+        rows = asked[i : i + TILE_QUERIES]
+        x = q[rows] - centre
+        limit = np.full(len(rows), np.inf)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for j in range(0, len(known), TILE_POINTS):
+            cols = known[j : j + TILE_POINTS]
+            d2, wide = products(x, r[cols] - centre)
+            if qids is not None:
+                d2[qids[rows][:, None] == rids[cols][None, :]] = np.inf
+            kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if k < len(cols) else np.inf
+            reach = np.minimum(kth, limit * limit) + 2 * wide
+            a, b = np.nonzero((d2 <= reach[:, None]) & np.isfinite(d2))
+            near = (a, cols[b], _gaps(q, r, rows[a], cols[b]))
+            row, col, dist = (np.concatenate(pair) for pair in zip(best, near, strict=True))
+            order = np.lexsort((col, dist, row))
+            row, col, dist = row[order], col[order], dist[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            best = tuple(part[rank < k] for part in (row, col, dist))
+            last = rank == k - 1
+            limit[row[last]] = dist[last]
+        found.append((rows[best[0]], best[1], best[2]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
 def _nearest_pivot(pivots: np.ndarray):
@@ -52,12 +111,11 @@ def _nearest_pivot(pivots: np.ndarray):
 
     @arrow_udf("struct<cell:int,dist:double>")
     def assign(vectors: pa.Array) -> pa.Array:
-        d2 = distances(matrix(vectors), pivots) if len(vectors) else np.zeros((0, 1))
-        cell = d2.argmin(1)
-        dist = np.sqrt(d2[np.arange(len(cell)), cell])
-        return pa.StructArray.from_arrays(
-            [pa.array(cell.astype(np.int32)), pa.array(dist)], ["cell", "dist"]
-        )
+        cell, dist = np.full(len(vectors), -1, np.int32), np.full(len(vectors), np.nan)
+        if len(vectors):
+            rows, cols, gaps = nearest_rows(matrix(vectors), pivots, 1)
+            cell[rows], dist[rows] = cols, gaps
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(dist)], ["cell", "dist"])
 
     return assign
 
@@ -67,7 +125,11 @@ def _other_chunks(cells: Cells):
     from pyspark.sql.functions import arrow_udf
 
     first, counts = cells.first_chunk, cells.chunks
-    gaps = np.sqrt(distances(cells.pivots, cells.pivots))
+    centre = cells.pivots.mean(0)
+    pivots = cells.pivots - centre
+    between, wide = products(pivots, pivots)
+    # Bounds lean to the side that keeps a chunk.
+    gaps = np.sqrt(np.maximum(between, 0) + wide[:, None])
 
     @arrow_udf("array<int>")
     def pick(vectors: pa.Array, own: pa.Array, bound: pa.Array) -> pa.Array:
@@ -75,22 +137,24 @@ def _other_chunks(cells: Cells):
         home = own.to_numpy(zero_copy_only=False).astype(np.int64)
         limit = bound.to_numpy(zero_copy_only=False).astype(np.float64)
         limit = np.where(np.isnan(limit), np.inf, limit)
-        to_pivot = np.sqrt(distances(x, cells.pivots))
-        rows = np.arange(len(x))
-        near = to_pivot - cells.radius[None, :]
-        mine = to_pivot[rows, home][:, None]
-        apart = np.maximum(gaps[home], 1e-300)
-        plane = (to_pivot**2 - mine**2) / (2 * apart)
-        slack = 1e-9 * (1 + np.where(np.isinf(limit), 0, limit))
-        keep = (np.maximum(near, plane) <= (limit + slack)[:, None]) & (counts > 0)[None, :]
-        keep[rows, home] = False
-        lists = [
-            np.concatenate([np.arange(first[c], first[c] + counts[c]) for c in np.flatnonzero(row)])
-            if row.any()
-            else np.zeros(0, dtype=np.int64)
-            for row in keep
-        ]
-        return pa.array([part.astype(np.int32) for part in lists], pa.list_(pa.int32()))
+        sizes, chunks = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+        for start in range(0, len(x), TILE_QUERIES):
+            part = slice(start, min(start + TILE_QUERIES, len(x)))
+            rows = np.arange(part.stop - start)
+            d2, wide = products(x[part] - centre, pivots)
+            d2 = np.maximum(d2 - wide[:, None], 0)
+            mine = ((x[part] - cells.pivots[home[part]]) ** 2).sum(1)
+            near = np.sqrt(d2) - cells.radius[None, :]
+            plane = (d2 - (mine + wide)[:, None]) / (2 * np.maximum(gaps[home[part]], 1e-300))
+            slack = 1e-9 * (limit[part][:, None] + cells.radius[None, :])
+            keep = (np.maximum(near, plane) <= limit[part][:, None] + slack) & (counts > 0)[None, :]
+            keep[rows, home[part]] = False
+            row, cell = np.nonzero(keep)
+            n = counts[cell]
+            sizes.append(np.bincount(row, n, len(rows)).astype(np.int64))
+            chunks.append(np.arange(n.sum()) + np.repeat(first[cell] - np.cumsum(n) + n, n))
+        offsets = pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(chunks).astype(np.int32)))
 
     return pick
 
@@ -110,18 +174,8 @@ def _search(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool) ->
             return empty
         known = known.sort_by("rid")
         q, r = matrix(asked["qvec"]), matrix(known["rvec"])
-        d2 = np.round(distances(q, r), 12)
-        if exclude_self:
-            qids = asked["qid"].to_numpy(zero_copy_only=False)
-            rids = known["rid"].to_numpy(zero_copy_only=False)
-            d2[qids[:, None] == rids[None, :]] = np.inf
-        keep = min(k, d2.shape[1])
-        order = np.argsort(d2, axis=1, kind="stable")[:, :keep]
-        rows = np.repeat(np.arange(len(q)), keep)
-        cols = order.reshape(-1)
-        finite = np.isfinite(d2[rows, cols])
-        rows, cols = rows[finite], cols[finite]
-        exact = np.sqrt(((q[rows] - r[cols]) ** 2).sum(1))
+        qids, rids = (t.to_numpy(zero_copy_only=False) for t in (asked["qid"], known["rid"])) if exclude_self else (None, None)
+        rows, cols, exact = nearest_rows(q, r, k, qids, rids)
         return pa.table(
             {"qid": asked["qid"].combine_chunks().take(pa.array(rows)),
              "rid": known["rid"].combine_chunks().take(pa.array(cols)),
@@ -142,13 +196,13 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
 
 
 def _plan_cells(refs: DataFrame, n: int, chunk_rows: int) -> tuple[Cells, DataFrame]:
-    wanted = min(MAX_PIVOTS, max(2, math.ceil(n / chunk_rows)))
+    width = refs.agg(F.max(F.size("rvec"))).first()[0] or 1
+    most = max(2, min(MAX_PIVOTS, MODEL_BYTES // (8 * width)))
+    wanted = min(most, max(2, math.ceil(n / chunk_rows)))
     chosen = refs.orderBy(hash_long("pivot", F.col("rid")), "rid").limit(wanted).select("rvec")
     pivots = matrix(chosen.toArrow()["rvec"])
-    if pivots.nbytes > MODEL_BYTES:
-        raise ValueError("vectors too long for the number of pivots")
     placed = refs.withColumn("_a", _nearest_pivot(pivots)(F.col("rvec")))
-    placed = stable(placed.select("rid", "rvec", "_a.cell", "_a.dist"))
+    placed = stable(placed.select("rid", "rvec", "_a.cell", "_a.dist").where("cell >= 0"))
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()
     rows, radius = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
     for row in stats:
@@ -161,6 +215,11 @@ def _plan_cells(refs: DataFrame, n: int, chunk_rows: int) -> tuple[Cells, DataFr
     return cells, placed.select("rid", "rvec", (F.get(first, F.col("cell")) + spread).alias("chunk"))
 
 
+def _finite(col: str) -> Column:
+    """Whether all components are finite numbers."""
+    return F.forall(col, lambda v: F.coalesce(F.abs(v.cast("double")) < float("inf"), F.lit(False)))
+
+
 def knn_join(
     queries: DataFrame,
     refs: DataFrame,
@@ -174,7 +233,7 @@ def knn_join(
     spark = queries.sparkSession
     chunk_rows = setting(spark, "chunkRows", CHUNK_ROWS)
     asked = queries.select(F.col(id_col).alias("qid"), F.col(col).alias("qvec"))
-    known = refs.select(F.col(ref_id or id_col).alias("rid"), F.col(col).alias("rvec"))
+    known = refs.select(F.col(ref_id or id_col).alias("rid"), F.col(col).alias("rvec")).where(_finite("rvec"))
     n = known.count()
     if n <= chunk_rows:
         one = F.lit(0).alias("chunk")
@@ -182,7 +241,7 @@ def knn_join(
         return _merge(found, k)
     cells, chunked = _plan_cells(known, n, chunk_rows)
     homes = asked.withColumn("_a", _nearest_pivot(cells.pivots)(F.col("qvec")))
-    homes = stable(homes.select("qid", "qvec", F.col("_a.cell").alias("home")))
+    homes = stable(homes.select("qid", "qvec", F.col("_a.cell").alias("home")).where("home >= 0"))
     first = F.array(*[F.lit(int(c)) for c in cells.first_chunk])
     last = F.array(*[F.lit(int(c)) for c in cells.first_chunk + cells.chunks - 1])
     begin, end = F.get(first, F.col("home")), F.get(last, F.col("home"))

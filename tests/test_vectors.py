@@ -56,6 +56,44 @@ def test_other_queries_and_small_reference(spark, limits):
     assert len(few) == 50
 
 
+@pytest.mark.parametrize("chunk_rows, query_rows", [(4096, 8192), (40, 64)])
+def test_near_copies_far_from_zero_keep_their_order(spark, limits, chunk_rows, query_rows):
+    rng = np.random.default_rng(7)
+    x = (1e3 + rng.normal(size=(200, 4)) * 1e-4).astype(np.float32).astype(float)
+    limits("chunkRows", chunk_rows)
+    limits("queryRows", query_rows)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :5]
+    got = {(r["qid"], r["rank"]): r["rid"] for r in neighbours.knn_join(frame(spark, x), frame(spark, x), 5, exclude_self=True).collect()}
+    assert got == {(i, r + 1): int(j) for i in range(200) for r, j in enumerate(order[i])}
+
+
+def test_tiles_do_not_change_the_nearest_rows(monkeypatch):
+    x = np.concatenate([clustered(5), [[np.nan] * 6, [np.inf] * 6]])
+    whole = neighbours.nearest_rows(x, x, 7)
+    monkeypatch.setattr(neighbours, "TILE_QUERIES", 11)
+    monkeypatch.setattr(neighbours, "TILE_POINTS", 5)
+    monkeypatch.setattr(neighbours, "TILE_PAIRS", 3)
+    cut = neighbours.nearest_rows(x, x, 7)
+    assert len(whole[0]) == 240 * 7
+    # The common offset that is subtracted does not depend on the tiles, so all three agree to the bit.
+    assert all((a == b).all() for a, b in zip(whole, cut))
+
+
+def test_vectors_that_are_not_finite_have_no_neighbours(spark, limits):
+    x = np.concatenate([clustered(6, 60), [[np.nan] * 6, [np.inf] * 6]])
+    for rows in (4096, 9):
+        limits("chunkRows", rows)
+        got = neighbours.knn_join(frame(spark, x), frame(spark, x), 2).collect()
+        assert len(got) == 120 and max(r["rid"] for r in got) < 60
+    centres = frame(spark, x[:5]).select(F.col("id").cast("int").alias("label"), "embedding")
+    for size in (2**28, 10):
+        limits("modelBytes", size)
+        scored = centroid.nearest_centroid(frame(spark, x).drop("label"), centres).where("y_pred IS NULL").collect()
+        assert sorted(r["id"] for r in scored) == [60, 61]
+
+
 def test_vote_recovers_clusters(spark):
     rng = np.random.default_rng(0)
     y = np.arange(60) % 3

@@ -9,6 +9,7 @@ from evalspark.catalog.registry import query, rounded
 from evalspark.functions import labels, text
 from evalspark.operators import bootstrap, costs, metrics, tables
 from evalspark.plans import backlog, report
+from evalspark.sources.store import prediction_info
 
 BY = ["task_name", "model_ckpt"]
 KEYS = "task_name, model_ckpt"
@@ -17,7 +18,7 @@ KEYS = "task_name, model_ckpt"
 def analysis(spark, sf):
     """Stored predictions joined with their experiments, parsed and cast."""
     joined = tables.join_results(fx.experiments(spark, sf), fx.stored_predictions(spark, sf))
-    return report.int_labels(report.analysis_frame(joined))
+    return report.int_labels(report.analysis_frame(joined)).drop("ood")
 
 
 F1_SQL = """
@@ -406,6 +407,26 @@ metric(
 )
 
 
+# Classes 15 to 19 were not seen in training.
+UNSEEN = fx.PREDS + ", upreds AS (SELECT task_name, model_ckpt, img_id, CASE WHEN y_true >= 15 THEN -1 ELSE y_true END AS y_true, y_pred FROM preds)"
+
+
+@query(
+    "user_loss_unseen_classes",
+    f"WITH {UNSEEN}, {COST} SELECT task_name AS task, model_ckpt AS model, round(1 - ({CE_UNK} + {HARM}) / {WORST}, 9) AS mean FROM cost",
+)
+def user_loss_unseen_classes(spark, sf):
+    rows = fx.predictions(spark, sf)
+    info = prediction_info(F.col("y_true"), F.col("y_pred"), ood=F.col("y_true") >= 15)
+    stored = rows.select("img_id", "score", info.alias("info"), fx.experiment_id().alias("experiment_id"))
+    # Every run counts here, whatever it was trained on.
+    runs = fx.experiments(spark, sf).withColumn("n_train", F.lit(-1))
+    parsed = report.analysis_frame(tables.join_results(runs, stored))
+    kinds = {"F": "user_loss", "O": "user_loss", "P": "user_loss"}
+    scores, _ = report.calc_scores(parsed, 20, method="poisson", task_scores=kinds, harmful=fx.HARMFUL)
+    return rounded(scores.select("task", "model", "mean"))
+
+
 @query(
     "cost_report",
     f"""WITH {fx.UNKNOWN_PREDS}, {COST}, {F1_SQL.format(src="upreds")},

@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 # JSON keys under which stored predictions keep their labels.
 TRUE_KEYS = ("y_true", "true_y")
 PRED_KEYS = ("y_pred", "pred_y")
+# Fixed value: the label of every class that was not seen in training.
+UNKNOWN = -1
 
 
-def parse_info(df: DataFrame, info: str = "info") -> DataFrame:
-    """Add ``y_true`` and ``y_pred`` strings read from the JSON column.
+def parse_info(df: DataFrame, info: str = "info", ood: bool = False) -> DataFrame:
+    """Add ``y_true`` and ``y_pred`` strings read from the JSON column, and ``ood`` (false if absent) where asked for.
 
-    The text is parsed once for all four keys; the first key that is present wins.
+    The text is parsed once for all keys; the first key that is present wins.
     """
-    keys = TRUE_KEYS + PRED_KEYS
+    keys = TRUE_KEYS + PRED_KEYS + (("ood",) if ood else ())
     parsed = df.withColumn("_info", F.from_json(info, ", ".join(f"{key} string" for key in keys)))
     first = {
         name: F.coalesce(*[F.col(f"_info.{key}") for key in options])
         for name, options in (("y_true", TRUE_KEYS), ("y_pred", PRED_KEYS))
     }
+    if ood:
+        first["ood"] = F.coalesce(F.col("_info.ood").try_cast("boolean"), F.lit(False))
     return parsed.withColumns(first).drop("_info")
 
 

@@ -8,10 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.labels import UNKNOWN
 from evalspark.operators.metrics import cells, macro_f1
 
-UNKNOWN = -1
-
 
 @dataclass(frozen=True)
 class Costs:

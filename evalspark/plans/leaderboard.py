@@ -16,19 +16,24 @@ def pivot_scores(scores: DataFrame, tasks: list[str]) -> DataFrame:
     return scores.groupBy("model").pivot("task", tasks).agg(F.first("mean"))
 
 
-def complete_mean(scores: DataFrame, tasks: Iterable[str]) -> DataFrame:
-    """Mean over the tasks per model; null unless the model has all of them."""
+def _complete(tasks: Iterable[str]) -> Column:
     wanted = sorted(set(tasks))
     chosen = F.col("task").isin(wanted)
     mean = F.avg(F.when(chosen, F.col("mean")))
     n = F.count(F.when(chosen & F.col("mean").isNotNull(), 1))
-    return scores.groupBy("model").agg(F.when(n == len(wanted), mean).alias("mean"))
+    return F.when(n == len(wanted), mean)
+
+
+def complete_mean(scores: DataFrame, tasks: Iterable[str]) -> DataFrame:
+    """Mean over the tasks per model; null unless the model has all of them."""
+    return scores.groupBy("model").agg(_complete(tasks).alias("mean"))
 
 
 def leaderboard(scores: DataFrame, tasks: list[str], selected: Iterable[str] | None = None) -> DataFrame:
-    """Wide table with the mean over the selected tasks in column ``mean``."""
+    """Wide table with the mean over the selected tasks in column ``mean``, from one grouping."""
     selected = [t for t in tasks if selected is None or t in set(selected)]
-    return pivot_scores(scores, tasks).join(complete_mean(scores, selected), "model")
+    columns = [F.first(F.when(F.col("task") == t, F.col("mean")), ignorenulls=True).alias(t) for t in tasks]
+    return scores.groupBy("model").agg(*columns, _complete(selected).alias("mean"))
 
 
 def winners(bests: DataFrame) -> DataFrame:

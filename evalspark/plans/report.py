@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.labels import cast_label, parse_info
+from evalspark.functions.labels import UNKNOWN, cast_label, parse_info
 from evalspark.functions.text import json_labels
 from evalspark.operators import bootstrap as boot
 from evalspark.operators import costs, metrics
@@ -53,7 +53,7 @@ BY = [boot.TASK, boot.MODEL]
 def analysis_frame(results: DataFrame, tasks: Iterable[str] | None = None, models: Iterable[str] | DataFrame | None = None) -> DataFrame:
     """Full-data predictions of known tasks and models with labels read from the JSON text."""
     known = filter_known(results, tasks, models)
-    return parse_info(known).select("task_name", "model_ckpt", "img_id", "score", "y_true", "y_pred")
+    return parse_info(known, ood=True).select("task_name", "model_ckpt", "img_id", "score", "y_true", "y_pred", "ood")
 
 
 def int_labels(df: DataFrame) -> DataFrame:
@@ -61,12 +61,20 @@ def int_labels(df: DataFrame) -> DataFrame:
     return df.withColumns({name: cast_label(F.col(name)) for name in ("y_true", "y_pred")})
 
 
+def known_labels(df: DataFrame) -> DataFrame:
+    """Integer labels, with the unknown class as truth of the rows marked ``ood``."""
+    df = int_labels(df)
+    if "ood" not in df.columns:
+        return df
+    return df.withColumn("y_true", F.when(F.col("ood"), UNKNOWN).otherwise(F.col("y_true")))
+
+
 def array_labels(df: DataFrame) -> DataFrame:
     """Text labels as integer arrays."""
     return df.withColumns({name: json_labels(F.col(name)) for name in ("y_true", "y_pred")})
 
 
-def _families(harmful, inner: int = 1) -> dict[str, tuple[Callable, Callable, Callable]]:
+def _families(harmful, inner: int = 1, map_ood: bool = True) -> dict[str, tuple[Callable, Callable, Callable]]:
     """Per kind of score: label conversion, point score, replicates."""
 
     def user_loss(df, by):
@@ -83,7 +91,7 @@ def _families(harmful, inner: int = 1) -> dict[str, tuple[Callable, Callable, Ca
         "accuracy": (int_labels, metrics.micro_acc, boot.bootstrap_accuracy),
         "macro_f1": (int_labels, metrics.macro_f1, macro_f1_replicates),
         "multilabel": (array_labels, metrics.multilabel_macro_f1, boot.bootstrap_multilabel),
-        "user_loss": (int_labels, user_loss, user_loss_replicates),
+        "user_loss": (known_labels if map_ood else int_labels, user_loss, user_loss_replicates),
     }
 
 
@@ -97,19 +105,21 @@ def calc_scores(
     harmful: Iterable[int] | DataFrame = (),
     inner: int = 1,
     equal_n: bool = True,
+    map_ood: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores ``(task, model, mean, bootstrap_mean, ci_low, ci_high)`` and bests ``(task, best, ties)``.
 
     All tasks with the same kind of score are computed together, so the number of
     Spark jobs does not grow with the number of tasks. A macro-F1 replicate is the mean of ``inner`` draws. Models
-    of a task with different numbers of rows are an error unless ``equal_n`` is false.
+    of a task with different numbers of rows are an error unless ``equal_n`` is false. The user loss takes rows marked
+    ``ood`` as the unknown class unless ``map_ood`` is false.
     """
     task_scores = TASK_SCORES if task_scores is None else task_scores
     present = {row[0] for row in predictions.select(boot.TASK).distinct().collect()}
     for name in sorted(present - set(task_scores)):
         logger.warning("No score for task '%s'.", name)
     points, replicates = [], []
-    for kind, (convert, point, resample) in _families(harmful, inner).items():
+    for kind, (convert, point, resample) in _families(harmful, inner, map_ood).items():
         names = sorted(t for t in present if task_scores.get(t) == kind)
         if not names:
             continue

@@ -188,27 +188,24 @@ def read_bytes_table(spark, sf):
 
 
 STORE = f"WITH {fx.PREDS}"
-STORED_MODELS = ["m0", "m1", "m2"]
 
 
 def write_store(spark, sf):
-    """A results store with one run per model and task."""
+    """A results store with one run per model and task, written in one pass."""
     folder = shared_folder(spark, "store")
-    rows = fx.predictions(spark, sf)
-    for model in STORED_MODELS:
-        for task in ("F", "O"):
-            part = rows.where((F.col("model_ckpt") == model) & (F.col("task_name") == task))
-            part = part.select("img_id", "score", store.prediction_info(F.col("y_true"), F.col("y_pred")).alias("info"))
-            store.write_report(part, store.RunInfo(task, "demo", model, posix=1.0), folder)
+    info = store.prediction_info(F.col("y_true"), F.col("y_pred")).alias("info")
+    rows = fx.predictions(spark, sf).select("task_name", "model_ckpt", "img_id", "score", info)
+    runs = [store.RunInfo(task, "demo", f"m{k}", posix=1.0) for k in range(fx.MODELS) for task in ("F", "O", "P")]
+    store.write_reports(rows, runs, folder)
     return folder
 
 
 @query(
     "results_store_round_trip",
-    STORE + " SELECT lower(task_name) AS task_name, model_ckpt, img_id, y_true, y_pred FROM preds WHERE model_ckpt IN ('m0', 'm1', 'm2') AND task_name IN ('F', 'O')",
+    STORE + " SELECT lower(task_name) AS task_name, model_ckpt, img_id, y_true, y_pred FROM preds",
 )
 def results_store_round_trip(spark, sf):
-    rows = int_labels(analysis_frame(store.read_results(spark, write_store(spark, sf)), ["f", "o"]))
+    rows = int_labels(analysis_frame(store.read_results(spark, write_store(spark, sf))))
     return rows.select("task_name", "model_ckpt", "img_id", "y_true", "y_pred")
 
 
@@ -216,7 +213,7 @@ def results_store_round_trip(spark, sf):
     "streaming_mean_score",
     STORE
     + """ SELECT lower(task_name) AS task_name, model_ckpt, round(avg(CASE WHEN y_true = y_pred THEN 1e0 ELSE 0e0 END), 9) AS mean_score, count(*) AS n
-FROM preds WHERE model_ckpt IN ('m0', 'm1', 'm2') AND task_name IN ('F', 'O') GROUP BY 1, 2""",
+FROM preds GROUP BY 1, 2""",
 )
 def streaming_mean_score(spark, sf):
     folder = write_store(spark, sf)

@@ -78,13 +78,14 @@ def group_rank(
     """Add the 1-based position of each row in its group, and optionally the group size.
 
     ``order`` must be total inside a group (end it with an id). Groups that fit in
-    a task use a window. Otherwise rows are range-partitioned on (keys, order), so
+    a task use a window. Otherwise, and always without keys, rows are range-partitioned on (keys, order), so
     a hot group spreads over many partitions; the position is then the position
     inside the partition plus the group's row count in earlier partitions.
     ``largest`` is the size of the biggest group where the caller has counted already.
     """
     limit = setting(df.sparkSession, "groupRows", GROUP_ROWS)
-    if (largest_group(df, keys) if largest is None else largest) <= limit:
+    # Without keys a window would be one task.
+    if keys and (largest_group(df, keys) if largest is None else largest) <= limit:
         window = Window.partitionBy(*keys)
         out = df.withColumn(name, F.row_number().over(window.orderBy(*order)).cast("bigint"))
         if size:

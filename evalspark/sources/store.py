@@ -60,16 +60,35 @@ def write_report(predictions: DataFrame, info: RunInfo, folder: str) -> None:
     Both carry the id of this attempt, so predictions of an attempt that failed before its experiments row are never
     joined. A later attempt with the same key and time supersedes an earlier one.
     """
+    named = predictions.select("img_id", "score", "info", F.lit(info.task_name).alias("task_name"), F.lit(info.model_ckpt).alias("model_ckpt"))
+    write_reports(named, [info], folder)
+
+
+def write_reports(predictions: DataFrame, infos: list[RunInfo], folder: str) -> None:
+    """Append several runs in one pass: all predictions ``(task_name, model_ckpt, img_id, score, info)``, then all
+    experiments rows.
+
+    A task and model may stand for one run of the call only. A prediction of a run that ``infos`` does not name is an error.
+    """
     spark = predictions.sparkSession
-    task, attempt = info.task_name.lower(), attempt_id()
-    rows = predictions.select("img_id", "score", "info", F.lit(attempt).cast("bigint").alias("experiment_id"), F.lit(task).alias("task_name"))
+    first = attempt_id()
+    runs = {(info.task_name.lower(), info.model_ckpt): (first + 1024 * k, info) for k, info in enumerate(infos)}
+    if len(runs) < len(infos):
+        raise ValueError("two runs of the same task and model in one call")
+    ids = spark.createDataFrame([(*key, attempt) for key, (attempt, _) in runs.items()], "_task string, _model string, _attempt bigint")
+    lower = predictions.withColumn("task_name", F.lower("task_name"))
+    placed = lower.join(ids, (F.col("task_name") == F.col("_task")) & (F.col("model_ckpt") == F.col("_model")), "left")
+    stray = F.raise_error(F.concat_ws(" ", F.lit("no run for"), "task_name", "model_ckpt")).cast("bigint")
+    rows = placed.select("img_id", "score", "info", F.coalesce("_attempt", stray).alias("experiment_id"), "task_name")
     rows.write.mode("append").partitionBy("task_name").parquet(f"{folder}/predictions")
-    values = (
-        attempt, task, info.model_org, info.model_ckpt, info.n_train, json.dumps(info.exp_cfg), json.dumps(info.argv),
-        {k: float(v) for k, v in info.splits.items()}, info.git_commit, float(info.posix), info.gpu_name, info.hostname,
-    )
-    row = spark.createDataFrame([values], EXPERIMENTS_SCHEMA)
-    row.coalesce(1).write.mode("append").parquet(f"{folder}/experiments")
+    values = [
+        (
+            attempt, task, info.model_org, info.model_ckpt, info.n_train, json.dumps(info.exp_cfg), json.dumps(info.argv),
+            {k: float(v) for k, v in info.splits.items()}, info.git_commit, float(info.posix), info.gpu_name, info.hostname,
+        )
+        for (task, _), (attempt, info) in runs.items()
+    ]
+    spark.createDataFrame(values, EXPERIMENTS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/experiments")
 
 
 def read_experiments(spark: SparkSession, folder: str) -> DataFrame:

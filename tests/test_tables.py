@@ -162,3 +162,19 @@ def test_audit_reports_every_kind(spark):
     manifest = manifest.unionByName(spark.createDataFrame([("d", "0")], "name string, md5 string"))
     got = {r["name"]: r["status"] for r in tables.audit_md5(files, manifest).collect()}
     assert got == {"a": "ok", "b": "mismatch", "c": "unlisted", "d": "missing"}
+
+
+def test_many_runs_in_one_pass(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("NeWT", m, str(i), 1.0, "{}") for m in ("a", "b") for i in range(3)],
+        "task_name string, model_ckpt string, img_id string, score double, info string",
+    )
+    folder = str(tmp_path / "store")
+    runs = [store.RunInfo("NeWT", "o", m) for m in ("a", "b")]
+    store.write_reports(rows, runs, folder)
+    store.write_reports(rows.where("img_id = '0'"), runs, folder)
+    assert store.read_results(spark, folder).groupBy("task_name", "model_ckpt").count().orderBy("model_ckpt").collect() == [("newt", "a", 1), ("newt", "b", 1)]
+    with pytest.raises(PySparkException, match="no run for newt b"):
+        store.write_reports(rows, runs[:1], folder)
+    with pytest.raises(ValueError, match="two runs"):
+        store.write_reports(rows, runs + runs[:1], folder)

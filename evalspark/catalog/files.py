@@ -115,6 +115,14 @@ def read_space_delimited(spark, sf):
     return tables.read_table(spark, path, rows.schema, sep=" ", header=False)
 
 
+@query("read_space_delimited_with_header", "SELECT user_id AS video_id, event_id AS frame_id, event_type AS label FROM events")
+def read_space_delimited_with_header(spark, sf):
+    path = shared_folder(spark, "frames")
+    rows = fx.frames(spark, sf).select("video_id", F.col("event_id").alias("frame_id"), "label")
+    rows.write.option("sep", " ").option("header", True).csv(path)
+    return tables.read_table(spark, path, rows.schema, sep=" ")
+
+
 @query("read_json_lines", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def read_json_lines(spark, sf):
     path = shared_folder(spark, "reports")
@@ -161,6 +169,30 @@ def read_coco(spark, sf):
     return tables.read_coco(spark, path, one_per_line=True)
 
 
+@query("read_coco_documents", "SELECT CAST(p_partkey AS VARCHAR) AS img_id, p_name || '.jpg' AS file_name, p_brand AS label FROM part")
+def read_coco_documents(spark, sf):
+    """One file of many lines per part size."""
+    path = shared_folder(spark, "coco")
+    image = F.struct(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".jpg")).alias("file_name"))
+    note = F.struct(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("image_id"), F.col("p_brand").alias("name"))
+    docs = fx.table(spark, sf, "part").groupBy("p_size").agg(F.collect_list(image).alias("images"), F.collect_list(note).alias("annotations"))
+    text = F.to_json(F.struct("images", "annotations"), {"pretty": "true"})
+    docs.select(text.alias("value"), "p_size").write.partitionBy("p_size").text(path)
+    return tables.read_coco(spark, path)
+
+
+@query("read_keyed_json_documents", "SELECT 'v' || s_suppkey AS vid_id, round(s_acctbal, 2) AS duration, s_name AS url FROM supplier")
+def read_keyed_json_documents(spark, sf):
+    """One file of many lines per nation."""
+    path = shared_folder(spark, "videos")
+    value = F.struct(F.round("s_acctbal", 2).alias("duration"), F.col("s_name").alias("url"))
+    entry = F.struct(F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("key"), value.alias("value"))
+    docs = fx.table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(entry)).alias("doc"))
+    text = F.to_json("doc", {"pretty": "true"})
+    docs.select(text.alias("value"), "s_nationkey").write.partitionBy("s_nationkey").text(path)
+    return tables.read_keyed_json(spark, path, "struct<duration:double,url:string>", "vid_id")
+
+
 @query(
     "path_examples",
     """WITH p AS (SELECT page_id, regexp_replace(url, '[?].*$', '') AS path FROM pages), s AS (SELECT page_id, regexp_replace(path, '^.*/', '') AS base, split_part(path, '/', -2) AS label FROM p)

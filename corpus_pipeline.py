@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of documents that are linked by shingles: that with the smallest doc_id."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of documents that share 80 % of their 5-word shingles: that with the smallest doc_id."""
+    return jaccard.one_of_each(docs, percent=80, size=5)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

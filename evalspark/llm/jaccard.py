@@ -1,13 +1,13 @@
 """N-gram Jaccard join with set-relation skipping.
 
-Sets are the distinct 3-word shingles of lower-cased texts (A-Z only); two documents link when the intersection is
-90 % of the union or more. Equal sets are one set.
+Sets are the distinct shingles of lower-cased texts (A-Z only), of `size` words; two documents link when the
+intersection is `percent` % of the union or more. op9 takes three words and 90 %. Equal sets are one set.
 
 1. Answers from similar sets: sets that share a min-hash are compared with the leader of their group only, the one
    that shares most min-hashes with most sets and so stands nearest to the text that others were made from. A set that
    links with a leader takes over the leader's group as its own answer, so groups of near copies need no pairs. Sets
    without an answer choose leaders among themselves in a second round.
-2. Index lists: every set enters the lists of its prefix, the first n - ceil(0.9 n) + 1 shingles in an order that
+2. Index lists: every set enters the lists of its prefix, the first n - ceil(percent n / 100) + 1 shingles in an order that
    puts frequent shingles last. Lists are sorted by set size and skipped in blocks whose sizes or positions cannot
    reach the overlap; sets that share an answer are skipped as well. What is left is compared by a sketch that
    bounds the difference of two sets, then exactly.
@@ -15,7 +15,7 @@ Sets are the distinct 3-word shingles of lower-cased texts (A-Z only); two docum
 The order of shingles only has to be the same everywhere: frequent ones are found per batch, added up by Spark, and
 the `FREQUENT` most frequent are known to all tasks; this bounds a broadcast and has no effect on results.
 
-A null text and a text without words have no shingles and link with nothing; fewer than three words are one
+A null text and a text without words have no shingles and link with nothing; fewer than `size` words are one
 shingle. Links run between sets, named by 64-bit hashes; a component is named by the smallest doc_id of its sets.
 Rows with a null doc_id count as smaller than all and get a null component if that is theirs. Repeated rows get
 equal results. An empty table gives no rows.
@@ -125,14 +125,14 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 SCAN = "doc_id bigint, n bigint, s bigint, mins array<bigint>, sketch binary, token bigint, times bigint"
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """For every row its set's size, name, min-hashes and sketch; and rows with the shingles that sets of a batch share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in SCAN.split(", ")]
         for whole in batches:
             for batch in pieces(whole, "text"):
-                keys, at = shingle_sets(batch.column("text"))
+                keys, at = shingle_sets(batch.column("text"), size)
                 name = set_names(keys, at)
                 m = batch.num_rows
                 mins = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * MINS), as_long(min_hashes(keys, at)))
@@ -153,13 +153,13 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCAN)
 
 
-def _contents(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def _contents(docs: DataFrame, sets: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(s, shingles) of the sets (s, node), read from the document that names each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
-                keys, at = shingle_sets(batch.column("text"))
+                keys, at = shingle_sets(batch.column("text"), size)
                 same = np.flatnonzero(set_names(keys, at).view(np.int64) == batch.column("s").to_numpy())
                 data = [keys[at[k] : at[k + 1]].tobytes() for k in same]
                 yield pa.RecordBatch.from_arrays([batch.column("s").take(pa.array(same)), pa.array(data, pa.binary())], ["s", "shingles"])
@@ -170,7 +170,7 @@ def _contents(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return texts.join(sets.select("s", "node"), "node").select("s", "text").mapInArrow(run, "s bigint, shingles binary").dropDuplicates(["s"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) of set names whose sets link.
 
     Sketches differ by no more than the sets do, so most pairs fall before any set is sent.
@@ -190,7 +190,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int =
     paired = paired.join(known.select(F.col("s").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
     pairs = kept_table(paired.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a bigint, b bigint"), "pairs")
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
-    contents = kept_table(_contents(docs, kept_table(sets.join(wanted, "s").select("s", "node"), "wanted")), "contents")
+    contents = kept_table(_contents(docs, kept_table(sets.join(wanted, "s").select("s", "node"), "wanted"), size), "contents")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +220,7 @@ def leader_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.select(F.least("s", "b").alias("a"), F.greatest("s", "b").alias("b"))
 
 
-def led(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def led(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(a, b): links of sets with their leaders, from ROUNDS rounds over the sets that have none yet."""
     links = None
     for _ in range(ROUNDS):
@@ -228,7 +228,7 @@ def led(docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         if links is not None:
             answered = links.select(F.explode(F.array("a", "b")).alias("s")).distinct()
             open_sets = kept_table(sets.join(answered, "s", "left_anti"), "open")
-        found = kept_table(verified(docs, leader_pairs(open_sets, percent), open_sets, percent), "leaders")
+        found = kept_table(verified(docs, leader_pairs(open_sets, percent), open_sets, percent, size), "leaders")
         links = found if links is None else links.union(found)
     return links
 
@@ -237,7 +237,7 @@ ENTRIES = "shard int, data binary"
 ENTRY = np.dtype([("token", "<u8"), ("s", "<i8"), ("label", "<i8"), ("n", "<u4"), ("at", "<u4"), ("sketch", "u1", (LIST_BITS // 8,))])
 
 
-def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent: int = PERCENT) -> DataFrame:
+def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(a, b): sets with different labels that meet in an index list where sizes and positions let them link.
 
     labels: (doc_id, label) of the documents whose set has an answer already; other sets are their own label.
@@ -259,14 +259,14 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
             bits = whole.column("bit").to_numpy()
             whole = whole.filter(pa.array((bits < 0) | ~marks.maybe(np.maximum(bits, 0))))
             for batch in pieces(whole, "text"):
-                keys, at = shingle_sets(batch.column("text"))
+                keys, at = shingle_sets(batch.column("text"), size)
                 name = set_names(keys, at).view(np.int64)
                 given = batch.column("label")
                 label = np.where(given.is_null().to_numpy(zero_copy_only=False), name, given.fill_null(0).to_numpy())
                 lead = np.zeros(len(name), bool)
                 lead[np.unique(name, return_index=True)[1]] = True  # copies in a batch enter once
-                size, sketch = np.diff(at), folded(sketches(keys, at))
-                row = np.repeat(np.arange(len(size)), size)
+                held, sketch = np.diff(at), folded(sketches(keys, at))
+                row = np.repeat(np.arange(len(held)), held)
                 part = lead[row]
                 keys, row = keys[part], row[part]
                 often = np.zeros(len(keys), np.int64)
@@ -277,7 +277,7 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                 keys, row = keys[order], row[order]
                 begin = np.searchsorted(row, row)  # first entry of the same row
                 rank = np.arange(len(row)) - begin
-                n = size[row]
+                n = held[row]
                 taken = rank < n - (percent * n + 99) // 100 + 1
                 entries = np.zeros(int(taken.sum()), ENTRY)
                 for field, values in (("token", keys), ("s", name[row]), ("label", label[row]), ("n", n), ("at", rank), ("sketch", sketch[row])):
@@ -334,18 +334,18 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
     return entered.repartition(shards, "shard").mapInArrow(meet, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    scanned = kept_table(scan(docs), "shingles")
+    scanned = kept_table(scan(docs, size), "shingles")
     rows = scanned.where("token IS NULL").select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "n", "s", "mins", "sketch")
     sets = rows.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("mins", "sketch")])
     sets = kept_table(sets, "sets")
     frequent = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times"))
-    first = led(docs, sets, percent)
+    first = led(docs, sets, percent, size)
     answers = kept_table(components(first, "a", "b"), "answers")
     labels = rows.join(answers.select(F.col("node").alias("s"), F.col("component").alias("label")), "s").select("doc_id", "label").distinct()
     labels = kept_table(labels, "labels")
-    second = verified(docs, list_pairs(docs, labels, frequent, percent), sets, percent)
+    second = verified(docs, list_pairs(docs, labels, frequent, percent, size), sets, percent, size)
     linked = components(first.union(second), "a", "b").select(F.col("node").alias("s"), "component")
     named = sets.join(linked, "s", "left").select("s", "node", F.coalesce("component", "s").alias("component"))
     least = named.groupBy("component").agg(F.min("node").alias("component_id"))
@@ -356,9 +356,9 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found.select(shown[0].alias("doc_id"), F.col("n").alias("n_shingles"), shown[1].alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The row with the smallest doc_id of each component, once if it is repeated; rows without doc_id stay."""
-    found = kept_table(join(docs).where("doc_id IS NOT NULL"), "linked")
+    found = kept_table(join(docs, percent, size).where("doc_id IS NOT NULL"), "linked")
     own = F.max(F.col("component_id").eqNullSafe(F.col("doc_id")).cast("int"))
     told = found.groupBy("doc_id").agg(own.alias("__own"), F.count(F.lit(1)).alias("__n"))
     told = kept_table(told.where("__own = 0 OR __n > 1").select(F.col("doc_id").alias("__key"), "__own"), "dropped")

@@ -1,10 +1,13 @@
 """Operators on documents against plain Python."""
 
 import hashlib
+import random
 import re
 import struct
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +93,45 @@ def test_jaccard(docs, no_docs):
     assert got == sorted(set(named))
 
 
+def test_pipeline_near_duplicates(spark):
+    """Five words and 80 % against all pairs, on copies that three words and 90 % tell apart."""
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = [None, "", "one two three four", "One two three four", "one two three"]
+    for length in (20, 40, 48, 50, 52, 55, 90, 300):
+        for _ in range(6):
+            base = [rng.choice(vocabulary) for _ in range(length)]
+            texts.append(" ".join(base))
+            for changes in (1, 2, 3):
+                other = list(base)
+                for k in rng.sample(range(length), changes):
+                    other[k] = "other"
+                texts.append(" ".join(other))
+    rng.shuffle(texts)
+
+    def sets(text, size):
+        w = re.findall(WORD, (text or "").lower())
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+
+    def kept(size, percent):
+        held = [sets(t, size) for t in texts]
+        group = list(range(len(texts)))
+        for a in range(len(texts)):
+            for b in range(a):
+                if held[a] and held[b] and 100 * len(held[a] & held[b]) >= percent * len(held[a] | held[b]):
+                    old, new = max(group[a], group[b]), min(group[a], group[b])
+                    group = [new if g == old else g for g in group]
+        return [i for i, g in enumerate(group) if g == i]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == kept(5, 80)
+    assert len(got) < len(kept(3, 90))
+
+
 def test_packing(docs, no_docs):
     from tokenizers import Tokenizer
 

@@ -1,13 +1,15 @@
 """Merge-type subword encoding with seeded merge dropout, and decoding.
 
 The agenda of a word holds its candidate merges, best score first and leftmost on ties. A candidate that comes up is
-skipped for good with probability `dropout`, by a hash of (seed, variant, word, place, sizes of both parts). The variant of
-a word is one of `variants`, drawn by a hash of (seed, text, index of the word), so a word varies within and between
-texts while a worker can remember what it has segmented. Without dropout the ids are those of the model.
+skipped for good with probability `dropout`, by a hash of (seed, doc_id, text, index of the word, place, sizes of both
+parts), so every occurrence of a word is drawn for itself. A worker remembers each word's merges without dropout: they
+hold for an occurrence that skips none of them, and the agenda is run for every other. Without dropout the ids are those
+of the model.
 
 Pieces hold spaces at their beginning only, so words are segmented apart. Characters outside the vocabulary become
 bytes; so does a literal U+2581, which keeps decoding lossless. Null and empty texts have no ids and decode to an
-empty text. Null ids, repeated rows and other columns have no effect. An empty table gives no rows.
+empty text. Null ids count as one id, repeated rows get equal ids and other columns have no effect. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.common import mix, pieces, table
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 2
+DROPOUT, SEED = 0.1, 17
 SPACE = "▁"
 # Stands for a character outside the vocabulary, whose ids are below.
 UNKNOWN = 0xFFFF
+# Stands for a null doc_id.
+LOWEST = -(2**63)
 # Segmented words that a worker remembers.
 MEMORY = 500_000
 
@@ -42,7 +46,7 @@ def model_path() -> str:
 class Codec:
     """Vocabulary of a merge-type model, and both directions."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
+    def __init__(self, path: str, dropout: float, seed: int, memory: int = MEMORY):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,8 +66,8 @@ class Codec:
                 text = piece.replace(SPACE, " ")
                 self.id[text], self.rank[text] = i, -model.get_score(i)
                 self.bytes_of.append(text.encode())
-        self.limit, self.seed, self.variants = int(dropout * 2**32), seed, variants
-        self.known: dict[tuple[str, int], bytes] = {}
+        self.limit, self.seed, self.memory = int(dropout * 2**32), seed, memory
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self._pairs()
 
     def _pairs(self) -> None:
@@ -80,10 +84,15 @@ class Codec:
         self.keys = np.array(keys, np.uint32)[order]
         self.ranks, self.made = np.array(ranks, np.float64)[order], np.array(made, np.int64)[order]
 
-    def agenda(self, words: list[str], variant: np.ndarray) -> list[bytes]:
-        """Ids of many words at once: in every round each word takes the first candidate of its agenda.
+    def skipped(self, base: np.ndarray, merges: np.ndarray) -> np.ndarray:
+        """Whether occurrences named by base skip the candidates."""
+        return (mix(base ^ merges) >> np.uint64(32)).astype(np.int64) < self.limit
 
-        A candidate that is skipped when it comes up never merges, so it is left out as soon as it arises.
+    def agenda(self, words: list[str], base: np.ndarray | None = None) -> tuple[list[bytes], list[bytes]]:
+        """Ids and merges of many words at once: in every round each word takes the first candidate of its agenda.
+
+        A candidate that is skipped when it comes up never merges, so it is left out as soon as it arises. base names
+        the occurrence of each word; without it nothing is skipped.
         """
         out: list[bytes] = [b""] * len(words)
         text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
@@ -93,9 +102,11 @@ class Codec:
         word = np.repeat(np.arange(len(words)), lengths)
         start = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         origin, size = np.arange(len(text)), np.ones(len(text), np.int64)
-        # A name for each word: its characters with their places, the variant and the seed.
-        marks = mix(text.astype(np.uint64) << np.uint64(32) | start.astype(np.uint64))
-        base = mix(np.add.reduceat(marks, np.cumsum(lengths) - lengths) + mix(variant.astype(np.uint64) + np.uint64(self.seed)))
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merge(k: np.ndarray, right: np.ndarray) -> np.ndarray:
+            """Place and sizes of the candidates of symbols k and right."""
+            return (start[k] << 40 | size[k] << 20 | size[right]).astype(np.uint64)
 
         def score(k: np.ndarray) -> np.ndarray:
             """Score of the candidates of symbols k and k + 1; endless if there is none."""
@@ -103,9 +114,8 @@ class Codec:
             key = (symbol[k] << 16 | symbol[right]).astype(np.uint32)
             place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             good = (self.keys[place] == key) & (k + 1 < len(symbol)) & (word[k] == word[right])
-            if self.limit:
-                drawn = mix(base[word[k]] ^ (start[k] << 40 | size[k] << 20 | size[right]).astype(np.uint64))
-                good &= (drawn >> np.uint64(32)).astype(np.int64) >= self.limit
+            if base is not None:
+                good &= ~self.skipped(base[word[k]], merge(k, right))
             return np.where(good, self.ranks[place], np.inf)
 
         scores = score(np.arange(len(symbol)))
@@ -130,6 +140,8 @@ class Codec:
                     break
             first = np.flatnonzero(scores == np.repeat(best, counts))
             first = first[np.concatenate([[True], word[first][1:] != word[first][:-1]])]
+            if base is None:
+                taken.append((word[first], merge(first, first + 1)))
             key = (symbol[first] << 16 | symbol[first + 1]).astype(np.uint32)
             symbol[first] = self.made[np.searchsorted(self.keys, key)]
             size[first] += size[first + 1]
@@ -140,7 +152,14 @@ class Codec:
             scores[first] = score(first)
             before = first[first > 0] - 1
             scores[before] = score(before)
-        return out
+        made = [b""] * len(words)
+        if taken:
+            of, merges = (np.concatenate(x) for x in zip(*taken, strict=True))
+            order = np.argsort(of, kind="stable")
+            ends = (8 * np.searchsorted(of[order], np.arange(len(words) + 1))).tolist()
+            data = merges[order].tobytes()
+            made = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out, made
 
     def _with_bytes(self, ids: np.ndarray, codes: np.ndarray) -> bytes:
         """Ids with characters outside the vocabulary as the ids of their bytes."""
@@ -149,41 +168,54 @@ class Codec:
             found += [i] if i != UNKNOWN else [self.byte_id[x] for x in chr(code).encode()]
         return np.array(found, np.uint32).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], doc_ids: list[int | None] | None = None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known, lists, fresh = self.known, [], set()
-        for text in texts:
+        known, flat, ends, bases = self.known, [], [0], []
+        for text, doc_id in zip(texts, doc_ids or [None] * len(texts), strict=True):
             words = re.findall(" *[^ ]+| +", " " + text) if text else []
-            key = np.uint64(xxhash.xxh3_64_intdigest(text.encode(), seed=self.seed))
-            drawn = (mix(key + np.arange(len(words), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-            pairs = list(zip(words, drawn, strict=True))
-            lists.append(pairs)
-            fresh.update(set(pairs).difference(known))
-        if len(known) + len(fresh) > MEMORY:
+            flat += words
+            ends.append(len(flat))
+            named = (LOWEST if doc_id is None else doc_id).to_bytes(8, "little", signed=True) + text.encode()
+            key = np.uint64(xxhash.xxh3_64_intdigest(named, seed=self.seed))
+            bases.append(mix(key + np.arange(len(words), dtype=np.uint64)))
+        kinds = {word: k for k, word in enumerate(dict.fromkeys(flat))}
+        fresh = [word for word in kinds if word not in known]
+        if len(known) + len(fresh) > self.memory:
             known.clear()
-            fresh = {pair for pairs in lists for pair in pairs}
+            fresh = list(kinds)
         if fresh:
-            order = list(fresh)
-            words, variants = zip(*order, strict=True)
-            known.update(zip(order, self.agenda(list(words), np.array(variants)), strict=True))
-        return [b"".join(map(known.__getitem__, pairs)) for pairs in lists]
+            known.update(zip(fresh, zip(*self.agenda(fresh), strict=True), strict=True))
+        ids = [known[word][0] for word in flat]
+        if self.limit and flat:
+            merges = [known[word][1] for word in kinds]
+            counts = np.array([len(x) // 8 for x in merges])
+            begin = np.cumsum(counts) - counts
+            kind = np.fromiter(map(kinds.__getitem__, flat), np.int64, len(flat))
+            base, n = np.concatenate(bases), counts[kind]
+            of = np.repeat(np.arange(len(flat)), n)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n - begin[kind], n)
+            hit = np.zeros(len(flat), bool)
+            hit[of[self.skipped(base[of], np.frombuffer(b"".join(merges), np.uint64)[place])]] = True
+            again = np.flatnonzero(hit)
+            if len(again):
+                for k, found in zip(again.tolist(), self.agenda([flat[k] for k in again.tolist()], base[again])[0], strict=True):
+                    ids[k] = found
+        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: bytes) -> str:
         data = b"".join([self.bytes_of[i] for i in np.frombuffer(ids, np.uint32).tolist()])
         return data.decode(errors="replace")[1:]
 
 
-def encode(
-    docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS
-) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, text and ids (little-endian unsigned 32-bit) of every row."""
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, dropout, seed, variants)
+        codec = Codec(path, dropout, seed)
         for whole in batches:
             for batch in pieces(whole, "text"):
-                ids = codec.encode([t or "" for t in batch.column("text").to_pylist()])
+                ids = codec.encode([t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"]
                 )
@@ -196,7 +228,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, 0.0, 0, 1)
+        codec = Codec(path, 0.0, 0)
         for batch in batches:
             texts = pa.array([codec.decode(i) for i in batch.column("ids").to_pylist()], pa.string())
             columns = [*batch.columns, texts]

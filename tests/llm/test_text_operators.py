@@ -259,6 +259,36 @@ def test_subwords(docs, no_docs, texts):
     assert subword.decode(subword.encode(no_docs)).count() == 0
 
 
+def test_occurrences_vary():
+    """Each occurrence against the agenda alone; a frequent word has many segmentations, within a text and between ids."""
+    import numpy as np
+
+    codec = subword.Codec(subword.model_path(), 0.1, 17)
+    text = " ".join(["international understanding"] * 1000)
+    plain = subword.Codec(subword.model_path(), 0.0, 17)
+    decoded, kinds = [], Counter()
+    for doc_id in (1, 2, None):
+        ids = codec.encode([text], [doc_id])[0]
+        assert codec.decode(ids) == text
+        assert ids == codec.encode(["other", text], [5, doc_id])[1]
+        decoded.append(ids)
+        rest = [codec.bytes_of[i].decode() for i in np.frombuffer(ids, np.uint32)]
+        cut = "|".join(rest).replace("| ", "\n ").split("\n")  # pieces hold spaces at their beginning only
+        kinds.update(x for x in cut if x.replace("|", "").strip() == "international")
+    assert len(set(decoded)) == 3
+    assert len(kinds) > 20
+    # What is taken from memory equals the agenda of the occurrence.
+    base = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    words = [" international", " understanding", " a"] * 1000
+    free, merges = codec.agenda(words)
+    drawn, _ = codec.agenda(words, base)
+    assert free[:3] == [plain.encode([w[1:]])[0] for w in words[:3]]
+    for k in range(3000):
+        if not codec.skipped(base[k], np.frombuffer(merges[k], np.uint64)).any():
+            assert drawn[k] == free[k]
+    assert 0.1 < np.mean([a != b for a, b in zip(drawn, free, strict=True)]) < 0.8
+
+
 def test_line_classifier(spark, no_docs):
     good, bad = "The quiet river ran by the old mill.\nNobody came. ", "BUY!! NOW### *** $$$\n|x|x|x|x| "
     rows = [(i, (bad if i % 2 else good) * (1 + i % 5)) for i in range(60)] + [(None, good), (100, None), (101, "")]

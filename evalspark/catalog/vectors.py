@@ -243,7 +243,7 @@ def simpleshot_report_rows(spark, sf):
 @query("linear_probe")
 def linear_probe(spark, sf):
     rows = fx.embeddings(spark, sf)
-    out = probes.linear_probe(rows, max_iter=20)(rows)
+    out = probes.linear_probe(rows)(rows)
     return out.select("id", "label", "y_pred", F.round(F.array_max("probability"), 4).alias("confidence"))
 
 
@@ -251,13 +251,13 @@ def linear_probe(spark, sf):
 def linear_probe_report_rows(spark, sf):
     rows = fx.embeddings(spark, sf).withColumn("split", F.when(F.col("label") < 8, "train").otherwise("test"))
     train, test = rows.where("split = 'train'"), rows
-    return run_probe(train, test, lambda part: probes.linear_probe(part, max_iter=10)).select("img_id", "score", "info")
+    return run_probe(train, test, lambda part: probes.linear_probe(part)).select("img_id", "score", "info")
 
 
 @query("searched_logistic_regression")
 def searched_logistic_regression(spark, sf):
     rows = fx.embeddings(spark, sf)
-    predict = probes.search_logreg(rows, n_iter=3, folds=2, max_iter=10)
+    predict = probes.search_logreg(rows)
     return predict(rows).select("id", "label", "y_pred")
 
 
@@ -266,7 +266,7 @@ def svm_by_task(spark, sf):
     rows = fx.embeddings(spark, sf).select(
         "id", "embedding", F.concat(F.lit("t"), (F.col("label") % 3).cast("string")).alias("task"), (F.col("id") % 2).cast("int").alias("label")
     )
-    return probes.svm_by_task(rows, rows, max_iter=20).select("id", "task", "label", "y_pred")
+    return probes.svm_by_task(rows, rows, max_iter=10_000).select("id", "task", "label", "y_pred")
 
 
 def labelled_bits(spark, sf):
@@ -277,7 +277,7 @@ def labelled_bits(spark, sf):
 @query("multilabel_probe")
 def multilabel_probe(spark, sf):
     rows = labelled_bits(spark, sf)
-    scored = probes.multilabel_probe(rows, max_iter=20)(rows)
+    scored = probes.multilabel_probe(rows)(rows)
     out = probes.multilabel_decide(scored, labels="y")
     return out.select("id", "label", F.round("score", 9).alias("score"))
 

@@ -254,3 +254,46 @@ def test_quantile_by_rank(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id bigint, d double")
     for pct in (0.0, 0.5, 0.95, 1.0):
         assert np.isclose(openset.quantile(df, "d", "id", pct), np.quantile(values, pct))
+
+
+def test_registered_fits_are_whole(spark, monkeypatch):
+    """Registered fits end by themselves, not at a limit of iterations; the search takes 30 draws in five folds."""
+    from pyspark.ml import classification
+    from pyspark.ml.tuning import CrossValidator
+
+    from evalspark.catalog import vectors as catalog
+
+    ended = []
+
+    def watched(kind):
+        inner = kind._fit
+
+        def fit(self, rows):
+            model = inner(self, rows)
+            summary = model.summary() if kind is classification.LinearSVC else model.summary
+            ended.append((summary.totalIterations, self.getMaxIter()))
+            return model
+
+        monkeypatch.setattr(kind, "_fit", fit)
+
+    watched(classification.LogisticRegression)
+    watched(classification.LinearSVC)
+    folder = "/root/testdata/sf0.001"
+    for name in ("linear_probe", "linear_probe_report_rows", "svm_by_task", "multilabel_probe"):
+        ended.clear()
+        assert getattr(catalog, name)(spark, folder).count() == 500
+        assert ended and all(n < most for n, most in ended), (name, ended)
+
+    class Stop(Exception):
+        pass
+
+    def searched(self, rows):
+        head = self.getEstimator().getStages()[-1]
+        ended.append((len(self.getEstimatorParamMaps()), self.getNumFolds(), head.getMaxIter()))
+        raise Stop
+
+    monkeypatch.setattr(CrossValidator, "_fit", searched)
+    ended.clear()
+    with pytest.raises(Stop):
+        catalog.searched_logistic_regression(spark, folder)
+    assert ended == [(30, 5, 1000)]

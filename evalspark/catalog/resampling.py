@@ -12,7 +12,7 @@ from evalspark.operators import costs, metrics, sampling
 from evalspark.plans import report
 
 SEED = 17
-B = 20
+B = 500
 ALPHA = 0.05
 
 

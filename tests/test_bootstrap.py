@@ -137,3 +137,12 @@ def test_unequal_counts_are_an_error(spark):
     with pytest.raises(ValueError, match="between 2 and 3"):
         report.calc_scores(df, b=3)
     assert report.calc_scores(df, b=3, equal_n=False)[0].count() == 2
+
+
+def test_registered_replicates(spark):
+    """Registered bootstraps draw as often as the reference."""
+    from evalspark.catalog import all_queries
+
+    for name in ("bootstrap_macro_f1", "bootstrap_mean_poisson", "bootstrap_spearman"):
+        found = all_queries()[name](spark, "/root/testdata/sf0.001").agg(F.count_distinct("replicate").alias("n")).first()
+        assert found["n"] == 500

@@ -160,14 +160,14 @@ def _contents(docs: DataFrame, sets: DataFrame, size: int = SHINGLE) -> DataFram
         for whole in batches:
             for batch in pieces(whole, "text"):
                 keys, at = shingle_sets(batch.column("text"), size)
-                same = np.flatnonzero(set_names(keys, at).view(np.int64) == batch.column("s").to_numpy())
-                data = [keys[at[k] : at[k + 1]].tobytes() for k in same]
-                yield pa.RecordBatch.from_arrays([batch.column("s").take(pa.array(same)), pa.array(data, pa.binary())], ["s", "shingles"])
+                data = [keys[at[k] : at[k + 1]].tobytes() for k in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([as_long(set_names(keys, at)), pa.array(data, pa.binary())], ["s", "shingles"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("node"), "text")
     texts = Bitmap(sets, "node").split(texts, "node", True)
-    # Repeated rows of a document give the same content.
-    return texts.join(sets.select("s", "node"), "node").select("s", "text").mapInArrow(run, "s bigint, shingles binary").dropDuplicates(["s"])
+    # Joined by set: rows that share an id, or have none, would all meet under one key.
+    found = texts.select("text").mapInArrow(run, "s bigint, shingles binary")
+    return found.join(sets.select("s"), "s", "left_semi").dropDuplicates(["s"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -240,7 +240,8 @@ ENTRY = np.dtype([("token", "<u8"), ("s", "<i8"), ("label", "<i8"), ("n", "<u4")
 def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(a, b): sets with different labels that meet in an index list where sizes and positions let them link.
 
-    labels: (doc_id, label) of the documents whose set has an answer already; other sets are their own label.
+    labels: (doc_id, s, label) of the sets that have an answer already; other sets are their own label. Ids only tell
+    which texts to look at; rows may share one.
     """
     spark = docs.sparkSession
     shards = SHARDS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -252,6 +253,13 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("_id"), "text")
     marks = Bitmap(labels, "doc_id")
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                keys, at = shingle_sets(batch.column("text"), size)
+                full = pa.array(np.diff(at) > 0)
+                yield pa.RecordBatch.from_arrays([as_long(set_names(keys, at)), batch.column("text")], ["s", "text"]).filter(full)
+
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = known.value
         for whole in batches:
@@ -328,7 +336,8 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                     a, b = g["s"][block][i], g["s"][other][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    answered = marks.split(texts, "_id", True).join(labels.select(F.col("doc_id").alias("_id"), "label"), "_id", "left")
+    answered = marks.split(texts, "_id", True).select("text").mapInArrow(named, "s bigint, text string")
+    answered = answered.join(labels.select("s", "label").distinct(), "s", "left")
     alone = texts.select("text", F.lit(None).cast("bigint").alias("label"), marks.bit("_id").alias("bit"))
     entered = alone.union(answered.select("text", "label", F.lit(-1).cast("bigint"))).mapInArrow(enter, ENTRIES)
     return entered.repartition(shards, "shard").mapInArrow(meet, "a bigint, b bigint")
@@ -343,7 +352,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFr
     frequent = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times"))
     first = led(docs, sets, percent, size)
     answers = kept_table(components(first, "a", "b"), "answers")
-    labels = rows.join(answers.select(F.col("node").alias("s"), F.col("component").alias("label")), "s").select("doc_id", "label").distinct()
+    labels = rows.join(answers.select(F.col("node").alias("s"), F.col("component").alias("label")), "s").select("doc_id", "s", "label").distinct()
     labels = kept_table(labels, "labels")
     second = verified(docs, list_pairs(docs, labels, frequent, percent, size), sets, percent, size)
     linked = components(first.union(second), "a", "b").select(F.col("node").alias("s"), "component")

@@ -93,6 +93,37 @@ def test_jaccard(docs, no_docs):
     assert got == sorted(set(named))
 
 
+def test_jaccard_shared_ids(spark):
+    """Different texts under null and repeated ids keep the labels of their own sets."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    bases = [[f"w{rng.randrange(900)}" for _ in range(120)] for _ in range(12)]
+    texts = [" ".join(b) for b in bases] + [" ".join([*b[:-1], "end"]) for b in bases] + [" ".join(["start", *b[1:-1], "end"]) for b in bases]
+    name = [int(x) for x in jaccard.set_names(*jaccard.shingle_sets(pa.array(texts))).view(np.int64)]
+    schema = "doc_id bigint, text string"
+    frequent = spark.createDataFrame([], "token bigint, times bigint")
+    for shared in (None, 7):
+        docs = spark.createDataFrame([(shared, t) for t in texts[:24]], schema)
+        key = jaccard.LOWEST if shared is None else shared
+        labels = spark.createDataFrame([(key, s, k) for k, s in enumerate(name[:24])], "doc_id bigint, s bigint, label bigint")
+        met = {(r["a"], r["b"]) for r in jaccard.list_pairs(docs, labels, frequent).collect()}
+        assert {tuple(sorted((name[k], name[k + 12]))) for k in range(12)} <= met
+    rows = [([None, 5, 6, 100 + k][k % 4], t) for k, t in enumerate(texts)]
+    held, least = [shingles(t) for t in texts], lambda d: jaccard.LOWEST if d is None else d
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(held[a] & held[b]) >= 90 * len(held[a] | held[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    lowest = {g: min(least(rows[k][0]) for k in range(len(rows)) if group[k] == g) for g in group}
+    expected = [(d, len(held[k]), None if lowest[group[k]] == jaccard.LOWEST else lowest[group[k]]) for k, (d, _) in enumerate(rows)]
+    got = rows_of(jaccard.join(spark.createDataFrame(rows, schema)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(expected, key=repr)
+
+
 def test_pipeline_near_duplicates(spark):
     """Five words and 80 % against all pairs, on copies that three words and 90 % tell apart."""
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))

@@ -30,13 +30,13 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about STEP_BYTES of text each, one row at least."""
+def pieces(batch: pa.RecordBatch, column: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about `size` bytes of text each, one row at least."""
     ends = np.cumsum(np.diff(_offsets(batch.column(column))))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + STEP_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -82,14 +82,17 @@ def run_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
 
 
 class Words:
-    """Words of the rows of a text column: hashes, byte places, and the words before each row."""
+    """Words of the rows of a text column: hashes, byte places, and the words before each row.
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    `gaps` marks the bytes that separate words.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, gaps: np.ndarray = SPACE):
         self.data, self.at = text_bytes(texts)
         if lower and len(self.data):
             upper = (self.data >= 65) & (self.data <= 90)
             self.data = self.data + upper.astype(np.uint8) * np.uint8(32)
-        gap = SPACE[self.data]
+        gap = gaps[self.data]
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.at] = True
         inside = np.concatenate([[True], gap, [True]])

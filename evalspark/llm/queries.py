@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm import anchors, chat, columns, jaccard, line_crf, packing, perplexity, product, secrets, subword
+from evalspark.llm import anchors, chat, columns, jaccard, line_crf, packing, perplexity, product, secrets, subword, tree_bpe
 
 QUERIES = {
     "op1_product_quantisation": product.op1_product_quantisation,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_line_quality": line_crf.op8_line_quality,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_fixed_anchors": anchors.op10_fixed_anchors,
+    "op13_tree_bpe": tree_bpe.op13_tree_bpe,
 }
 SQL = {"op2_chat_format": chat.SQL, "op4_secret_scan": secrets.SQL}

@@ -80,7 +80,7 @@ def test_chat_round_trip(spark):
 @pytest.fixture(scope="module")
 def engine():
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "conversations"):
+    for name in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     return con
 

@@ -4,6 +4,9 @@ Two ways to resample. ``multinomial`` draws n of n example ids with replacement,
 once per task and replicate, and every model uses the same draw. ``poisson`` gives
 each example an independent Poisson(1) count from a hash of its id: the counts need
 no draw table and no join, so it is the one to use on very large tables.
+
+The metrics of the report are computed from count arrays (``counts``). ``bootstrap``
+takes any other metric that has a weight column.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from evalspark.functions.draws import hash_index, hash_long, poisson_count, poisson_limits
 from evalspark.functions.vectors import list_column
-from evalspark.operators import costs, metrics
+from evalspark.operators import costs, counts
 from evalspark.scaling import explode_range, group_rank
 
 TASK, MODEL, ID = "task_name", "model_ckpt", "img_id"
@@ -176,17 +179,15 @@ def complete(replicates: DataFrame, df: DataFrame, b: int) -> DataFrame:
     return every.join(replicates, [TASK, MODEL, REPLICATE], "left")
 
 
-LABELS = ["y_true", "y_pred"]
-
-
 def bootstrap_mean(df: DataFrame, b: int, seed: int, method: str = "multinomial") -> DataFrame:
     """Replicates of the mean score."""
-    return bootstrap(df, metrics.mean_score, b, seed, method, ["score"])
+    return counts.replicates(df, counts.weighted_mean("score"), b, seed, method)
 
 
 def bootstrap_accuracy(df: DataFrame, b: int, seed: int, method: str = "multinomial") -> DataFrame:
     """Replicates of the accuracy."""
-    return bootstrap(df, metrics.micro_acc, b, seed, method, LABELS)
+    hits = df.withColumn("_hit", (F.col("y_true") == F.col("y_pred")).cast("int"))
+    return counts.replicates(hits, counts.weighted_mean("_hit"), b, seed, method)
 
 
 def bootstrap_macro_f1(
@@ -198,33 +199,26 @@ def bootstrap_macro_f1(
     misses the largest label is still divided by the same number. With ``inner``
     above 1 each replicate is the mean of that many draws.
     """
-    largest = df.groupBy(TASK, MODEL).agg((F.greatest(F.max("y_true"), F.max("y_pred")) + 1).alias("_c"))
-    rows = replicate_cells(df, LABELS, b * inner, seed, method)
-    by = [TASK, MODEL, REPLICATE]
-    sums = metrics.class_counts(rows, by, "w")
-    total = F.col("n_true") + F.col("n_pred")
-    summed = sums.groupBy(*by).agg(F.sum(F.when(total > 0, 2 * F.col("tp") / total)).alias("_f1"))
-    out = summed.join(largest, [TASK, MODEL]).select(*by, (F.col("_f1") / F.col("_c")).alias("value"))
-    if method == "poisson":
-        out = complete(out, df, b * inner)
+    out = counts.replicates(df, counts.macro_f1(), b * inner, seed, method)
     if inner == 1:
         return out
     grouped = out.withColumn(REPLICATE, F.floor(F.col(REPLICATE) / inner).cast("int"))
-    return grouped.groupBy(*by).agg(F.avg("value").alias("value"))
+    return grouped.groupBy(TASK, MODEL, REPLICATE).agg(F.avg("value").alias("value"))
 
 
 def bootstrap_multilabel(df: DataFrame, b: int, seed: int, method: str = "multinomial") -> DataFrame:
     """Replicates of the multi-label macro F1; whole rows are drawn, with all their traits."""
-    return bootstrap(df, metrics.multilabel_macro_f1, b, seed, method)
+    both = df.withColumn("_traits", F.to_json(F.struct("y_true", "y_pred")))
+    return counts.replicates(both, counts.multilabel_f1(), b, seed, method)
 
 
 def bootstrap_user_loss(
     df: DataFrame, harmful: Iterable[int] | DataFrame, b: int, seed: int, method: str = "multinomial"
 ) -> DataFrame:
     """Replicates of the normalised user loss; the largest loss is pooled over replicates."""
-    return bootstrap(
-        df, costs.user_loss_norm, b, seed, method, LABELS, harmful=harmful, shared=[TASK, MODEL]
-    )
+    coded = costs.error_codes(df, harmful, "_code")
+    statistic = counts.coded(costs.ERROR_BITS, costs.pooled_user_loss, "_code")
+    return counts.replicates(coded, statistic, b, seed, method)
 
 
 def summarize_ci(replicates: DataFrame, alpha: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,3 +145,39 @@ def cost_report(df: DataFrame, by: list[str], harmful: Iterable[int] | DataFrame
     )
     f1 = macro_f1(df, by, present_only=True).withColumn("f1_macro", F.col("value") * 100).drop("value")
     return f1.join(sums, by).withColumn("user_loss", F.col("ce_unk") + F.col("psc_esc_cost"))
+
+
+# Flags of a row in ``error_codes``, lowest bit first.
+ERROR_BITS = ["wrong_class", "unknown_as_known", "known_as_unknown", "harmful_missed", "harmless_flagged", "unknown", "harmful"]
+
+
+def error_codes(df: DataFrame, harmful: Iterable[int] | DataFrame, name: str) -> DataFrame:
+    """Add an integer with one bit per kind of error and truth of a row, so that rows can be counted by it."""
+    true, pred = F.col("y_true") == UNKNOWN, F.col("y_pred") == UNKNOWN
+    flags = [
+        (F.col("y_true") != F.col("y_pred")) & ~true & ~pred,
+        true & ~pred,
+        ~true & pred,
+        F.col("true_harmful") & ~F.col("pred_harmful"),
+        ~F.col("true_harmful") & F.col("pred_harmful"),
+        true,
+        F.col("true_harmful"),
+    ]
+    code = F.lit(0)
+    for k, flag in enumerate(flags):
+        code = code + F.when(flag, 1 << k).otherwise(0)
+    return flag_harmful(df, harmful).withColumn(name, code.cast("int"))
+
+
+def pooled_user_loss(total: np.ndarray, costs: Costs = Costs()) -> np.ndarray:
+    """Normalised user loss of every replicate from the row counts of ``ERROR_BITS`` and all rows, one column each.
+
+    The largest possible loss is that of the truth of all replicates together. A replicate without rows is nan.
+    """
+    wrong, as_known, as_unknown, missed, flagged, unknown, harmful, n = total
+    loss = wrong + costs.unknown_as_known * as_known + costs.known_as_unknown * as_unknown
+    loss = loss + costs.harmful_missed * missed + costs.harmless_flagged * flagged
+    every, unknown, harmful = n.sum(), unknown.sum(), harmful.sum()
+    worst = (costs.unknown_as_known - 1) * unknown / every + 1
+    worst += (costs.harmful_missed * harmful + costs.harmless_flagged * (every - harmful)) / every
+    return 1 - np.divide(loss, n, out=np.full(len(n), np.nan), where=n > 0) / worst

@@ -97,16 +97,16 @@ def bootstrap_macro_f1_poisson(spark, sf):
 
 @query(
     "bootstrap_macro_f1_averaged",
-    f"""WITH {fx.PREDS}, {draws_sql("preds", 9)}, {F1_BOOT}
-SELECT task_name, model_ckpt, replicate // 3 AS replicate, round(avg(value), 9) AS value FROM bs GROUP BY 1, 2, 3""",
+    f"""WITH {fx.PREDS}, {draws_sql("preds", 9 * B)}, {F1_BOOT}
+SELECT task_name, model_ckpt, replicate // 9 AS replicate, round(avg(value), 9) AS value FROM bs GROUP BY 1, 2, 3""",
 )
 def bootstrap_macro_f1_averaged(spark, sf):
-    return rounded(boot.bootstrap_macro_f1(fx.predictions(spark, sf), 3, SEED, inner=3))
+    return rounded(boot.bootstrap_macro_f1(fx.predictions(spark, sf), B, SEED, inner=9))
 
 
 @query(
     "bootstrap_multilabel",
-    f"""WITH {fx.TRAITS}, {draws_sql("traits", 5)},
+    f"""WITH {fx.TRAITS}, {draws_sql("traits")},
 tc AS (SELECT task_name, model_ckpt, replicate, trait, label, sum(tp) AS tp, sum(c) AS total FROM (
   SELECT p.task_name, model_ckpt, replicate, trait, y_true AS label, w AS c, w * {HIT} AS tp FROM traits p JOIN w ON p.task_name = w.task_name AND p.img_id = w.img_id
   UNION ALL SELECT p.task_name, model_ckpt, replicate, trait, y_pred, w, 0 FROM traits p JOIN w ON p.task_name = w.task_name AND p.img_id = w.img_id
@@ -115,7 +115,7 @@ tf AS (SELECT task_name, model_ckpt, replicate, trait, sum(2e0 * tp / total) / 2
 SELECT task_name, model_ckpt, replicate, round(avg(v), 9) AS value FROM tf GROUP BY 1, 2, 3""",
 )
 def bootstrap_multilabel(spark, sf):
-    return rounded(boot.bootstrap_multilabel(fx.traits(spark, sf), 5, SEED))
+    return rounded(boot.bootstrap_multilabel(fx.traits(spark, sf), B, SEED))
 
 
 @query(

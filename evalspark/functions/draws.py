@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,99 @@ def poisson_count(draw: str) -> Column:
     for k, limit in enumerate(limits[1:], start=1):
         count = count.when(F.col(draw) < limit, k)
     return count.otherwise(len(limits))
+
+
+# Digests made in one step of ``hash_grid``, so that its arrays stay in a core's cache.
+STEP = 8192
+# The digest's sine table and its shifts, by its definition.
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_TURNS = [row[i % 4] for row in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for i in range(16)]
+_START = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+
+
+def _first_half(words: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First two words of the md5 of `size` messages of one block; a word that all have alike may be a number."""
+    a, b, c, d = (np.full(size, v) for v in _START)
+    f, turned = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+            g = i
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+            g = (5 * i + 1) % 16
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            g = (3 * i + 5) % 16
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            g = 7 * i % 16
+        f += a
+        f += words[g]
+        f += _SINES[i]
+        np.left_shift(f, np.uint32(_TURNS[i]), out=turned)
+        f >>= np.uint32(32 - _TURNS[i])
+        f |= turned
+        f += b
+        # The oldest word makes room for the new one.
+        a, d, c, b, f = d, c, b, f, a
+    return a + _START[0], b + _START[1]
+
+
+def _words(text: np.ndarray, at: int) -> list[np.ndarray]:
+    """The 16 words of messages in which these bytes stand from a place on and all else is zero."""
+    room = np.zeros((len(text), 64), np.uint8)
+    room[:, at : at + text.shape[1]] = text
+    return list(np.ascontiguousarray(room.view("<u4").T))
+
+
+def hash_grid(prefixes: list[str], values: list[str] | np.ndarray) -> np.ndarray:
+    """``hash_long`` of every prefix with every value, as an array (prefixes, values), for use inside tasks.
+
+    Values may be an array of whole numbers from 0 on.
+    """
+    out = np.zeros((len(prefixes), len(values)), np.int64)
+    heads = [p.encode() + b"-" for p in prefixes]
+    if isinstance(values, np.ndarray):
+        tails, tail_sizes = None, 1 + sum(((values >= 10**k).astype(int) for k in range(1, 19)), np.zeros(len(values), int))
+    else:
+        tails = [v.encode() for v in values]
+        tail_sizes = np.array([len(t) for t in tails], int)
+
+    def tail_bytes(columns: np.ndarray, t: int) -> np.ndarray:
+        if tails is None:
+            return (values[columns][:, None] // 10 ** np.arange(t - 1, -1, -1) % 10 + 48).astype(np.uint8)
+        return np.frombuffer(b"".join([tails[j] for j in columns.tolist()]), np.uint8).reshape(len(columns), t)
+
+    head_sizes = np.array([len(h) for h in heads])
+    for p in np.unique(head_sizes).tolist():
+        rows = np.flatnonzero(head_sizes == p)
+        head = np.frombuffer(b"".join([heads[i] for i in rows]), np.uint8).reshape(-1, p)
+        for t in np.unique(tail_sizes).tolist():
+            columns = np.flatnonzero(tail_sizes == t)
+            tail = tail_bytes(columns, t)
+            if p + t > 55:
+                for i, start in zip(rows.tolist(), head, strict=True):
+                    digests = b"".join([hashlib.md5(start.tobytes() + end.tobytes()).digest() for end in tail])
+                    out[i, columns] = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64)
+                continue
+            front = _words(head, 0)
+            back = _words(np.concatenate([tail, np.full((len(tail), 1), 128, np.uint8)], axis=1), p)
+            wide = min(len(columns), STEP)
+            high, used = max(1, STEP // wide), (p + t) // 4 + 1
+            for i in range(0, len(rows), high):
+                for j in range(0, len(columns), wide):
+                    some, ends = rows[i : i + high], columns[j : j + wide]
+                    words = [(front[k][i : i + high, None] | back[k][None, j : j + wide]).ravel() for k in range(used)]
+                    words += [np.uint32(0)] * (16 - used)
+                    words[14] = np.uint32(8 * (p + t))
+                    first, second = (w.byteswap().astype(np.int64) for w in _first_half(words, len(some) * len(ends)))
+                    out[some[:, None], ends] = ((first << 28) | (second >> 4)).reshape(len(some), len(ends))
+    return out

@@ -13,7 +13,6 @@ Null predictions are handled by the statistic; a replicate that draws nothing ha
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,23 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.functions.draws import poisson_limits
+from evalspark.functions.draws import hash_grid, poisson_limits
 from evalspark.functions.vectors import list_column
 from evalspark.scaling import explode_range, group_rank, materialize
 
-try:
-    # Faster for short texts than the default; the digests are the same.
-    from _md5 import md5
-except ImportError:
-    md5 = hashlib.md5
-
 TASK, MODEL, ID = "task_name", "model_ckpt", "img_id"
 REPLICATE = "replicate"
 # Counts held at once by one step, and bytes of sums held before they are sent on.
 CELLS = 2_000_000
 SUM_BYTES = 64 * 1024 * 1024
-# Positions of a task whose draws travel and are counted together, slots drawn by one row, draws packed at once.
-RUN, SLOTS, PACK = 4096, 65_536, 4_000_000
+# Positions of a task whose draws travel and are counted together (a power of two), slots drawn by one row, draws
+# packed at once.
+RUN_BITS, SLOTS, PACK = 12, 65_536, 4_000_000
+RUN = 1 << RUN_BITS
 
 
 @dataclass(frozen=True)
@@ -61,13 +56,6 @@ class Statistic:
     dense: bool = False
 
 
-def hash_array(prefix: str, values: list[str]) -> np.ndarray:
-    """``hash_long`` of prefix and value for every value."""
-    start = prefix.encode() + b"-"
-    digests = b"".join([md5(start + v.encode()).digest() for v in values])
-    return (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64)
-
-
 # ---- counts of examples
 
 
@@ -79,9 +67,13 @@ def _poisson_counts(seed: int, b: int) -> Callable:
         tasks, ids = np.array(part.column(TASK).to_pylist(), object), part.column("_id").to_pylist()
         for task in dict.fromkeys(tasks.tolist()):
             rows = np.flatnonzero(tasks == task)
-            own = [ids[i] for i in rows.tolist()]
-            for r in range(b):
-                out[rows, r] = np.searchsorted(limits, hash_array(f"{seed}-{task}-{r}", own), side="right")
+            drawn = hash_grid([f"{seed}-{task}-{r}" for r in range(b)], [ids[i] for i in rows.tolist()])
+            for limit in limits:
+                # Few counts are above the first limits.
+                more = drawn >= limit
+                if not more.any():
+                    break
+                out[rows] += more.T
         return out
 
     return counts
@@ -101,15 +93,16 @@ def packed_draws(spark: SparkSession, sizes: dict[str, int], b: int, seed: int)
     def pack(held: list[tuple[str, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         names, runs, draws = [], [], []
         for task in sorted({h[0] for h in held}):
-            place = np.concatenate([p for t, p, _ in held if t == task])
+            run = np.concatenate([p for t, p, _ in held if t == task])
             word = np.concatenate([w for t, _, w in held if t == task])
-            order = np.argsort(place // RUN, kind="stable")
-            run = (place // RUN)[order]
+            # Short keys are sorted by counting.
+            order = np.argsort(run.astype(np.uint16) if run.max() < 2**16 else run, kind="stable")
+            run, word = run[order], word[order]
             at = np.flatnonzero(np.diff(run, prepend=-1))
-            for a, z in zip(at, [*at[1:], len(run)]):
+            for a, z in zip(at, [*at[1:], len(run)], strict=True):
                 names.append(task)
                 runs.append(int(run[a]))
-                draws.append(word[order[a:z]].tobytes())
+                draws.append(word[a:z].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(names), pa.array(runs, pa.int64()), pa.array(draws, pa.binary())], [TASK, "_run", "_draws"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +110,9 @@ def packed_draws(spark: SparkSession, sizes: dict[str, int], b: int, seed: int)
         for batch in batches:
             for row in batch.to_pylist():
                 task, n, r, first = row[TASK], row["_n"], row[REPLICATE], row["_first"] * SLOTS
-                slots = list(map(str, range(first, min(first + SLOTS, n))))
-                place = hash_array(f"{seed}-{task}-{r}", slots) % n
-                held.append((task, place, (r * RUN + place % RUN).astype(np.uint32)))
+                slots = np.arange(first, min(first + SLOTS, n))
+                place = hash_grid([f"{seed}-{task}-{r}"], slots)[0] % n
+                held.append((task, (place >> RUN_BITS).astype(np.int32), (r << RUN_BITS | place & (RUN - 1)).astype(np.uint32)))
                 total += len(slots)
                 if total >= PACK:
                     yield pack(held)
@@ -133,6 +126,10 @@ def packed_draws(spark: SparkSession, sizes: dict[str, int], b: int, seed: int)
 # ---- sums
 
 
+def _parts(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 class _Sums:
     """Sums of one task's rows per (task, model, key)."""
 
@@ -240,7 +237,7 @@ def _multinomial_sums(examples: DataFrame, statistic: Statistic, b: int, seed: i
     drawn = packed_draws(examples.sparkSession, sizes, b, seed)
     drawn = drawn.select(TASK, "_run", "_draws", F.lit(-1).alias("_at"), F.lit(None).cast(fed.schema["_rows"].dataType).alias("_rows"))
     runs = sum(-(-n // RUN) for n in sizes.values())
-    parts = max(int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs // 4))
+    parts = max(_parts(examples.sparkSession), -(-runs // 4))
     met = drawn.union(fed).repartition(parts, TASK, "_run").sortWithinPartitions(TASK, "_run", "_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +252,9 @@ def _multinomial_sums(examples: DataFrame, statistic: Statistic, b: int, seed: i
                     counts[:] = 0
                 part = batch.slice(a, z - a)
                 if at[a] < 0:
-                    for draws in part.column("_draws"):
-                        word = np.frombuffer(draws.as_buffer(), np.uint32)
-                        counts += np.bincount((word % RUN).astype(np.int64) * b + word // RUN, minlength=len(counts)).astype(np.int32)
+                    word = np.concatenate([np.frombuffer(d.as_buffer(), np.uint32) for d in part.column("_draws")])
+                    at_word = (word & np.uint32(RUN - 1)).astype(np.int64) * b + (word >> np.uint32(RUN_BITS))
+                    counts += np.bincount(at_word, minlength=len(counts)).astype(np.int32)
                     continue
                 for piece in _slices(part, b):
                     sums.add(piece, counts.reshape(RUN, b)[piece.column("_at").to_numpy()])
@@ -332,7 +329,9 @@ def _values(parts: DataFrame, statistic: Statistic, b: int) -> DataFrame:
 def replicates(df: DataFrame, statistic: Statistic, b: int, seed: int, method: str = "multinomial") -> DataFrame:
     """(task, model, replicate, value) of a statistic, b rows per task and model."""
     kept = [c for c in dict.fromkeys([MODEL, *statistic.columns])]
-    examples = df.groupBy(TASK, ID).agg(F.collect_list(F.struct(*kept)).alias("_rows"))
+    # A set number of parts: what follows is far more work than the size of these rows tells.
+    spread = df.select(TASK, ID, *kept).repartition(_parts(df.sparkSession), TASK, ID)
+    examples = spread.groupBy(TASK, ID).agg(F.collect_list(F.struct(*kept)).alias("_rows"))
     if method == "poisson":
         sums = _poisson_sums(examples, statistic, b, seed)
     elif method == "multinomial":

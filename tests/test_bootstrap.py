@@ -146,3 +146,16 @@ def test_registered_replicates(spark):
     for name in ("bootstrap_macro_f1", "bootstrap_mean_poisson", "bootstrap_spearman"):
         found = all_queries()[name](spark, "/root/testdata/sf0.001").agg(F.count_distinct("replicate").alias("n")).first()
         assert found["n"] == 500
+
+
+def test_hash_grid_equals_the_column(spark):
+    from evalspark.functions.draws import hash_grid, hash_long
+
+    prefixes, values = ["17-t-0", "17-t-10", "5-" + "ü" * 20], ["", "1", "22", "x" * 60, "é", *map(str, range(95, 105))]
+    grid = hash_grid(prefixes, values)
+    rows = [(p, v, i, j) for i, p in enumerate(prefixes) for j, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "p string, v string, i int, j int").withColumn("h", hash_long(F.col("p"), F.col("v")))
+    assert all(r["h"] == grid[r["i"], r["j"]] for r in df.collect())
+    numbers = np.array([0, 9, 10, 99, 100, 12345, 10**15])
+    assert (hash_grid(prefixes, numbers) == hash_grid(prefixes, [str(n) for n in numbers])).all()
+    assert hash_grid([], values).shape == (0, len(values)) and hash_grid(prefixes, []).shape == (3, 0)

@@ -345,6 +345,10 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return _joined(docs, percent, size).drop("s", "root")
+
+
+def _joined(docs: DataFrame, percent: int, size: int) -> DataFrame:
     scanned = kept_table(scan(docs, size), "shingles")
     rows = scanned.where("token IS NULL").select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "n", "s", "mins", "sketch")
     sets = rows.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("mins", "sketch")])
@@ -358,25 +362,56 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFr
     linked = components(first.union(second), "a", "b").select(F.col("node").alias("s"), "component")
     named = sets.join(linked, "s", "left").select("s", "node", F.coalesce("component", "s").alias("component"))
     least = named.groupBy("component").agg(F.min("node").alias("component_id"))
-    of_set = named.join(least, "component").select("s", "component_id")
+    of_set = named.join(least, "component").select("s", "component_id", F.col("component").alias("root"))
     found = rows.join(of_set, "s", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     shown = [F.when(c != LOWEST, c) for c in (F.col("doc_id"), component)]
-    return found.select(shown[0].alias("doc_id"), F.col("n").alias("n_shingles"), shown[1].alias("component_id"))
+    return found.select(shown[0].alias("doc_id"), F.col("n").alias("n_shingles"), shown[1].alias("component_id"), "s", "root")
+
+
+def _free(columns: list[str], name: str) -> str:
+    """The name, longer if a column has it already."""
+    while name in columns:
+        name += "_"
+    return name
+
+
+def _with_set(docs: DataFrame, size: int, name: str) -> DataFrame:
+    """The rows with the name of their set in a new column, null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                keys, at = shingle_sets(batch.column("text"), size)
+                names = pa.array(set_names(keys, at).view(np.int64), mask=np.diff(at) == 0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, names], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0).cast("bigint")).schema)
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The row with the smallest doc_id of each component, once if it is repeated; rows without doc_id stay."""
-    found = kept_table(join(docs, percent, size).where("doc_id IS NOT NULL"), "linked")
-    own = F.max(F.col("component_id").eqNullSafe(F.col("doc_id")).cast("int"))
-    told = found.groupBy("doc_id").agg(own.alias("__own"), F.count(F.lit(1)).alias("__n"))
-    told = kept_table(told.where("__own = 0 OR __n > 1").select(F.col("doc_id").alias("__key"), "__own"), "dropped")
-    marks = Bitmap(told, "__key")
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)))
-    plain = marks.split(keyed, "__key", False).select(*docs.columns)
-    judged = marks.split(keyed, "__key", True).join(told, "__key", "left").where("__own IS NULL OR __own = 1")
-    repeated = judged.where("__own = 1").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return plain.union(judged.where("__own IS NULL").select(*docs.columns)).union(repeated)
+    """The row with the smallest doc_id of each component; rows without doc_id or without words stay.
+
+    Rows are told apart by id and set: different texts under one id are judged each for itself. Of a component's rows
+    that share its smallest id one set stays, and of rows with equal id and set one row.
+    """
+    found = kept_table(_joined(docs, percent, size).where("doc_id IS NOT NULL AND n_shingles > 0"), "linked")
+    sets = found.groupBy("doc_id", "s").agg(F.first("component_id").alias("component_id"), F.first("root").alias("root"), F.count(F.lit(1)).alias("n"))
+    first = sets.where("doc_id = component_id").groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("s").alias("s"))
+    sets = sets.join(first.select("doc_id", "s", F.lit(1).alias("own")), ["doc_id", "s"], "left")
+    by_id = sets.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("kinds"), F.max(F.when(F.col("own").isNull() | (F.col("n") > 1), 1).otherwise(0)).alias("odd")
+    )
+    told = sets.join(by_id.where("odd = 1 OR kinds > 1"), "doc_id", "left_semi")
+    key, s, own = (_free(docs.columns, name) for name in ("__key", "__s", "__own"))
+    told = told.select(F.col("doc_id").alias(key), F.col("s").alias(s), F.coalesce("own", F.lit(0)).alias(own))
+    told = kept_table(told, "dropped")
+    marks = Bitmap(told, key)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)))
+    plain = marks.split(keyed, key, False).select(*docs.columns)
+    judged = _with_set(marks.split(keyed, key, True), size, s).join(told, [key, s], "left")
+    repeated = judged.where(F.col(own) == 1).dropDuplicates([key, s]).select(*docs.columns)
+    return plain.union(judged.where(F.col(own).isNull()).select(*docs.columns)).union(repeated)
 
 
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,14 +11,14 @@ vectors are indexed. Equal vectors are one entry with a count. Lists and their q
 a task of their own, which returns counts and a spanning forest of the links, never the pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as do vectors of different
-length. Rows with a null vec_id have a null component if it is theirs; repeated ids are rows of their own, and their
-component is that of their vector. Other columns are ignored. An empty table gives no rows.
+length. Vectors are named by their content, so rows that share an id or have none are rows of their own, and their
+component is that of their vector; a null vec_id counts as the smallest. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -150,10 +150,11 @@ def links(entries: DataFrame, dim: int, cosine: float = COSINE, block: int = BLO
     total = entries.count()
     sample = entries.orderBy(F.xxhash64("unit"), "rep").limit(SAMPLE).select("unit").collect()
     x = np.stack([np.frombuffer(r["unit"], np.float64) for r in sample])
-    shared = spark.sparkContext.broadcast(fit(x, max(1, min(MOST_LISTS, total // LIST_ROWS)), cosine))
+    # Plain arrays: workers need not have the package to read them.
+    shared = spark.sparkContext.broadcast(astuple(fit(x, max(1, min(MOST_LISTS, total // LIST_ROWS)), cosine)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         held, asked = (np.zeros(len(model.centres), np.int64) for _ in range(2))
         for batch in batches:
             for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
@@ -168,7 +169,7 @@ def links(entries: DataFrame, dim: int, cosine: float = COSINE, block: int = BLO
     cut = {r["list"]: (-(-r["held"] // block), -(-r["asked"] // block)) for r in rows}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
                 x, reps = _matrix(part.column("unit")), part.column("rep").to_numpy()
@@ -195,7 +196,7 @@ def links(entries: DataFrame, dim: int, cosine: float = COSINE, block: int = BLO
                 )
 
     def compare(key: str, kind, rep, copies, own, unit) -> pa.RecordBatch | None:
-        model, c = shared.value, int(key.split(":")[0])
+        model, c = Model(*shared.value), int(key.split(":")[0])
         kind, rep, copies, own = (np.array(v) for v in (kind, rep, copies, own))
         if kind.all() or not kind.any():
             return None
@@ -248,9 +249,10 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     """vec_id, n_links, component_id, kept of every row."""
     rows = kept_table(unit_vectors(df, vec_id, vector), "units")
     entries = rows.where("dim IS NOT NULL").groupBy("dim", "a", "b").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")
     )
-    entries = kept_table(entries, "entries")
+    # The number of an entry is written with it; ids of rows may be shared or null.
+    entries = kept_table(entries.withColumn("rep", F.monotonically_increasing_id()), "entries")
     found = None
     for (dim,) in sorted(entries.select("dim").distinct().collect()):
         part = links(entries.where(F.col("dim") == dim), dim, cosine)
@@ -259,10 +261,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
         found = df.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
     found = kept_table(found, "links")
     counts = found.where("a = b").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
-    groups = components(found.where("a != b"), "a", "b").select(F.col("node").alias("rep"), "component")
+    groups = components(found.where("a != b"), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("group"))
     known = entries.join(counts, "rep", "left").join(groups, "rep", "left").select(
-        "dim", "a", "b", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
+        "dim", "a", "b", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("group", "rep").alias("group")
     )
+    known = kept_table(known, "known")
+    known = known.join(known.groupBy("group").agg(F.min("least").alias("component")), "group").drop("group", "least")
     out = rows.select("vec_id", "dim", "a", "b").join(known, ["dim", "a", "b"], "left")
     component = F.coalesce("component", "vec_id")
     shown = [F.when(c != LOWEST, c) for c in (F.col("vec_id"), component)]

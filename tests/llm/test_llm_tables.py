@@ -1,5 +1,6 @@
 """Vectors, conversations, components and the registered queries."""
 
+import re
 import sys
 from pathlib import Path
 
@@ -38,6 +39,19 @@ def test_vectors(spark):
     assert product.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_vectors_under_one_id(spark, shared):
+    """Unrelated vectors with one id, or none, keep their own links."""
+    x = np.eye(6)
+    near = x[0] + 0.1 * x[1]
+    rows = [(shared, x[0].tolist()), (shared, x[2].tolist()), (8, near.tolist()), (9, x[4].tolist()), (shared, x[5].tolist()), (shared, x[2].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 AS rep", "2 AS least")
+    got = sorted((tuple(r) for r in product.near_duplicates(df).collect()), key=repr)
+    links = [(shared, 1, shared), (shared, 1, shared), (8, 1, shared), (9, 0, 9), (shared, 0, shared), (shared, 1, shared)]
+    want = [(i, n, c, None if i is None else i == c) for i, n, c in links]
+    assert [r[:3] for r in got] == sorted((w[:3] for w in want), key=repr)
+
+
 def test_blocks_of_a_hot_list(spark):
     rng = np.random.default_rng(4)
     x = np.ones((70, 8)) + rng.normal(size=(70, 8)) * 0.02
@@ -99,12 +113,13 @@ def test_against_sql(spark, engine, name):
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="test tables are absent")
 def test_pipeline_stages(spark):
-    """Each stage against what its operator says of the stage's own input."""
+    """Each stage against plain Python on the stage's own input."""
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
     import corpus_pipeline as pipeline
 
-    from evalspark.llm import anchors, jaccard, line_crf
+    from evalspark.llm import line_crf, secrets
 
+    word = re.compile(r"[^\x20\x09-\x0D]+")
     docs = common.table(spark, str(FOLDER), "documents")
     inputs = []
     for name, stage in pipeline.STAGES:
@@ -112,11 +127,45 @@ def test_pipeline_stages(spark):
         docs = common.kept_table(stage(spark, docs, str(FOLDER)), name)
         if name != "packing":
             assert docs.columns == inputs[0].columns
-    ids = [sorted(r["doc_id"] for r in d.select("doc_id").collect()) for d in inputs]
+    texts = [{r["doc_id"]: r["text"] or "" for r in d.select("doc_id", "text").collect()} for d in inputs]
     model = line_crf.fit(inputs[0], common.table(spark, str(FOLDER), "labels"))
-    assert ids[1] == sorted(r["doc_id"] for r in line_crf.score(inputs[0], model).where("predicted = 1").collect())
-    assert ids[2] == sorted(r["doc_id"] for r in jaccard.join(inputs[1]).where("doc_id = component_id").collect())
-    cut = {r["doc_id"]: r for r in anchors.digests(inputs[2]).collect()}
-    assert ids[3] == sorted(k for k, r in cut.items() if not r["n_removed"] or r["n_removed"] < r["n_words"])
-    assert ids[4] == ids[3]
-    assert {r["doc_id"] for r in docs.collect()} == set(ids[4])
+    assert sorted(texts[1]) == sorted(r["doc_id"] for r in line_crf.score(inputs[0], model).where("predicted = 1").collect())
+    # One of each group of documents that share 80 % of their five-word shingles.
+    held = {}
+    for d, t in sorted(texts[1].items()):
+        w = word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        held[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()}
+    group = {d: d for d in held}
+    for a in held:
+        for b in held:
+            if b < a and group[a] != group[b] and held[a] and held[b] and 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {d: new if g == old else g for d, g in group.items()}
+    assert texts[2] == {d: texts[1][d] for d, g in group.items() if d == g}
+    # Words of 20-word windows that stand earlier go, and documents that lose all.
+    before, expected = set(), {}
+    for d, t in sorted(texts[2].items()):
+        w, gone = word.findall(t), set()
+        for i in range(len(w) - 19):
+            window = tuple(w[i : i + 20])
+            if window in before:
+                gone |= set(range(i, i + 20))
+            before.add(window)
+        if not gone or len(gone) < len(w):
+            expected[d] = [x for i, x in enumerate(w) if i not in gone]
+    assert {d: word.findall(t) for d, t in texts[3].items()} == expected
+    assert any(len(word.findall(texts[2][d])) > len(expected[d]) for d in expected)
+    # No base secret is left, and nothing else changes.
+    assert sorted(texts[4]) == sorted(texts[3])
+    for d, t in texts[4].items():
+        found = [m for rule in secrets.BASE for m in re.finditer(rule.pattern, texts[3][d]) if len(m[rule.group]) >= rule.least]
+        if not found:
+            assert t == texts[3][d]
+        for m in found:
+            assert m[0] not in t
+    # Every id lies in one piece.
+    ends = {}
+    for r in sorted(docs.collect(), key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == ends.get(r["doc_id"], (0, 0))[0]
+        ends[r["doc_id"]] = (r["start"] + r["length"], r["doc_tokens"])
+    assert sorted(ends) == sorted(texts[4]) and all(a == b for a, b in ends.values())

@@ -124,6 +124,22 @@ def test_jaccard_shared_ids(spark):
     assert got == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("shared", [7, None])
+def test_one_of_each_under_one_id(spark, shared):
+    """Unrelated texts under one id are judged apart; repeated rows stay once."""
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"{n}{rng.randrange(900)}" for _ in range(60)) for n in "abcd")
+    rows = [(shared, a), (shared, b), (3, b + " end"), (shared, c), (shared, c), (9, c + " end"), (10, d), (10, d), (11, ""), (11, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'k' AS __own", "1 AS n", "2 AS kinds")
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()), key=repr)
+    if shared is None:
+        # Rows without an id stay; a null id is the smallest of its group.
+        want = [(None, a), (None, b), (None, c), (None, c), (10, d), (11, ""), (11, None)]
+    else:
+        want = [(7, a), (3, b + " end"), (7, c), (10, d), (11, ""), (11, None)]
+    assert got == sorted(want, key=repr)
+
+
 def test_pipeline_near_duplicates(spark):
     """Five words and 80 % against all pairs, on copies that three words and 90 % tell apart."""
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))

@@ -100,34 +100,34 @@ rs AS (SELECT s.g, replicate, s.p AS slot, t.x, t.y, CAST(s.g AS VARCHAR) || '-'
 
 @query(
     "bootstrap_kendall",
-    f"""WITH {fx.WIDE}, src AS (SELECT 0 AS g, model, "A" AS x, mean AS y FROM complete), {resampled_sql("src", "g", 500)},
+    f"""WITH {fx.WIDE}, src AS (SELECT 0 AS g, model, "A" AS x, mean AS y FROM complete), {resampled_sql("src", "g", 5000)},
 t AS (SELECT value FROM {tau_sql("rs", "x", "y", "slot", "gr")})
 SELECT round(quantile_cont(value, 25e-3), 9) AS ci_low, round(quantile_cont(value, 975e-3), 9) AS ci_high FROM t""",
 )
 def bootstrap_kendall(spark, sf):
-    reps = rankstats.bootstrap_rank(fx.complete(spark, sf), [], "A", "mean", "model", 500, SEED)
+    reps = rankstats.bootstrap_rank(fx.complete(spark, sf), [], "A", "mean", "model", 5000, SEED)
     return rounded(rankstats.percentile_band(reps, []))
 
 
 @query(
     "bootstrap_spearman",
-    f"""WITH {fx.WIDE}, src AS (SELECT 0 AS g, model, "A" AS x, mean AS y FROM complete), {resampled_sql("src", "g", 500)}
+    f"""WITH {fx.WIDE}, src AS (SELECT 0 AS g, model, "A" AS x, mean AS y FROM complete), {resampled_sql("src", "g", 5000)}
 SELECT CAST(split_part(g, '-', 2) AS INTEGER) AS replicate, round(value, 9) AS value FROM {rho_sql("rs", "x", "y", "slot", "gr")}""",
 )
 def bootstrap_spearman(spark, sf):
-    return rounded(rankstats.bootstrap_rank(fx.complete(spark, sf), [], "A", "mean", "model", 500, SEED, "rho"))
+    return rounded(rankstats.bootstrap_rank(fx.complete(spark, sf), [], "A", "mean", "model", 5000, SEED, "rho"))
 
 
 @query(
     "permutation_p_value",
-    f"""WITH {fx.WIDE}, sh AS (SELECT replicate, x, y FROM (SELECT replicate, "A" AS x, row_number() OVER (PARTITION BY replicate ORDER BY {sql_hash("'17'", "replicate", "model")}, model) AS p FROM complete, (SELECT unnest(range(1000)) AS replicate))
+    f"""WITH {fx.WIDE}, sh AS (SELECT replicate, x, y FROM (SELECT replicate, "A" AS x, row_number() OVER (PARTITION BY replicate ORDER BY {sql_hash("'17'", "replicate", "model")}, model) AS p FROM complete, (SELECT unnest(range(5000)) AS replicate))
 JOIN (SELECT mean AS y, row_number() OVER (ORDER BY model) AS p FROM complete) USING (p)),
 sn AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY y, x) AS i FROM sh),
 st AS (SELECT value FROM {tau_sql("sn", "x", "y", "i", "replicate")}), ob AS (SELECT value FROM {tau_sql("complete", chr(34) + "A" + chr(34), "mean", "model")})
 SELECT round((count(*) FILTER (WHERE round(st.value, 12) >= (SELECT round(value, 12) FROM ob)) + 1) / (count(*) + 1e0), 9) AS p FROM st""",
 )
 def permutation_p_value(spark, sf):
-    return rounded(rankstats.permutation_p(fx.complete(spark, sf), "A", "mean", "model", 1000, SEED))
+    return rounded(rankstats.permutation_p(fx.complete(spark, sf), "A", "mean", "model", 5000, SEED))
 
 
 AGREE = f"""WITH {fx.WIDE}, top AS (SELECT * FROM complete ORDER BY mean DESC, model LIMIT {{n}}),
@@ -158,12 +158,12 @@ def threshold_sweep(spark, sf):
 @query(
     "hook_curve",
     SWEPT
-    + f""", {resampled_sql("src", "threshold", 10)}, t AS (SELECT value, CAST(split_part(g, '-', 1) AS DOUBLE) AS threshold FROM {tau_sql("rs", "x", "y", "slot", "gr")}),
+    + f""", {resampled_sql("src", "threshold", 500)}, t AS (SELECT value, CAST(split_part(g, '-', 1) AS DOUBLE) AS threshold FROM {tau_sql("rs", "x", "y", "slot", "gr")}),
 pt AS (SELECT g AS threshold, value FROM {tau_sql("src", "x", "y", "model", "threshold")})
 SELECT threshold, round(max(pt.value), 9) AS tau, round(quantile_cont(t.value, 25e-3), 9) AS ci_low, round(quantile_cont(t.value, 975e-3), 9) AS ci_high FROM t JOIN pt USING (threshold) GROUP BY 1""",
 )
 def hook_curve(spark, sf):
-    return rounded(rankstats.hook_curve(fx.complete(spark, sf), "A", "mean", "model", THRESHOLDS, 10, 10, SEED))
+    return rounded(rankstats.hook_curve(fx.complete(spark, sf), "A", "mean", "model", THRESHOLDS, 10, 500, SEED))
 
 
 # ---- long tail -----------------------------------------------------------

@@ -8,7 +8,7 @@ from evalspark.catalog import fixtures as fx
 from evalspark.catalog.registry import query, rounded
 from evalspark.functions.draws import poisson_limits
 from evalspark.operators import bootstrap as boot
-from evalspark.operators import costs, metrics, sampling
+from evalspark.operators import sampling
 from evalspark.plans import report
 
 SEED = 17
@@ -277,7 +277,7 @@ def temporal_split(spark, sf):
     "chance_user_loss",
     f"""WITH tr AS (SELECT CAST(o_custkey % 20 AS INTEGER) AS label, row_number() OVER (ORDER BY o_custkey % 20) AS p FROM orders WHERE o_orderstatus = 'F'),
 te AS (SELECT o_orderkey AS id, CAST(CASE WHEN o_custkey % 20 = 0 THEN -1 ELSE o_custkey % 20 END AS INTEGER) AS y_true FROM orders WHERE o_orderstatus <> 'F'),
-dr AS (SELECT trial, id, y_true, {sql_hash("'17'", "trial", "id")} % ((SELECT count(*) FROM tr) + 1) AS p FROM te, (SELECT unnest(range(10)) AS trial)),
+dr AS (SELECT trial, id, y_true, {sql_hash("'17'", "trial", "id")} % ((SELECT count(*) FROM tr) + 1) AS p FROM te, (SELECT unnest(range(1000)) AS trial)),
 pr AS (SELECT trial, y_true, coalesce(label, -1) AS y_pred FROM dr LEFT JOIN tr ON tr.p = dr.p),
 c AS (SELECT trial, count(*) AS n,
   sum(CASE WHEN y_true <> y_pred AND y_true <> -1 AND y_pred <> -1 THEN 1e0 WHEN y_true = -1 AND y_pred <> -1 THEN 1e1 WHEN y_true <> -1 AND y_pred = -1 THEN 1e-1 ELSE 0e0 END) AS ce,
@@ -292,14 +292,13 @@ def chance_user_loss(spark, sf):
     )
     train = rows.where("o_orderstatus = 'F'")
     test = rows.where("o_orderstatus <> 'F'").select("id", F.when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("y_true"))
-    drawn = sampling.random_labels(test, train, 10, SEED, "id")
-    return rounded(sampling.baseline_summary(costs.user_loss_norm(drawn, ["trial"], fx.HARMFUL)), 6)
+    return rounded(sampling.baseline_summary(sampling.chance_user_loss(test, train, 1000, SEED, "id", fx.HARMFUL)), 6)
 
 
 @query(
     "chance_multilabel",
     f"""WITH bits AS (SELECT trial, j, CAST((o_custkey >> j) & 1 AS INTEGER) AS y_true, {sql_hash("'17'", "trial", "o_orderkey", "j")} % 2 AS y_pred
-  FROM orders, (SELECT unnest(range(5)) AS trial), (SELECT unnest(range(9)) AS j)),
+  FROM orders, (SELECT unnest(range(1000)) AS trial), (SELECT unnest(range(9)) AS j)),
 c AS (SELECT trial, j, label, sum(tp) AS tp, count(*) AS total FROM (SELECT trial, j, y_true AS label, {HIT} AS tp FROM bits UNION ALL SELECT trial, j, y_pred, 0 FROM bits) GROUP BY 1, 2, 3),
 f AS (SELECT trial, avg(v) * 100 AS v FROM (SELECT trial, j, sum(2e0 * tp / total) / 2 AS v FROM c GROUP BY 1, 2) GROUP BY 1)
 SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM f""",
@@ -308,5 +307,4 @@ def chance_multilabel(spark, sf):
     rows = fx.table(spark, sf, "orders").select(
         "o_orderkey", F.array(*[(F.shiftright("o_custkey", j) % 2).cast("int") for j in range(9)]).alias("y_true")
     )
-    drawn = sampling.random_bits(rows, 9, 5, SEED, "o_orderkey")
-    return rounded(sampling.baseline_summary(metrics.multilabel_macro_f1(drawn, ["trial"])), 6)
+    return rounded(sampling.baseline_summary(sampling.chance_multilabel(rows, 9, 1000, SEED, "o_orderkey")), 6)

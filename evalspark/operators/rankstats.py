@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.draws import hash_index, hash_long
-from evalspark.scaling import group_rank, largest_group, stable
+from evalspark.scaling import GROUP_ROWS, group_rank, largest_group, setting, stable
 
-# Rows per piece when inversions are counted.
+# Rows per piece when inversions are counted over tasks, and rows of small groups that are counted at once.
 PIECE = 65_536
+COUNT_ROWS = 262_144
 
 
 def _no_keys(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
@@ -96,17 +99,103 @@ def discordant_pairs(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _counted_groups(table: pa.Table, keys: list[str]) -> pa.Table:
+    """Pair counts of whole groups that lie one after another: pairs, ties of x, of y and of both, and discordant pairs."""
+    n = table.num_rows
+    changed = np.zeros(n, bool)
+    changed[0] = True
+    for key in keys:
+        code = table.column(key).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        changed[1:] |= code[1:] != code[:-1]
+    group = np.cumsum(changed) - 1
+    groups = int(group[-1]) + 1
+    x, y = (table.column(c).to_numpy() for c in ("_x", "_y"))
+
+    def ties(*columns: np.ndarray) -> np.ndarray:
+        order = np.lexsort([*columns, group])
+        same = np.ones(n, bool)
+        for c in (group, *columns):
+            same[1:] &= c[order][1:] == c[order][:-1]
+        same[0] = False
+        start = np.flatnonzero(~same)
+        size = np.diff(np.append(start, n)).astype(float)
+        return np.bincount(group[order[start]], size * (size - 1) / 2, minlength=groups)
+
+    by_y = np.lexsort([y, group])
+    rise = np.zeros(n, bool)
+    rise[1:] = (y[by_y][1:] != y[by_y][:-1]) | (group[by_y][1:] != group[by_y][:-1])
+    dense = np.cumsum(rise)
+    code = np.empty(n, np.int64)
+    code[by_y] = dense - dense[np.searchsorted(group, np.arange(groups))][group[by_y]]
+    # Rows in order of x, then y; two codes differ first at one digit, where a 0 counts the 1s before it.
+    row = np.lexsort([y, x, group])
+    block, crossed = group.copy(), np.zeros(groups)
+    for digit in range(int(code.max()).bit_length() - 1, -1, -1):
+        bit = (code[row] >> digit) & 1
+        before = np.cumsum(bit) - bit
+        first = np.searchsorted(block, np.arange(int(block[-1]) + 1))
+        before -= before[first][block]
+        crossed += np.bincount(group[row], np.where(bit == 0, before, 0), minlength=groups)
+        order = np.argsort(2 * block + bit, kind="stable")
+        row, block = row[order], (2 * block + bit)[order]
+        block = np.cumsum(np.concatenate([[False], block[1:] != block[:-1]]))
+    size = np.bincount(group).astype(float)
+    found = {"_pairs": size * (size - 1) / 2, "_tx": ties(x), "_ty": ties(y), "_txy": ties(x, y), "discordant": crossed}
+    heads = table.select(keys).take(pa.array(np.flatnonzero(changed)))
+    for name, values in found.items():
+        heads = heads.append_column(name, pa.array(values))
+    return heads
+
+
+def _pair_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Pair counts per group where every group fits a task; a task counts all groups of a batch together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            # The last group may go on in the next batch.
+            last = held.slice(held.num_rows - 1)
+            same = np.ones(held.num_rows, bool)
+            for key in keys:
+                code = pa.concat_tables([held.select([key]), last.select([key])]).column(key).combine_chunks().dictionary_encode()
+                code = code.indices.fill_null(-1).to_numpy()
+                same &= code[:-1] == code[-1]
+            start = int(np.flatnonzero(same)[0])
+            if start and held.num_rows >= COUNT_ROWS:
+                yield from _counted_groups(held.slice(0, start), keys).to_batches()
+                held = held.slice(start)
+        if held is not None and held.num_rows:
+            yield from _counted_groups(held, keys).to_batches()
+
+    names = ("_pairs", "_tx", "_ty", "_txy", "discordant")
+    schema = df.select(*keys, *[F.lit(0.0).alias(c) for c in names]).schema
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = df.select(*keys, F.col("_x").cast("double").alias("_x"), F.col("_y").cast("double").alias("_y"))
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def kendall_tau(df: DataFrame, by: list[str], x: str, y: str, id_col: str) -> DataFrame:
-    """Kendall tau-b per group; null when a side is constant."""
+    """Kendall tau-b per group; null when a side is constant. Rows with a null on either side take no part.
+
+    Groups that fit a task are counted there, many at once; if one does not, all pairs are counted digit by digit in
+    pieces over tasks.
+    """
     df, keys = _no_keys(df, by)
-    # Read by the pair count, the tie counts and the scan.
-    df = stable(df.select(*keys, F.col(id_col).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y")))
-    n = F.count(F.lit(1)).cast("double")
-    out = df.groupBy(*keys).agg((n * (n - 1) / 2).alias("_pairs"))
-    out = out.join(_tied_pairs(df, keys, ["_x"], "_tx"), keys)
-    out = out.join(_tied_pairs(df, keys, ["_y"], "_ty"), keys)
-    out = out.join(_tied_pairs(df, keys, ["_x", "_y"], "_txy"), keys)
-    out = out.join(discordant_pairs(df, keys), keys)
+    df = df.select(*keys, F.col(id_col).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    # Read by the group sizes, and by the pair count, the tie counts and the scan.
+    df = stable(df)
+    if largest_group(df, keys) <= setting(df.sparkSession, "groupRows", GROUP_ROWS):
+        out = _pair_counts(df, keys)
+    else:
+        n = F.count(F.lit(1)).cast("double")
+        out = df.groupBy(*keys).agg((n * (n - 1) / 2).alias("_pairs"))
+        out = out.join(_tied_pairs(df, keys, ["_x"], "_tx"), keys)
+        out = out.join(_tied_pairs(df, keys, ["_y"], "_ty"), keys)
+        out = out.join(_tied_pairs(df, keys, ["_x", "_y"], "_txy"), keys)
+        out = out.join(discordant_pairs(df, keys), keys)
     ordered = F.col("_pairs") - F.col("_tx") - F.col("_ty") + F.col("_txy")
     free_x, free_y = F.col("_pairs") - F.col("_tx"), F.col("_pairs") - F.col("_ty")
     tau = (ordered - 2 * F.col("discordant")) / (F.sqrt(free_x) * F.sqrt(free_y))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.draws import BITS, hash_long
-from evalspark.scaling import explode_range, group_rank
+from evalspark.functions.draws import BITS, hash_grid, hash_long
+from evalspark.functions.labels import UNKNOWN
+from evalspark.operators.costs import ERROR_BITS, pooled_user_loss
+from evalspark.operators.joint import added
+from evalspark.scaling import MODEL_BYTES, explode_range, group_rank, setting
 
 
 def _shuffled(df: DataFrame, seed: int, id_col: str, tag: str) -> DataFrame:
@@ -157,6 +163,65 @@ def random_bits(test: DataFrame, traits: int, trials: int, seed: int, id_col: st
     return rows.withColumn("y_pred", F.array(*bits))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores; each stands for far more work than its size tells."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def chance_user_loss(
+    test: DataFrame, train: DataFrame, trials: int, seed: int, id_col: str, harmful: Iterable[int], label: str = "label", truth: str = "y_true"
+) -> DataFrame:
+    """(trial, value): normalised user loss of predictions drawn as in ``random_labels``.
+
+    A task draws all trials of a row at once, finds the labels in the running total of the label counts, and adds up how
+    many rows of each kind a trial has; neither test rows nor training rows are repeated.
+    """
+    counts = train.groupBy(F.col(label).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v")
+    known = counts.count()
+    if 16 * known > setting(train.sparkSession, "modelBytes", MODEL_BYTES):
+        raise ValueError(f"{known} labels are too many for a table in every task")
+    found = counts.collect()
+    labels, ends = np.array([UNKNOWN, *(r["v"] for r in found)], np.int64), np.cumsum([r["n"] for r in found])
+    bad, total = np.array(sorted(harmful), np.int64), int(ends[-1]) if len(ends) else 0
+    rows = test.select(F.col(id_col).cast("string").alias("id"), F.col(truth).cast("bigint").alias("t"))
+
+    def kinds(c: dict[str, np.ndarray]) -> np.ndarray:
+        drawn = hash_grid([f"{seed}-{t}" for t in range(trials)], c["id"].tolist()) % (total + 1)
+        pred, true = labels[np.where(drawn > 0, np.searchsorted(ends, drawn) + 1, 0)], c["t"][None, :]
+        new, said = true == UNKNOWN, pred == UNKNOWN
+        harm, alarm = np.isin(true, bad), np.isin(pred, bad)
+        flags = [(true != pred) & ~new & ~said, new & ~said, ~new & said, harm & ~alarm, ~harm & alarm, new, harm]
+        return np.stack([np.broadcast_to(f, pred.shape).sum(axis=1) for f in flags] + [np.full(trials, pred.shape[1])])
+
+    sums = added(_spread(rows.where("t IS NOT NULL")), kinds, 1024)
+    values = pooled_user_loss(sums.reshape(len(ERROR_BITS) + 1, trials)) if len(sums) else []
+    return test.sparkSession.createDataFrame([(t, float(v)) for t, v in enumerate(values)], "trial int, value double")
+
+
+def chance_multilabel(test: DataFrame, traits: int, trials: int, seed: int, id_col: str, truth: str = "y_true") -> DataFrame:
+    """(trial, value): macro F1 over {0, 1}, averaged over the traits, of fair coins as in ``random_bits``."""
+    rows = test.select(F.col(id_col).cast("string").alias("id"), F.col(truth).cast("array<double>").alias("t"))
+
+    def cells(c: dict[str, np.ndarray]) -> np.ndarray:
+        ids, true = c["id"].tolist(), c["t"]
+        drawn = hash_grid([f"{seed}-{t}" for t in range(trials)], [f"{i}-{j}" for i in ids for j in range(traits)]) % 2
+        drawn = drawn.reshape(trials, len(ids), traits)
+        out = np.zeros((2, 3, trials, traits))
+        for value in (0, 1):
+            said, is_ = drawn == value, true[:, :traits] == value
+            out[value] = (said & is_).sum(axis=1), np.broadcast_to(is_.sum(axis=0), (trials, traits)), said.sum(axis=1)
+        return out
+
+    sums = added(_spread(rows), cells, 256)
+    if not len(sums):
+        return test.sparkSession.createDataFrame([], "trial int, value double")
+    hits, true, said = np.moveaxis(sums.reshape(2, 3, trials, traits), 1, 0)
+    f1 = np.divide(2 * hits, true + said, out=np.zeros_like(hits), where=true + said > 0)
+    values = (f1.sum(axis=0) / 2).mean(axis=1)
+    return test.sparkSession.createDataFrame([(t, float(v)) for t, v in enumerate(values)], "trial int, value double")
+
+
 def baseline_summary(per_trial: DataFrame) -> DataFrame:
     """Mean and population deviation of a score over trials, in percent."""
     score = F.col("value") * 100

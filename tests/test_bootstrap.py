@@ -143,9 +143,9 @@ def test_registered_replicates(spark):
     """Registered bootstraps draw as often as the reference."""
     from evalspark.catalog import all_queries
 
-    for name in ("bootstrap_macro_f1", "bootstrap_mean_poisson", "bootstrap_spearman"):
+    for name, most in (("bootstrap_macro_f1", 500), ("bootstrap_mean_poisson", 500), ("bootstrap_multilabel", 500), ("bootstrap_spearman", 5000)):
         found = all_queries()[name](spark, "/root/testdata/sf0.001").agg(F.count_distinct("replicate").alias("n")).first()
-        assert found["n"] == 500
+        assert found["n"] == most
 
 
 def test_hash_grid_equals_the_column(spark):
@@ -159,3 +159,67 @@ def test_hash_grid_equals_the_column(spark):
     numbers = np.array([0, 9, 10, 99, 100, 12345, 10**15])
     assert (hash_grid(prefixes, numbers) == hash_grid(prefixes, [str(n) for n in numbers])).all()
     assert hash_grid([], values).shape == (0, len(values)) and hash_grid(prefixes, []).shape == (3, 0)
+
+
+def test_count_arrays_equal_repeated_rows(spark, monkeypatch):
+    """Every statistic from count arrays against the metric of repeated rows, in small and large steps."""
+    from evalspark.operators import costs, counts, metrics
+
+    df = predictions(spark, 70, 2).withColumn("y_true", F.when(F.col("img_id") == "3", None).otherwise(F.col("y_true")))
+    arrays = df.withColumns({c: F.array((F.col(c) > 2).cast("int"), F.when(F.col(c) > 0, 1)) for c in ("y_true", "y_pred")})
+    arrays = arrays.withColumn("y_true", F.when(F.col("img_id") != "5", F.col("y_true")))
+    by = [boot.TASK, boot.MODEL, boot.REPLICATE]
+
+    def table(found):
+        return {tuple(r)[:3]: r["value"] for r in found.collect()}
+
+    pairs = [
+        (boot.bootstrap_mean, metrics.mean_score, df, {}),
+        (boot.bootstrap_accuracy, metrics.micro_acc, df, {}),
+        (boot.bootstrap_multilabel, metrics.multilabel_macro_f1, arrays, {}),
+        (lambda d, b, s, m: boot.bootstrap_user_loss(d, [1, 3], b, s, m), costs.user_loss_norm, df, {"harmful": [1, 3], "shared": by[:2]}),
+    ]
+    for method in ("multinomial", "poisson"):
+        for cells, sums in ((2_000_000, 2**26), (40, 1)):
+            monkeypatch.setattr(counts, "CELLS", cells)
+            monkeypatch.setattr(counts, "SUM_BYTES", sums)
+            for fast, plain, rows, options in pairs:
+                got = table(fast(rows, 6, 1, method))
+                want = table(boot.bootstrap(rows, plain, 6, 1, method, **options).select(*by, "value"))
+                assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got), (method, plain)
+
+
+def test_draws_beyond_one_run(spark, monkeypatch):
+    """Positions of one task spread over several runs; the draws are those of one."""
+    from evalspark.operators import counts
+
+    df = predictions(spark, 100, 2)
+    whole = sorted(map(tuple, boot.bootstrap_macro_f1(df, 9, 4).collect()))
+    monkeypatch.setattr(counts, "RUN_BITS", 4)
+    monkeypatch.setattr(counts, "RUN", 16)
+    monkeypatch.setattr(counts, "SLOTS", 30)
+    monkeypatch.setattr(counts, "PACK", 70)
+    cut = sorted(map(tuple, boot.bootstrap_macro_f1(df, 9, 4).collect()))
+    assert [r[:3] for r in cut] == [r[:3] for r in whole]
+    assert np.allclose([r[3] for r in cut], [r[3] for r in whole])
+
+
+def test_pair_counts_on_both_paths(spark, limits):
+    rng = np.random.default_rng(4)
+    rows = [(g, i, float(rng.integers(0, 9)), float(rng.integers(0, 7))) for g in ("a", "b", None) for i in range(60)]
+    rows += [("a", 100, None, 1.0), ("b", 101, 1.0, None), ("c", 1, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, id int, x double, y double")
+    fast = {r["g"]: r["value"] for r in rankstats.kendall_tau(df, ["g"], "x", "y", "id").collect()}
+
+    def tau(points):
+        signs = [(np.sign(a[0] - b[0]), np.sign(a[1] - b[1])) for i, a in enumerate(points) for b in points[:i]]
+        up, down = sum(s * t > 0 for s, t in signs), sum(s * t < 0 for s, t in signs)
+        free = [sum(s[k] != 0 for s in signs) for k in (0, 1)]
+        return (up - down) / np.sqrt(free[0] * free[1]) if min(free) else None
+
+    for g in ("a", "b", None, "c"):
+        want = tau([(r[2], r[3]) for r in rows if r[0] == g and r[2] is not None and r[3] is not None])
+        assert fast[g] == (None if want is None else pytest.approx(want))
+    limits("groupRows", 5)
+    slow = {r["g"]: r["value"] for r in rankstats.kendall_tau(df.where("g IS NOT NULL"), ["g"], "x", "y", "id").collect()}
+    assert all(slow[g] == pytest.approx(fast[g]) for g in ("a", "b"))

@@ -214,6 +214,68 @@ def openset_threshold_diagonal(spark, sf):
     return scored.select("id", (threshold - F.col("d2") >= 0).alias("known"))
 
 
+# Ledoit-Wolf shrinkage of each class on standardised features, pooled by the classes' shares of rows.
+SHRUNK = """,
+cm AS (SELECT label, j, count(*) AS n, avg(x) AS m, CASE WHEN var_pop(x) > 0 THEN sqrt(var_pop(x)) ELSE 1e0 END AS sd FROM elems GROUP BY 1, 2),
+z AS (SELECT vec_id, e.label, e.j, (x - m) / sd AS z FROM elems e JOIN cm ON e.label = cm.label AND e.j = cm.j),
+s AS (SELECT a.label, a.j AS i, b.j, sum(a.z * b.z) AS p, count(*) AS n FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3),
+q AS (SELECT label, sum(l * l) AS fourth FROM (SELECT vec_id, label, sum(z * z) AS l FROM z GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT label, max(n) AS n, sqrt(count(*)) AS d, sum(p * p) / max(n) / max(n) AS fro, sum(CASE WHEN i = j THEN p ELSE 0 END) / max(n) AS tr FROM s GROUP BY 1),
+u AS (SELECT t.label, n, tr / d AS mu, (fro - 2 * tr / d * tr + tr * tr / d) / d AS spread, (fourth / n - fro) / (n * d) AS noise FROM t JOIN q ON t.label = q.label),
+w AS (SELECT label, n / (SELECT sum(n) FROM u) AS share, n, mu, CASE WHEN spread = 0 THEN 0e0 ELSE least(noise, spread) / spread END AS k FROM u)
+SELECT CAST(s.i - 1 AS INTEGER) AS i, CAST(s.j - 1 AS INTEGER) AS j,
+  round(sum(share * ((1 - k) * p / w.n + CASE WHEN s.i = s.j THEN k * mu ELSE 0 END) * a.sd * b.sd), 9) AS v
+FROM s JOIN w ON s.label = w.label JOIN cm a ON a.label = s.label AND a.j = s.i JOIN cm b ON b.label = s.label AND b.j = s.j WHERE s.i <= s.j GROUP BY 1, 2"""
+
+
+@query("pooled_covariance_shrunk", ELEMS + SHRUNK)
+def pooled_covariance_shrunk(spark, sf):
+    rows = fx.embeddings(spark, sf)
+    moments = openset.class_moments(rows, "embedding", "label")
+    found = openset.pooled_covariance(rows, moments, "embedding", "label", "id")
+    i, j = np.triu_indices(len(found))
+    cells = [(int(a), int(b), float(found[a, b])) for a, b in zip(i, j, strict=True)]
+    return rounded(spark.createDataFrame(cells, "i int, j int, v double"))
+
+
+# Without shrinkage the squared distances to the own class's mean add up to rows times dimensions.
+@query(
+    "mahalanobis_full_law",
+    "SELECT count(*) AS n, CAST(count(*) * max(len(embedding)) AS DOUBLE) AS total, true AS nearest_is_least FROM embeddings",
+)
+def mahalanobis_full_law(spark, sf):
+    rows = fx.embeddings(spark, sf)
+    moments = openset.class_moments(rows, "embedding", "label")
+    precision = openset.precision_of(openset.pooled_covariance(rows, moments, "embedding", "label", "id", None))
+    own = openset.own_mahalanobis(rows, moments, precision).select("id", "own_d2")
+    near = openset.min_mahalanobis(rows, moments, precision).select("id", "d2").join(own, "id")
+    return near.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("own_d2"), 3).alias("total"),
+        F.bool_and(F.col("d2") <= F.col("own_d2") + 1e-9).alias("nearest_is_least"),
+    )
+
+
+# The threshold lets 95 % of the training rows in; the unknown label stands for exactly those beyond it.
+@query(
+    "openset_full_law",
+    """SELECT count(*) AS n, CAST(floor(95e-2 * (sum(CASE WHEN label < 8 THEN 1 ELSE 0 END) - 1)) AS BIGINT) + 1 AS known_inside, true AS consistent FROM embeddings""",
+)
+def openset_full_law(spark, sf):
+    rows = fx.embeddings(spark, sf)
+    known = rows.where("label < 8")
+    base = centroid.simpleshot_fit(known)
+    model = openset.openset_fit(known, lambda train: base.predict)
+    out = model.predict(rows).select("id", "label", "y_pred", "margin")
+    plain = base.predict(rows).select("id", F.col("y_pred").alias("plain"))
+    expected = F.when(F.col("margin") >= 0, F.col("plain")).otherwise(-1)
+    return out.join(plain, "id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if((F.col("label") < 8) & (F.col("margin") >= -1e-9)).alias("known_inside"),
+        F.bool_and(F.col("y_pred") == expected).alias("consistent"),
+    )
+
+
 @query("openset_full")
 def openset_full(spark, sf):
     rows = fx.embeddings(spark, sf)

@@ -180,6 +180,17 @@ def min_mahalanobis(
     return scored.withColumn("d2", F.col("dist") * F.col("dist")).drop("_w", "dist")
 
 
+def own_mahalanobis(
+    df: DataFrame, means: DataFrame, precision: np.ndarray, col: str = "embedding", label: str = "label", mean_col: str = "mean"
+) -> DataFrame:
+    """Add ``own_d2``, the squared distance of every row to the mean of its own class."""
+    root = whitening(precision)
+    centres = means.select(label, map_vectors(mean_col, lambda x: x @ root).alias("_c"))
+    joined = df.withColumn("_w", map_vectors(col, lambda x: x @ root)).join(centres, label)
+    squares = F.zip_with("_w", "_c", lambda a, b: (a - b) * (a - b))
+    return joined.withColumn("own_d2", F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)).drop("_w", "_c")
+
+
 @dataclass(frozen=True)
 class OpenSet:
     """Base classifier, class means, shared precision and the distance threshold."""

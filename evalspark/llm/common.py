@@ -39,6 +39,8 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = STEP_BYTES) -> Iterat
         stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    # Workers stay alive between batches and stages; what Arrow holds in reserve goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def _offsets(texts: pa.Array) -> np.ndarray:

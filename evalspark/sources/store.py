@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.operators.tables import join_results
+from evalspark.scaling import setting
 
 EXPERIMENTS_SCHEMA = (
     "id bigint, task_name string, model_org string, model_ckpt string, n_train int, exp_cfg string, "
@@ -43,9 +44,27 @@ class RunInfo:
 RUN_KEY = ["task_name", "model_org", "model_ckpt", "n_train", "posix"]
 
 
-def attempt_id() -> int:
-    """Id of one call of `write_report`: later calls have larger ids, and no two share one."""
-    return (time.time_ns() >> 10 << 10) + uuid.uuid4().int % 1024
+# Files that a task's predictions of one call are cut into at most.
+TASK_FILES = 256
+
+
+def attempt_ids(count: int, after: int = 0) -> list[int]:
+    """Distinct ids of the runs of one call, above `after`: milliseconds and 22 random bits, so that two calls at once
+    have the same only by a chance of one in four million for a pair of runs in the same millisecond."""
+    start = max(time.time_ns() // 1_000_000, (after >> 22) + 1) << 22
+    drawn: set[int] = set()
+    while len(drawn) < count:
+        drawn.add(start + len(drawn) // 1024 * (1 << 22) + uuid.uuid4().int % (1 << 22))
+    return sorted(drawn)
+
+
+def last_attempt(spark: SparkSession, folder: str) -> int:
+    """Largest id in the store, 0 if it is empty; a later attempt goes above it, whatever the writers' clocks say."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/experiments")
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return 0
+    rows = spark.read.schema(EXPERIMENTS_SCHEMA).parquet(f"{folder}/experiments")
+    return rows.agg(F.max("id")).first()[0] or 0
 
 
 def prediction_info(y_true: Column, y_pred: Column, **extra: Column) -> Column:
@@ -68,11 +87,13 @@ def write_reports(predictions: DataFrame, infos: list[RunInfo], folder: str) ->
     """Append several runs in one pass: all predictions ``(task_name, model_ckpt, img_id, score, info)``, then all
     experiments rows.
 
-    A task and model may stand for one run of the call only. A prediction of a run that ``infos`` does not name is an error.
+    A task and model may stand for one run of the call only. A prediction of a run that ``infos`` does not name is an
+    error, and so is a second prediction for an example of a run. Rows are dealt by task and example before they are
+    written, which checks that and keeps the number of files low.
     """
     spark = predictions.sparkSession
-    first = attempt_id()
-    runs = {(info.task_name.lower(), info.model_ckpt): (first + 1024 * k, info) for k, info in enumerate(infos)}
+    ids = attempt_ids(len(infos), last_attempt(spark, folder))
+    runs = {(info.task_name.lower(), info.model_ckpt): (i, info) for i, info in zip(ids, infos, strict=True)}
     if len(runs) < len(infos):
         raise ValueError("two runs of the same task and model in one call")
     ids = spark.createDataFrame([(*key, attempt) for key, (attempt, _) in runs.items()], "_task string, _model string, _attempt bigint")
@@ -80,6 +101,14 @@ def write_reports(predictions: DataFrame, infos: list[RunInfo], folder: str) ->
     placed = lower.join(ids, (F.col("task_name") == F.col("_task")) & (F.col("model_ckpt") == F.col("_model")), "left")
     stray = F.raise_error(F.concat_ws(" ", F.lit("no run for"), "task_name", "model_ckpt")).cast("bigint")
     rows = placed.select("img_id", "score", "info", F.coalesce("_attempt", stray).alias("experiment_id"), "task_name")
+    dealt = rows.withColumn("_file", F.pmod(F.hash("img_id"), F.lit(setting(spark, "taskFiles", TASK_FILES))))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    key = ["task_name", "_file", "experiment_id", "img_id"]
+    once = dealt.repartition(parts, "task_name", "_file").groupBy(*key).agg(
+        F.first("score").alias("score"), F.first("info").alias("info"), F.count(F.lit(1)).alias("_n")
+    )
+    twice = F.raise_error(F.concat_ws(" ", F.lit("two predictions for"), "task_name", "img_id")).cast("string")
+    rows = once.select(F.when(F.col("_n") == 1, F.col("img_id")).otherwise(twice).alias("img_id"), "score", "info", "experiment_id", "task_name")
     rows.write.mode("append").partitionBy("task_name").parquet(f"{folder}/predictions")
     values = [
         (

@@ -178,3 +178,37 @@ def test_many_runs_in_one_pass(spark, tmp_path):
         store.write_reports(rows, runs[:1], folder)
     with pytest.raises(ValueError, match="two runs"):
         store.write_reports(rows, runs + runs[:1], folder)
+
+
+def test_one_prediction_per_example_and_run(spark, tmp_path):
+    schema = "img_id string, score double, info string"
+    rows = spark.createDataFrame([("1", 1.0, "{}"), ("2", 0.0, "{}"), ("1", 0.0, "{}")], schema)
+    folder = str(tmp_path / "store")
+    with pytest.raises(PySparkException, match="two predictions for newt 1"):
+        store.write_report(rows, store.RunInfo("NeWT", "o", "a"), folder)
+    store.write_report(rows.where("score = 0"), store.RunInfo("NeWT", "o", "a"), folder)
+    assert store.read_results(spark, folder).count() == 2
+
+
+def test_later_attempts_have_larger_ids(spark, tmp_path, monkeypatch):
+    """Also when the writer's clock is behind."""
+    ids = store.attempt_ids(5000)
+    assert len(set(ids)) == 5000 and ids == sorted(ids) and min(store.attempt_ids(3, max(ids))) > max(ids)
+    rows = spark.createDataFrame([("1", 1.0, "{}")], "img_id string, score double, info string")
+    folder = str(tmp_path / "store")
+    assert store.last_attempt(spark, folder) == 0
+    store.write_report(rows, store.RunInfo("NeWT", "o", "a"), folder)
+    first = store.last_attempt(spark, folder)
+    monkeypatch.setattr(store.time, "time_ns", lambda: 0)
+    store.write_report(rows.withColumn("score", rows.score + 1), store.RunInfo("NeWT", "o", "a"), folder)
+    assert store.last_attempt(spark, folder) > first
+    assert [r["score"] for r in store.read_results(spark, folder).collect()] == [2.0]
+
+
+def test_files_of_a_task_are_bounded(spark, tmp_path, limits):
+    limits("taskFiles", 2)
+    rows = spark.range(400).selectExpr("cast(id as string) AS img_id", "1.0D AS score", "'{}' AS info").repartition(16)
+    folder = tmp_path / "store"
+    store.write_report(rows, store.RunInfo("NeWT", "o", "a"), str(folder))
+    assert len(list((folder / "predictions").rglob("*.parquet"))) <= 2
+    assert store.read_results(spark, str(folder)).count() == 400

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from evalspark.catalog import fixtures as fx
 from evalspark.catalog.registry import query, rounded
+from evalspark.catalog.resampling import sql_hash
 from evalspark.functions import text, vectors
-from evalspark.operators import centroid, encoders, metrics, neighbours, openset, probes
+from evalspark.functions.draws import hash_long
+from evalspark.operators import centroid, encoders, kernels, metrics, neighbours, openset, probes
 from evalspark.operators.tables import balanced_weights, flag_ood
 from evalspark.plans.probe import run_probe, simpleshot
 
@@ -371,6 +373,32 @@ def searched_svm_gaps(spark, sf):
     )
 
 
+# Between landmarks the dot products of the features are the kernel itself.
+@query(
+    "landmark_kernel",
+    ELEMS
+    + f""", ld AS (SELECT vec_id FROM embeddings ORDER BY {sql_hash("'17'", "'landmark'", "vec_id")}, vec_id LIMIT 64),
+d AS (SELECT a.vec_id AS a, b.vec_id AS b, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM elems a JOIN elems b ON a.j = b.j
+  WHERE a.vec_id IN (SELECT vec_id FROM ld) AND b.vec_id IN (SELECT vec_id FROM ld) AND a.vec_id < b.vec_id GROUP BY 1, 2)
+SELECT a, b, round(exp(-5e-1 * d2), 6) AS value FROM d""",
+)
+def landmark_kernel(spark, sf):
+    rows = fx.embeddings(spark, sf)
+    features = kernels.landmark_map(rows, "rbf", 0.5, 64)(rows).select("id", "features", hash_long(17, "landmark", F.col("id")).alias("h"))
+    near = features.orderBy("h", "id").limit(64).drop("h")
+    pairs = near.alias("a").join(near.alias("b"), F.col("a.id") < F.col("b.id"))
+    dot = F.aggregate(F.zip_with("a.features", "b.features", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return rounded(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), dot.alias("value")), 6)
+
+
+@query("kernel_svm_gaps", "SELECT DISTINCT 't' || label % 3 AS task, true AS tight FROM embeddings")
+def kernel_svm_gaps(spark, sf):
+    rows = task_labels(spark, sf)
+    mapped = kernels.landmark_map(rows, "rbf", 0.5)(rows)
+    machines = probes.fit_svms(mapped, col="features", scale=False)
+    return machines.report().select("task", F.col("gap").between(-1e-6, 1e-2).alias("tight"))
+
+
 def labelled_bits(spark, sf):
     bits = F.array(*[(F.shiftright("label", j) % 2).cast("int") for j in range(4)])
     return fx.embeddings(spark, sf).withColumn("y", bits)

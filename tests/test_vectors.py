@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions import vectors
-from evalspark.operators import centroid, encoders, neighbours, openset, probes
+from evalspark.operators import centroid, encoders, kernels, neighbours, openset, probes
 
 
 def frame(spark, x, y=None):
@@ -337,3 +337,53 @@ def test_registered_searches_are_whole(spark, monkeypatch):
         assert getattr(catalog, name)(spark, folder).count() == 500
         # Rounding may stop a model a little above the tolerance.
         assert max(n for n, _ in seen) == most and all(off < 100 for _, off in seen), (name, seen)
+
+
+@pytest.mark.parametrize("kind, gamma", [("rbf", 0.7), ("poly", 0.4), ("sigmoid", 0.1), ("linear", 1.0)])
+def test_landmark_features_give_the_kernel(spark, kind, gamma):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 3))
+    df = frame(spark, x, np.zeros(40, int))
+    whole = kernels.landmark_map(df, kind, gamma, 40)
+    exact = kernels.kernel_matrix(x, x, kind, gamma)
+    values, axes = np.linalg.eigh((exact + exact.T) / 2)
+    # A kernel with negative values keeps its positive part.
+    exact = (axes * np.maximum(values, 0)) @ axes.T
+    features = np.array([r["features"] for r in whole(df).orderBy("id").collect()])
+    assert np.allclose(features @ features.T, exact, atol=1e-6)
+    few = kernels.landmark_map(df, kind, gamma, 25)
+    features = np.array([r["features"] for r in few(df).orderBy("id").collect()])
+    if kind != "sigmoid":
+        # What fewer landmarks leave out is positive: the features never exceed the kernel.
+        assert np.linalg.eigvalsh(exact - features @ features.T).min() > -1e-6 * np.abs(exact).max()
+    with pytest.raises(ValueError):
+        kernels.kernel_matrix(x, x, "other", 1.0)
+
+
+def test_kernel_machine_equals_its_dual(spark):
+    """Rings that no line parts; the margins are those of the dual solved by projected coordinate steps."""
+    rng = np.random.default_rng(7)
+    angle, ring = rng.uniform(0, 6.28, 80), np.arange(80) % 2
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1) * (1 + ring)[:, None] + rng.normal(size=(80, 2)) * 0.1
+    df = frame(spark, x, ring).withColumn("task", F.lit("t"))
+    mapped = kernels.landmark_map(df, "rbf", 1.0, 80)(df)
+    machine = probes.fit_svms(mapped, col="features", strengths=[1.0], scale=False)
+    assert accuracy(machine(mapped)) == 1.0 and machine.report().first()["gap"] < 0.01
+    k, y = kernels.kernel_matrix(x, x, "rbf", 1.0), 2.0 * ring - 1
+    alpha = np.zeros(80)
+    for _ in range(300):  # pairs keep the sum by label at zero
+        g = 1 - y * (k @ (alpha * y))
+        up = np.where((y > 0) & (alpha < 1) | (y < 0) & (alpha > 0), y * g, -np.inf)
+        low = np.where((y > 0) & (alpha > 0) | (y < 0) & (alpha < 1), y * g, np.inf)
+        i, j = up.argmax(), low.argmin()
+        if up[i] - low[j] < 1e-9:
+            break
+        step = (up[i] - low[j]) / (k[i, i] + k[j, j] - 2 * k[i, j])
+        step = min(step, (1 - alpha[i]) if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else (1 - alpha[j]))
+        alpha[i] += y[i] * step
+        alpha[j] -= y[j] * step
+    dual = alpha.sum() - (alpha * y) @ k @ (alpha * y) / 2
+    primal_w = (machine.weights[0, :-1] ** 2).sum() / 2
+    features = np.array([r["features"] for r in mapped.orderBy("id").collect()])
+    slack = np.maximum(0, 1 - y * (features @ machine.weights[0, :-1] + machine.weights[0, -1])).sum()
+    assert primal_w + slack == pytest.approx(dual, rel=0.01)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import ODD, Bitmap, Words, as_long, components, kept_table, mix, pieces, table
+from evalspark.llm.common import ODD, Bitmap, Words, as_long, components, give_back, kept_table, mix, pieces, table
 
 SHINGLE, PERCENT = 3, 90
 FREQUENT = 100_000
@@ -335,6 +335,8 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                 if len(i):
                     a, b = g["s"][block][i], g["s"][other][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        del e
+        give_back()
 
     answered = marks.split(texts, "_id", True).select("text").mapInArrow(named, "s bigint, text string")
     answered = answered.join(labels.select("s", "label").distinct(), "s", "left")

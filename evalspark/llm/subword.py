@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,11 @@ SPACE = "▁"
 UNKNOWN = 0xFFFF
 # Stands for a null doc_id.
 LOWEST = -(2**63)
-# Segmented words that a worker remembers.
-MEMORY = 500_000
+# Bytes that a worker's memory of segmented words may take, what Python adds to each of them included.
+MEMORY = 48 << 20
+ENTRY = 300
+# Characters whose agendas run side by side.
+BLOCK = 1 << 16
 
 
 def model_path() -> str:
@@ -43,10 +46,40 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Memory:
+    """Ids and merges of words within a bound of bytes.
+
+    Words live in two generations: when the young one has taken half of the bound it becomes the old one, whose words are
+    forgotten unless they came up meanwhile.
+    """
+
+    def __init__(self, bound: int):
+        self.bound, self.size = bound // 2, 0
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+
+    def get(self, words: Iterable[str]) -> list[tuple[bytes, bytes] | None]:
+        found = list(map(self.young.get, words))
+        again = []
+        for k, word in enumerate(words):
+            if found[k] is None and word in self.old:
+                found[k] = self.old.pop(word)
+                again.append((word, found[k]))
+        if again:
+            self.put(*zip(*again, strict=True))
+        return found
+
+    def put(self, words: Sequence[str], made: Sequence[tuple[bytes, bytes]]) -> None:
+        self.young.update(zip(words, made, strict=True))
+        self.size += ENTRY * len(words) + 4 * sum(map(len, words)) + sum(len(ids) + len(merges) for ids, merges in made)
+        if self.size > self.bound:
+            self.old, self.young, self.size = self.young, {}, 0
+
+
 class Codec:
     """Vocabulary of a merge-type model, and both directions."""
 
-    def __init__(self, path: str, dropout: float, seed: int, memory: int = MEMORY):
+    def __init__(self, path: str, dropout: float, seed: int, memory: int = MEMORY, merges: bool = True):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -66,9 +99,10 @@ class Codec:
                 text = piece.replace(SPACE, " ")
                 self.id[text], self.rank[text] = i, -model.get_score(i)
                 self.bytes_of.append(text.encode())
-        self.limit, self.seed, self.memory = int(dropout * 2**32), seed, memory
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self._pairs()
+        self.limit, self.seed = int(dropout * 2**32), seed
+        self.known = Memory(memory)
+        if merges:
+            self._pairs()
 
     def _pairs(self) -> None:
         """Sorted (left id, right id) of all merges, with the score and the id of what they give."""
@@ -161,6 +195,16 @@ class Codec:
             made = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         return out, made
 
+    def blocks(self, words: list[str], base: np.ndarray | None = None) -> Iterator[tuple[bytes, bytes]]:
+        """Ids and merges of each word; about BLOCK characters are worked on at once."""
+        ends = np.cumsum([len(word) for word in words])
+        start = 0
+        while start < len(words):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK, side="right")))
+            yield from zip(*self.agenda(words[start:stop], None if base is None else base[start:stop]), strict=True)
+            start = stop
+
     def _with_bytes(self, ids: np.ndarray, codes: np.ndarray) -> bytes:
         """Ids with characters outside the vocabulary as the ids of their bytes."""
         found = []
@@ -179,18 +223,19 @@ class Codec:
             key = np.uint64(xxhash.xxh3_64_intdigest(named, seed=self.seed))
             bases.append(mix(key + np.arange(len(words), dtype=np.uint64)))
         kinds = {word: k for k, word in enumerate(dict.fromkeys(flat))}
-        fresh = [word for word in kinds if word not in known]
-        if len(known) + len(fresh) > self.memory:
-            known.clear()
-            fresh = list(kinds)
+        found = known.get(kinds)
+        fresh = [word for word, old in zip(kinds, found, strict=True) if old is None]
         if fresh:
-            known.update(zip(fresh, zip(*self.agenda(fresh), strict=True), strict=True))
-        ids = [known[word][0] for word in flat]
+            made = list(self.blocks(fresh))
+            known.put(fresh, made)
+            new = iter(made)
+            found = [next(new) if old is None else old for old in found]
+        kind = np.fromiter(map(kinds.__getitem__, flat), np.int64, len(flat))
+        ids = [found[k][0] for k in kind.tolist()]
         if self.limit and flat:
-            merges = [known[word][1] for word in kinds]
+            merges = [made for _, made in found]
             counts = np.array([len(x) // 8 for x in merges])
             begin = np.cumsum(counts) - counts
-            kind = np.fromiter(map(kinds.__getitem__, flat), np.int64, len(flat))
             base, n = np.concatenate(bases), counts[kind]
             of = np.repeat(np.arange(len(flat)), n)
             place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n - begin[kind], n)
@@ -198,8 +243,8 @@ class Codec:
             hit[of[self.skipped(base[of], np.frombuffer(b"".join(merges), np.uint64)[place])]] = True
             again = np.flatnonzero(hit)
             if len(again):
-                for k, found in zip(again.tolist(), self.agenda([flat[k] for k in again.tolist()], base[again])[0], strict=True):
-                    ids[k] = found
+                for k, (made, _) in zip(again.tolist(), self.blocks([flat[k] for k in again.tolist()], base[again]), strict=True):
+                    ids[k] = made
         return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: bytes) -> str:
@@ -207,28 +252,29 @@ class Codec:
         return data.decode(errors="replace")[1:]
 
 
+def encode_batches(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches of doc_id and text, and the ids of each row."""
+    for whole in batches:
+        for batch in pieces(whole, "text"):
+            yield batch, codec.encode([t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist())
+
+
 def encode(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """doc_id, text and ids (little-endian unsigned 32-bit) of every row."""
-    path = path or model_path()
+    """doc_id, text and ids (little-endian unsigned 32-bit) of every row; without a path each task finds the model itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, dropout, seed)
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                ids = codec.encode([t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"]
-                )
+        for batch, ids in encode_batches(batches, Codec(path or model_path(), dropout, seed)):
+            columns = [batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text string, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of `encode` with `decoded`, read from ids alone."""
-    path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, 0.0, 0)
+        codec = Codec(path or model_path(), 0.0, 0, merges=False)
         for batch in batches:
             texts = pa.array([codec.decode(i) for i in batch.column("ids").to_pylist()], pa.string())
             columns = [*batch.columns, texts]
@@ -238,22 +284,20 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op6_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document encoded with merge dropout and decoded again."""
+    """Every document encoded with merge dropout and decoded again from its ids, in one step over each slice of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, decoded = batch.column("ids").to_pylist(), batch.column("decoded").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array([zlib.crc32(i) for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
-                    pa.array([a == b for a, b in zip(texts, decoded, strict=True)]),
-                ],
-                ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"],
-            )
+        codec = Codec(model_path(), DROPOUT, SEED)
+        for batch, ids in encode_batches(batches, codec):
+            digest, same = [], []
+            for text, row in zip(batch.column("text"), ids, strict=True):
+                decoded = codec.decode(row)
+                digest.append(hashlib.sha256(decoded.encode()).hexdigest())
+                same.append(decoded == (text.as_py() or ""))
+            counts = pa.array([len(row) // 4 for row in ids], pa.int64())
+            columns = [batch.column("doc_id"), counts, pa.array([zlib.crc32(row) for row in ids], pa.int64()), pa.array(digest, pa.string())]
+            names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(same, pa.bool_())], names)
 
     schema = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, decoded_sha256 string, lossless boolean"
-    return decode(encode(table(spark, folder, "documents"))).mapInArrow(run, schema)
+    return table(spark, folder, "documents").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)

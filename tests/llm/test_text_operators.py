@@ -276,16 +276,89 @@ def test_base_rules(docs, no_docs):
     assert perplexity.judge(no_docs).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    import numpy as np
-    import pyarrow as pa
-
-    keys, n = np.unique(perplexity.trigrams(pa.array(["abracadabra", "banana bandana", None]))[0], return_counts=True)
-    model = perplexity.build(keys, n)
-    p = np.exp(model.logs.astype(float))
-    for context in np.unique(keys >> 8):
-        assert p[(model.keys >> 8) == context].sum() <= 1 + 1e-6
-    assert (p > 0).all()
+def plain_kneser_ney(clean, order):
+    """Probability of the last byte of any n-gram after the rest, by plain recursion over counts."""
+    counts = {order: Counter(clean)}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(gram[1:] for gram in counts[k + 1])
+    cuts = {}
+    for k, of in counts.items():
+        n = [sum(v == j for v in of.values()) for j in (1, 2, 3, 4)]
+        if min(n[:3]) == 0:
+            cuts[k] = [0.5] * 3
+        else:
+            y = n[0] / (n[0] + 2 * n[1])
+            cuts[k] = [max(0.05, min(j - 0.05, j - (j + 1) * y * n[j] / n[j - 1])) for j in (1, 2, 3)]
+    contexts = {k: {} for k in counts}
+    for k, of in counts.items():
+        for gram, n in of.items():
+            own = contexts[k].setdefault(gram[:-1], [0, 0.0])
+            own[0] += n
+            own[1] += cuts[k][min(n, 3) - 1]
+
+    def probability(gram):
+        if not gram:
+            return 1 / 256
+        k, lower = len(gram), probability(gram[1:])
+        if gram[:-1] not in contexts[k]:
+            return lower
+        total, freed = contexts[k][gram[:-1]]
+        n = counts[k][gram]
+        return (n - cuts[k][min(n, 3) - 1] if n else 0) / total + freed / total * lower
+
+    return probability
+
+
+def test_perplexity_by_recursion(spark, no_docs):
+    """Perplexities against plain recursion, sums of one, both paths of the model, and junk that goes."""
+    import math
+    import random
+
+    draw = random.Random(3)
+    parts = ["lo", "ra", "mi", "ten", "sul", "ka", "é", "nor"]
+
+    def prose(n):
+        return " ".join("".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(n))
+
+    rows = [(k, "xx" if k % 3 else None, prose(draw.randint(60, 90))) for k in range(60)]
+    rows += [(100 + k, "xx", prose(70).replace(" ", "*** ")) for k in range(15)]
+    rows += [(200, "xx", "la " * 40 + prose(41)), (201, "xx", None), (202, "other", prose(60).replace(" ", " | ")), (0, "xx", ""), (None, "xx", rows[1][2])]
+    table = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").withColumn("l", F.lit("clash"))
+    found = {(r["doc_id"], r["lang"], r["n_words"]): r for r in perplexity.judge(table).collect()}
+    joined = {(r["doc_id"], r["lang"], r["n_words"]): r for r in perplexity.judge(table, low=0.0, most=0).collect()}
+    assert len(found) == len(rows)
+    assert {k: r["perplexity"] for k, r in found.items()} == {k: r["perplexity"] for k, r in joined.items()}
+    # Without reach the lower band ends near the median and takes clean texts below it.
+    below = [r for r in joined.values() if r["low"] is not None and not r["base_failed"] and r["perplexity"] < r["low"]]
+    assert below and not any(r["kept"] for r in below)
+
+    order = perplexity.ORDER
+    for lang in ("xx", None, "other"):
+        mine = [(i, (t or "").encode()) for i, of, t in rows if of == lang]
+        ngrams = {}
+        for i, data in mine:
+            wide = b"\0" * (order - 1) + data + b"\0"
+            ngrams[i, data] = [wide[k : k + order] for k in range(len(data) + 1)]
+        clean = []
+        for i, data in mine:
+            w = re.findall(WORD, data.decode())
+            often = Counter(zip(w, w[1:], w[2:], strict=False))
+            covered = {k + j for k in range(len(w) - 2) if often[tuple(w[k : k + 3])] > 1 for j in range(3)}
+            symbols = len(re.findall(r"[#*$%&|<>]", data.decode()))
+            if len(w) >= 50 and 100 * len(covered) <= 50 * len(w) and 20 * symbols < len(w):
+                clean += ngrams[i, data]
+        probability = plain_kneser_ney(clean, order)
+        for i, data in mine:
+            expected = -sum(math.log(probability(g)) for g in ngrams[i, data]) / (len(data) + 1)
+            row = found[i, lang, len(re.findall(WORD, data.decode()))]
+            assert abs(row["perplexity"] - expected) < 1e-5
+            if clean:
+                assert abs(sum(probability(ngrams[i, data][-1][:-1] + bytes([x])) for x in range(256)) - 1) < 1e-9
+    assert not any(r["kept"] for r in found.values() if r["doc_id"] is not None and r["doc_id"] >= 100 and r["lang"] == "xx")
+    assert all(r["kept"] for r in found.values() if r["doc_id"] is not None and 0 < r["doc_id"] < 60)
+    # No clean document, no band: the base rules decide.
+    other = next(r for r in found.values() if r["lang"] == "other")
+    assert other["low"] is None and other["kept"]
 
 
 def test_subwords(docs, no_docs, texts):
@@ -306,6 +379,16 @@ def test_subwords(docs, no_docs, texts):
     assert subword.decode(subword.encode(no_docs)).count() == 0
 
 
+def test_memory_of_words_is_bounded():
+    """Few bytes of memory give the ids of much memory, and the bound holds."""
+    texts = [" ".join(f"word{k * 7 % 100}x{k}" for k in range(j, j + 50)) for j in range(0, 400, 10)]
+    small, large = (subword.Codec(subword.model_path(), 0.1, 17, memory) for memory in (1 << 15, 1 << 26))
+    for text in texts:
+        assert small.encode([text], [1]) == large.encode([text], [1])
+        assert len(small.known.young) + len(small.known.old) < 2 * (1 << 15) // subword.ENTRY
+    assert len(large.known.young) > 300
+
+
 def test_occurrences_vary():
     """Each occurrence against the agenda alone; a frequent word has many segmentations, within a text and between ids."""
     import numpy as np

@@ -42,6 +42,8 @@ HALF = LEAD // 2
 STEP = 64
 MOST_KINDS = 16_384
 SEGMENTS = 4096
+# Segments whose runs are named at once.
+NAMED = 256
 
 
 def rolling(data: np.ndarray, size: int = ANCHOR) -> np.ndarray:
@@ -214,17 +216,18 @@ def _named_runs(segments: DataFrame, length: int, starts) -> DataFrame:
     """(a, c, at, name): 128-bit names of runs of `length` bytes of a segment, `at` relative to its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                data, lead = row["data"], row["lead"]
-                for at in starts(row):
-                    if 0 <= at + lead <= len(data) - length:
-                        out.append((row["a"], row["c"], at, xxhash.xxh3_128_digest(data[at + lead : at + lead + length])))
-            if out:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "c", "at", "name"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, NAMED):
+                out = []
+                for row in whole.slice(start, NAMED).to_pylist():
+                    data, lead = row["data"], row["lead"]
+                    for at in starts(row):
+                        if 0 <= at + lead <= len(data) - length:
+                            out.append((row["a"], row["c"], at, xxhash.xxh3_128_digest(data[at + lead : at + lead + length])))
+                if out:
+                    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                    columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "c", "at", "name"])
 
     named = kept_table(segments.mapInArrow(run, "a bigint, c bigint, at int, name binary"), "runs")
     # Segments of an anchor differ, so equal runs at one offset lie in different segments.
@@ -247,7 +250,7 @@ def grouped_spans(segments: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame, most_kinds: int = MOST_KINDS) -> DataFrame:
-    """(t, u, first, stop): byte spans of texts that repeated windows cover. docs: t, u, text."""
+    """(t, u, first, stop): byte spans of texts that repeated windows cover, each once for all copies of a text. docs: t, u, text."""
     found = kept_table(places(docs), "places")
     inner = found.where("a IS NULL").select("t", "u", F.col("pos").alias("first"), F.col("tail").alias("stop"))
     found = found.where("a IS NOT NULL").withColumn("place", F.xxhash64("t", "u", "pos"))
@@ -290,7 +293,7 @@ def marks(docs: DataFrame, most_kinds: int = MOST_KINDS) -> DataFrame:
     partly = partly.select("t", "u", (F.col("pos") + F.col("first")).alias("first"), (F.col("pos") + F.col("stop")).alias("stop"))
     copies = docs.groupBy("t", "u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = copies.select("t", "u", F.lit(0).alias("first"), F.lit(2**31 - 1).alias("stop"))
-    return inner.union(whole).union(partly).union(copies)
+    return inner.union(whole).union(partly).union(copies).distinct()
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -276,6 +276,19 @@ def test_base_rules(docs, no_docs):
     assert perplexity.judge(no_docs).count() == 0
 
 
+def test_marks_once_for_all_copies(spark):
+    """Spans of a text with many copies do not grow with the copies."""
+    draw = random.Random(8)
+    text = "".join(draw.choices("abcdefgh ", k=3000))
+    counts = []
+    for copies in (3, 30):
+        docs = spark.createDataFrame([(k, text) for k in range(copies)], "doc_id bigint, text string")
+        found = columns.marks(columns.keyed(docs).select("t", "u", "text")).collect()
+        assert len(found) == len(set(found))
+        counts.append(len(found))
+    assert counts[0] == counts[1]
+
+
 def plain_kneser_ney(clean, order):
     """Probability of the last byte of any n-gram after the rest, by plain recursion over counts."""
     counts = {order: Counter(clean)}

@@ -340,7 +340,7 @@ def test_perplexity_by_recursion(spark, no_docs):
     found = {(r["doc_id"], r["lang"], r["n_words"]): r for r in perplexity.judge(table).collect()}
     joined = {(r["doc_id"], r["lang"], r["n_words"]): r for r in perplexity.judge(table, low=0.0, most=0).collect()}
     assert len(found) == len(rows)
-    assert {k: r["perplexity"] for k, r in found.items()} == {k: r["perplexity"] for k, r in joined.items()}
+    assert all(abs(r["perplexity"] - joined[k]["perplexity"]) < 1e-6 for k, r in found.items())
     # Without reach the lower band ends near the median and takes clean texts below it.
     below = [r for r in joined.values() if r["low"] is not None and not r["base_failed"] and r["perplexity"] < r["low"]]
     assert below and not any(r["kept"] for r in below)

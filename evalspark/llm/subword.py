@@ -34,7 +34,7 @@ UNKNOWN = 0xFFFF
 # Stands for a null doc_id.
 LOWEST = -(2**63)
 # Bytes that a worker's memory of segmented words may take, what Python adds to each of them included.
-MEMORY = 48 << 20
+MEMORY = 192 << 20
 ENTRY = 300
 # Characters whose agendas run side by side.
 BLOCK = 1 << 16

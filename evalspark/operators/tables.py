@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.scaling import group_rank
+from evalspark.scaling import group_rank, materialize
 
 
 # ---- filters -------------------------------------------------------------
@@ -60,8 +60,13 @@ def flatten_struct(df: DataFrame, col: str, prefix: str) -> DataFrame:
 
 
 def join_results(experiments: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Predictions with the task, model and training size of their experiment."""
+    """Predictions with the task, model and training size of their experiment.
+
+    The experiments are written first: Spark then knows their size and never takes the predictions, whose size it
+    underestimates, for the side to broadcast.
+    """
     meta = experiments.select(F.col("id").alias("experiment_id"), "task_name", "model_ckpt", "n_train")
+    meta = materialize(meta, "experiments")
     extra = [c for c in predictions.columns if c not in ("task_name", "model_ckpt", "n_train")]
     return predictions.select(*extra).join(meta, "experiment_id")
 

@@ -212,3 +212,13 @@ def test_files_of_a_task_are_bounded(spark, tmp_path, limits):
     store.write_report(rows, store.RunInfo("NeWT", "o", "a"), str(folder))
     assert len(list((folder / "predictions").rglob("*.parquet"))) <= 2
     assert store.read_results(spark, str(folder)).count() == 400
+
+
+def test_predictions_are_never_the_side_to_broadcast(spark):
+    """Spark takes rows that a table repeats many times for few; the experiments seem larger before they are written."""
+    predictions = spark.range(5000).select((F.col("id") % 2).alias("experiment_id"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("img_id"))
+    every = spark.range(100_000).select((F.col("id") % 2).alias("id"), F.lit("t").alias("task_name"), F.lit("m").alias("model_ckpt"), F.lit(-1).alias("n_train"))
+    joined = tables.join_results(every.distinct(), predictions)
+    assert joined.count() == 500_000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan

@@ -654,7 +654,8 @@ CASE WHEN p_partkey % 3 = 0 THEN '<' || {BIG.format(x="x")} WHEN p_partkey % 3 =
 ELSE {BIG.format(x="x")} || '-' || {BIG.format(x="(x * 2)")} END AS range_shown FROM v""",
 )
 def size_labels(spark, sf):
-    key = F.col("p_partkey")
+    # Cubes of keys from 211,321 on are beyond 64 bits.
+    key = F.col("p_partkey").cast("decimal(20,0)")
     rows = fx.table(spark, sf, "part").select("p_partkey", (key * key * key * 977).alias("x"))
     low = F.when(key % 3 == 0, F.lit(0)).otherwise(F.col("x"))
     high = F.when(key % 3 == 0, F.col("x")).when(key % 3 == 1, F.lit(text.UPPER_LIMIT)).otherwise(F.col("x") * 2)

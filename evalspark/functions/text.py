@@ -97,7 +97,7 @@ def big_int_label(value: Column) -> Column:
     for below, unit, mark in BIG_UNITS:
         text = F.concat(F.floor(value / unit).cast("bigint").cast("string"), F.lit(mark))
         out = F.when(value < below, text) if out is None else out.when(value < below, text)
-    return out.otherwise(value.cast("bigint").cast("string"))
+    return out.otherwise(F.floor(value).cast("decimal(38,0)").cast("string"))
 
 
 def range_label(low: Column, high: Column) -> Column:

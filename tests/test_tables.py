@@ -222,3 +222,13 @@ def test_predictions_are_never_the_side_to_broadcast(spark):
     assert joined.count() == 500_000
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+
+
+def test_size_labels_beyond_64_bits(spark, tmp_path):
+    from evalspark.catalog import all_queries
+
+    spark.createDataFrame([(200_000,), (1_200_001,), (1_200_002,)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r["p_partkey"]: (r["shown"], r["range_shown"]) for r in all_queries()["size_labels"](spark, str(tmp_path)).collect()}
+    sizes = {k: k**3 * 977 for k in found}
+    assert {k: v[0] for k, v in found.items()} == {k: str(x) for k, x in sizes.items()}
+    assert found[200_000][1] == f"{sizes[200_000]}-{2 * sizes[200_000]}" and found[1_200_001][1] == f"{sizes[1_200_001]}+"

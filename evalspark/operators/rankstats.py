@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.functions.draws import hash_index, hash_long
+from evalspark.functions.draws import hash_grid, hash_index, hash_long, hash_range
 from evalspark.scaling import GROUP_ROWS, group_rank, largest_group, setting, stable
 
 # Rows per piece when inversions are counted over tasks, and rows of small groups that are counted at once.
@@ -211,16 +211,135 @@ def resampled(df: DataFrame, by: list[str], cols: list[str], id_col: str, b: int
     slots = placed.select(*by, (F.col("_i") - 1).alias("slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("replicate"))
     tag = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
     slots = slots.withColumn("_p", hash_index(F.col("_n"), seed, *tag, F.col("replicate"), F.col("slot"))).drop("_n")
-    rows = placed.select(*by, (F.col("_i") - 1).alias("_p"), *cols)
+    # Spark takes the slots, which are b times the rows, for few and would broadcast them.
+    rows = placed.select(*by, (F.col("_i") - 1).alias("_p"), *cols).hint("merge")
     return slots.join(rows, [*by, "_p"]).drop("_p")
 
 
+def _codes(column: pa.Array) -> np.ndarray:
+    """Whole numbers in the order of the values; -1 for a null."""
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    out = np.full(len(column), -1, np.int64)
+    out[known] = np.unique(column.drop_null().to_numpy(), return_inverse=True)[1]
+    return out
+
+
+def _order(codes: np.ndarray) -> np.ndarray:
+    """Stable order of codes; short ones are sorted by counting."""
+    return np.argsort(codes.astype(np.uint16) if len(codes) and codes.max() < 2**16 else codes, kind="stable")
+
+
+def _inversions(seq: np.ndarray) -> int:
+    """Pairs of a permutation in falling order, by merging blocks of doubling length, all of one length at once."""
+    total, width, most = 0, 1, len(seq)
+    size = 1 << max(most - 1, 0).bit_length()
+    held = np.concatenate([seq, np.arange(most, size)])
+    while width < size:
+        # The last digit tells the halves of a block; each of the left half has the ones before it below itself.
+        held <<= 1
+        held.reshape(-1, 2 * width)[:, width:] |= 1
+        held.reshape(-1, 2 * width).sort(axis=1)
+        right = held & 1
+        blocks = size // (2 * width)
+        total += int(np.cumsum(right) @ (1 - right)) - width * width * (blocks * (blocks - 1) // 2)
+        held >>= 1
+        width *= 2
+    return total
+
+
+def _tau(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Kendall tau-b of codes."""
+    known = (x >= 0) & (y >= 0)
+    x, y = x[known], y[known]
+    n = len(x)
+
+    def ties(sizes: np.ndarray) -> int:
+        return int((sizes * (sizes - 1) // 2).sum())
+
+    if n < 2:
+        return None
+    both = x * (int(y.max()) + 1) + y
+    order = _order(both)
+    runs = np.flatnonzero(np.diff(both[order], prepend=-1))
+    pairs, tx, ty, txy = n * (n - 1) // 2, ties(np.bincount(x)), ties(np.bincount(y)), ties(np.diff(runs, append=n))
+    if pairs == tx or pairs == ty:
+        return None
+    ordered = float(pairs - tx - ty + txy)
+    return (ordered - 2 * _inversions(_order(y[order]))) / (np.sqrt(float(pairs - tx)) * np.sqrt(float(pairs - ty)))
+
+
+def _rho(x: np.ndarray, y: np.ndarray) -> float:
+    """Spearman rho of codes with ordinal ranks: equal ones rank by place, nulls first."""
+    n = len(x)
+    if n < 2:
+        return 0.0
+    rank = np.empty(n, np.int64)
+    rank[_order(x + 1)] = np.arange(n)
+    common = int(rank[_order(y + 1)] @ np.arange(n))
+    return (12 * common - 3 * n * (n - 1) ** 2) / (n * (n * n - 1))
+
+
+PLAIN: dict[str, Callable[[np.ndarray, np.ndarray], float | None]] = {"tau": _tau, "rho": _rho}
+# Numbers that doubles tell apart.
+EXACT = ("double", "float", "int", "smallint", "tinyint")
+
+
+def _fits(df: DataFrame, keys: list[str], x: str, y: str) -> bool:
+    """Whether every group fits a task and its values are numbers."""
+    kinds = dict(df.dtypes)
+    return {kinds[x], kinds[y]} <= set(EXACT) and largest_group(df, keys) <= setting(df.sparkSession, "groupRows", GROUP_ROWS)
+
+
+def _replicates(
+    df: DataFrame, keys: list[str], id_col: str, b: int, compute: Callable[[str, list | None, np.ndarray, np.ndarray, int], float | None], ids: bool = False
+) -> DataFrame:
+    """``(keys…, replicate, value)`` of ``compute(tag, ids, x, y, replicate)`` from columns ``_x`` and ``_y``.
+
+    Every group fits a task (``_fits``). Its rows travel as one array in id order, once for each run of replicates, and
+    the rows of a replicate exist only inside a step.
+    """
+    spark = df.sparkSession
+    tag = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])
+    row = F.struct(F.col(id_col).alias("id"), F.col("_x").cast("double").alias("x"), F.col("_y").cast("double").alias("y"))
+    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    named = F.col("_rows.id").cast("array<string>") if ids else F.lit(None).cast("array<string>")
+    packed = stable(packed.select(*keys, tag.alias("_tag"), named.alias("_ids"), F.col("_rows.x").alias("_x"), F.col("_rows.y").alias("_y")))
+    pieces = max(4 * spark.sparkContext.defaultParallelism, 64)
+    step = max(1, -(-b // pieces))
+    work = packed.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(b - 1), F.lit(step)))).repartition(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tagged, named, first = (batch.column(c)[k].as_py() for c in ("_tag", "_ids", "_first"))
+                left, right = (_codes(batch.column(c)[k].values) for c in ("_x", "_y"))
+                numbers = range(first, min(first + step, b))
+                values = [compute(tagged, named, left, right, r) for r in numbers]
+                same = batch.select(keys).take(pa.array([k] * len(numbers)))
+                yield pa.RecordBatch.from_arrays(
+                    [*same.columns, pa.array(numbers, pa.int32()), pa.array(values, pa.float64())], [*keys, "replicate", "value"]
+                )
+
+    schema = df.select(*keys, F.lit(0).alias("replicate"), F.lit(None).cast("double").alias("value")).schema
+    return work.mapInArrow(run, schema)
+
+
 def bootstrap_rank(
     df: DataFrame, by: list[str], x: str, y: str, id_col: str, b: int, seed: int, statistic: str = "tau"
 ) -> DataFrame:
-    """Replicates of a rank statistic."""
+    """Replicates of a rank statistic. Groups that fit a task are drawn and ranked there, without rows per replicate."""
     df, keys = _no_keys(df, by)
-    rows = resampled(df, keys, [x, y], id_col, b, seed)
+    df = stable(df.select(*keys, id_col, F.col(x).alias("_x"), F.col(y).alias("_y")))
+    if _fits(df, keys, "_x", "_y"):
+        plain = PLAIN[statistic]
+
+        def drawn(tag: str, ids: list | None, left: np.ndarray, right: np.ndarray, replicate: int) -> float | None:
+            place = hash_range(f"{seed}-{tag}-{replicate}", 0, len(left)) % len(left)
+            return plain(left[place], right[place])
+
+        return _replicates(df, keys, id_col, b, drawn).select(*by, "replicate", "value")
+    df = df.select(*keys, id_col, F.col("_x").alias(x), F.col("_y").alias(y))
+    rows = resampled(df, keys, list(dict.fromkeys([x, y])), id_col, b, seed)
     return STATISTICS[statistic](rows, [*keys, "replicate"], x, y, "slot").select(*by, "replicate", "value")
 
 
@@ -239,7 +358,8 @@ def permuted(df: DataFrame, x: str, y: str, id_col: str, b: int, seed: int) -> D
     copies = df.select(id_col, F.col(x).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("replicate"))
     copies = copies.withColumn("_h", hash_long(seed, F.col("replicate"), F.col(id_col)))
     mixed = group_rank(copies, ["replicate"], ["_h", id_col], "position")
-    return mixed.select("replicate", "position", "x").join(fixed, "position")
+    # As in ``resampled``, the copies are far more than Spark takes them for.
+    return mixed.select("replicate", "position", "x").join(fixed.hint("merge"), "position")
 
 
 def permutation_p(
@@ -249,7 +369,17 @@ def permutation_p(
     stat = STATISTICS[statistic]
     df = stable(df.select(id_col, x, y))
     observed = stat(df, [], x, y, id_col).select(F.round("value", 12).alias("v")).scalar()
-    shuffled = stat(permuted(df, x, y, id_col, b, seed), ["replicate"], "x", "y", "position")
+    keyed, keys = _no_keys(df.select(id_col, F.col(x).alias("_x"), F.col(y).alias("_y")), [])
+    if _fits(keyed, keys, "_x", "_y"):
+        plain = PLAIN[statistic]
+
+        def mixed(tag: str, ids: list | None, left: np.ndarray, right: np.ndarray, replicate: int) -> float | None:
+            order = np.argsort(hash_grid([f"{seed}-{replicate}"], ids)[0], kind="stable")
+            return plain(left[order], right)
+
+        shuffled = _replicates(keyed, keys, id_col, b, mixed, ids=True)
+    else:
+        shuffled = stat(permuted(df, x, y, id_col, b, seed), ["replicate"], "x", "y", "position")
     reached = F.count_if(F.round("value", 12) >= observed)
     return shuffled.agg(((reached + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 

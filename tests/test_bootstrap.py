@@ -223,3 +223,34 @@ def test_pair_counts_on_both_paths(spark, limits):
     limits("groupRows", 5)
     slow = {r["g"]: r["value"] for r in rankstats.kendall_tau(df.where("g IS NOT NULL"), ["g"], "x", "y", "id").collect()}
     assert all(slow[g] == pytest.approx(fast[g]) for g in ("a", "b"))
+
+
+def test_hash_range_equals_the_grid():
+    from evalspark.functions.draws import hash_grid, hash_range
+
+    for prefix in ("17-F-3", "1-" + "x" * 45, "z" * 60, "ü-1"):
+        for first, stop in ((0, 0), (0, 12), (95, 1205), (9_990, 30_020), (99_990, 100_020), (9_999_990, 10_000_012)):
+            assert (hash_range(prefix, first, stop) == hash_grid([prefix], [str(n) for n in range(first, stop)])[0]).all()
+
+
+@pytest.mark.parametrize("statistic", ["tau", "rho"])
+def test_rank_replicates_make_no_rows(spark, limits, statistic):
+    """Replicates of groups that fit a task: the values of the drawn rows, none of which leaves the task."""
+    rng = np.random.default_rng(5)
+    rows = [(g, f"i{i}", float(rng.integers(0, 9)), None if i == 7 else float(rng.integers(0, 7))) for g in (0.25, 1.0) for i in range(70)]
+    rows += [(2.0, "a", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g double, id string, x double, y double")
+
+    def table():
+        found = rankstats.bootstrap_rank(df, ["g"], "x", "y", "id", 6, 3, statistic)
+        return found, {(r["g"], r["replicate"]): r["value"] for r in found.collect()}
+
+    found, fast = table()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and len(fast) == 18
+    p_fast = rankstats.permutation_p(df.where("g = 1"), "x", "y", "id", 50, 2, statistic).first()["p"]
+    limits("groupRows", 5)
+    _, slow = table()
+    for key in fast:
+        assert fast[key] == slow.get(key) if slow.get(key) is None else fast[key] == pytest.approx(slow[key], abs=1e-12)
+    assert p_fast == rankstats.permutation_p(df.where("g = 1"), "x", "y", "id", 50, 2, statistic).first()["p"]

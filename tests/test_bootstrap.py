@@ -254,3 +254,40 @@ def test_rank_replicates_make_no_rows(spark, limits, statistic):
     for key in fast:
         assert fast[key] == slow.get(key) if slow.get(key) is None else fast[key] == pytest.approx(slow[key], abs=1e-12)
     assert p_fast == rankstats.permutation_p(df.where("g = 1"), "x", "y", "id", 50, 2, statistic).first()["p"]
+
+
+def test_draws_travel_as_counts(spark, monkeypatch):
+    """A draw takes far less than the four bytes of a number, also where a replicate is drawn in pieces."""
+    from evalspark.functions.draws import hash_range
+    from evalspark.operators import counts
+
+    n, b = 20_000, 6
+
+    def table():
+        found, size = np.zeros((b, n + counts.RUN), int), 0
+        for r in counts.packed_draws(spark, {"t": n}, b, 9).collect():
+            size += len(r["_draws"])
+            found[r["replicate"], r["_run"] * counts.RUN :][: counts.RUN] += counts._unpack([np.frombuffer(r["_draws"], np.uint8)])[0]
+        return found[:, :n], size
+
+    whole, size = table()
+    want = np.stack([np.bincount(hash_range(f"9-t-{r}", 0, n) % n, minlength=n) for r in range(b)])
+    assert (whole == want).all() and size < n * b / 2
+    monkeypatch.setattr(counts, "SLOTS", 7_000)
+    assert (table()[0] == want).all()
+
+
+def test_profiles_are_few():
+    """Examples with equal rows are added up once, whatever the order of their models."""
+    import pyarrow as pa
+
+    from evalspark.operators import counts
+
+    rows = [{"model_ckpt": m, "score": 1.0} for m in ("a", "b")]
+    part = pa.RecordBatch.from_pylist([{"task_name": "t", "_rows": rows[:: 1 - 2 * (i % 2)]} for i in range(10)])
+    sums = counts._Sums(counts.weighted_mean("score"), 3)
+    sums.add(part, np.ones((10, 3), np.uint8))
+    sums.add(part, np.ones((10, 3), np.uint8))
+    assert len(sums.at) == 1
+    sent = pa.Table.from_batches(list(sums.take())).to_pylist()
+    assert [(r["model_ckpt"], r["_sums"]) for r in sent] == [(m, [20.0] * 6) for m in ("a", "b")] and not sums.at

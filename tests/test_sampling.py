@@ -113,3 +113,15 @@ def test_random_labels_cover_unknown(spark):
     assert counts[4] == pytest.approx(0.6, abs=0.04) and counts[-1] == pytest.approx(0.2, abs=0.04)
     even = sampling.random_labels(test, train, 10, 1, "id", uniform=True).groupBy("y_pred").count().collect()
     assert all(r["count"] / 4000 == pytest.approx(1 / 3, abs=0.04) for r in even)
+
+
+def test_chance_multilabel_over_several_blocks_of_trials(spark):
+    """Trials are drawn in blocks; each equals the metric of the plain coins, also with a null trait."""
+    from evalspark.operators import metrics
+
+    rows = [(i, [i % 2, None if i == 3 else int(i % 3 == 0)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, y_true array<int>")
+    fast = {r["trial"]: r["value"] for r in sampling.chance_multilabel(df, 2, 70, 5, "id").collect()}
+    plain = metrics.multilabel_macro_f1(sampling.random_bits(df, 2, 70, 5, "id"), ["trial"])
+    want = {r["trial"]: r["value"] for r in plain.collect()}
+    assert fast.keys() == want.keys() and all(abs(fast[t] - want[t]) < 1e-12 for t in want)

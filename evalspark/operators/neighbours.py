@@ -25,9 +25,12 @@ from evalspark.functions.draws import hash_long
 from evalspark.functions.vectors import matrix
 from evalspark.scaling import MODEL_BYTES, setting, stable
 
-# Reference rows per chunk and query rows per task.
+# Reference rows per chunk and query rows per task, at least; and bytes of vectors that a task holds of either side.
 CHUNK_ROWS = 4096
 QUERY_ROWS = 8192
+SIDE_BYTES = 32 * 1024 * 1024
+# A query travels once for each chunk it visits, so chunks grow with the reference rows instead of becoming more.
+CHUNKS = 16
 MAX_PIVOTS = 4096
 # Tiles of a distance matrix, and pairs whose differences are taken at a time.
 TILE_QUERIES, TILE_POINTS, TILE_PAIRS = 256, 8192, 16_384
@@ -159,10 +162,14 @@ def _other_chunks(cells: Cells):
     return pick
 
 
-def _search(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+def _task_rows(least: int, n: int, width: int) -> int:
+    """Rows of one side in a task: a share of all n, so that the rows sent grow with n, within the bytes of a side."""
+    return max(least, min(-(-n // CHUNKS), SIDE_BYTES // (8 * width)))
+
+
+def _search(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool, slice_rows: int) -> DataFrame:
     """Best k per (query, chunk). ``queries``: (qid, qvec, chunk); ``refs``: (rid, rvec, chunk)."""
     qtype, rtype = queries.schema["qid"].dataType, refs.schema["rid"].dataType
-    slice_rows = setting(queries.sparkSession, "queryRows", QUERY_ROWS)
     load = queries.groupBy("chunk").agg(F.count(F.lit(1)).alias("_q"))
     load = load.withColumn("_slices", F.ceil(F.col("_q") / slice_rows).cast("int")).drop("_q")
     left = queries.join(load, "chunk").withColumn("slice", F.pmod(hash_long("slice", F.col("qid")), F.col("_slices")).cast("int"))
@@ -195,8 +202,7 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def _plan_cells(refs: DataFrame, n: int, chunk_rows: int) -> tuple[Cells, DataFrame]:
-    width = refs.agg(F.max(F.size("rvec"))).first()[0] or 1
+def _plan_cells(refs: DataFrame, n: int, chunk_rows: int, width: int) -> tuple[Cells, DataFrame]:
     most = max(2, min(MAX_PIVOTS, MODEL_BYTES // (8 * width)))
     wanted = min(most, max(2, math.ceil(n / chunk_rows)))
     chosen = refs.orderBy(hash_long("pivot", F.col("rid")), "rid").limit(wanted).select("rvec")
@@ -231,28 +237,31 @@ def knn_join(
 ) -> DataFrame:
     """The k nearest reference rows of each query: ``(qid, rank, rid, dist)``, ties by id."""
     spark = queries.sparkSession
-    chunk_rows = setting(spark, "chunkRows", CHUNK_ROWS)
     asked = queries.select(F.col(id_col).alias("qid"), F.col(col).alias("qvec"))
     known = refs.select(F.col(ref_id or id_col).alias("rid"), F.col(col).alias("rvec")).where(_finite("rvec"))
-    n = known.count()
+    n, width = known.agg(F.count(F.lit(1)), F.max(F.size("rvec"))).first()
+    width = max(width or 1, 1)
+    chunk_rows, slice_rows = (
+        setting(spark, name, _task_rows(least, n, width)) for name, least in (("chunkRows", CHUNK_ROWS), ("queryRows", QUERY_ROWS))
+    )
     if n <= chunk_rows:
         one = F.lit(0).alias("chunk")
-        found = _search(asked.select("*", one), known.select("*", one), k, exclude_self)
+        found = _search(asked.select("*", one), known.select("*", one), k, exclude_self, slice_rows)
         return _merge(found, k)
-    cells, chunked = _plan_cells(known, n, chunk_rows)
+    cells, chunked = _plan_cells(known, n, chunk_rows, width)
     homes = asked.withColumn("_a", _nearest_pivot(cells.pivots)(F.col("qvec")))
     homes = stable(homes.select("qid", "qvec", F.col("_a.cell").alias("home")).where("home >= 0"))
     first = F.array(*[F.lit(int(c)) for c in cells.first_chunk])
     last = F.array(*[F.lit(int(c)) for c in cells.first_chunk + cells.chunks - 1])
     begin, end = F.get(first, F.col("home")), F.get(last, F.col("home"))
     own = homes.where(end >= begin).select("qid", "qvec", F.explode(F.sequence(begin, end)).alias("chunk"))
-    near = stable(_merge(_search(own, chunked, k, exclude_self), k))
+    near = stable(_merge(_search(own, chunked, k, exclude_self, slice_rows), k))
     # Without k neighbours in the own cell there is no bound and every cell is searched.
     bound = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.max("dist")).alias("_bound"))
     wider = homes.join(bound, "qid", "left").withColumn(
         "chunk", F.explode(_other_chunks(cells)(F.col("qvec"), F.col("home"), F.col("_bound")))
     )
-    found = _search(wider.select("qid", "qvec", "chunk"), chunked, k, exclude_self)
+    found = _search(wider.select("qid", "qvec", "chunk"), chunked, k, exclude_self, slice_rows)
     return _merge(near.select("qid", "rid", "dist").unionByName(found), k)
 
 

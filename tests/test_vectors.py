@@ -56,6 +56,23 @@ def test_other_queries_and_small_reference(spark, limits):
     assert len(few) == 50
 
 
+def test_queries_travel_to_a_bounded_number_of_chunks(spark, monkeypatch):
+    sent = []
+    search = neighbours._search
+
+    def counted(queries, *rest):
+        sent.append(queries.select("chunk").distinct().count())
+        return search(queries, *rest)
+
+    monkeypatch.setattr(neighbours, "_search", counted)
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 4)
+    x = np.random.default_rng(3).normal(size=(240, 6))
+    got = found(neighbours.knn_join(frame(spark, x), frame(spark, x), 5, exclude_self=True))
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in brute_neighbours(x, 5).items()}
+    # A cell's last chunk may be a small one.
+    assert len(sent) == 2 and max(sent) <= 2 * 16
+
+
 @pytest.mark.parametrize("chunk_rows, query_rows", [(4096, 8192), (40, 64)])
 def test_near_copies_far_from_zero_keep_their_order(spark, limits, chunk_rows, query_rows):
     rng = np.random.default_rng(7)

@@ -275,7 +275,7 @@ def without(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
 
     losses = told.withColumnRenamed("found", "__found")
     repeated = marks.split(keyed, "__id", True).join(losses, "__id", "left")
-    return marks.split(keyed, "__id", False).mapInArrow(plain, schema).union(repeated.mapInArrow(cut, schema))
+    return marks.split(keyed, "__id", False, plain, schema).union(repeated.mapInArrow(cut, schema))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -164,9 +164,8 @@ def _contents(docs: DataFrame, sets: DataFrame, size: int = SHINGLE) -> DataFram
                 yield pa.RecordBatch.from_arrays([as_long(set_names(keys, at)), pa.array(data, pa.binary())], ["s", "shingles"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("node"), "text")
-    texts = Bitmap(sets, "node").split(texts, "node", True)
     # Joined by set: rows that share an id, or have none, would all meet under one key.
-    found = texts.select("text").mapInArrow(run, "s bigint, shingles binary")
+    found = Bitmap(sets, "node").split(texts, "node", True, run, "s bigint, shingles binary")
     return found.join(sets.select("s"), "s", "left_semi").dropDuplicates(["s"])
 
 
@@ -338,7 +337,7 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
         del e
         give_back()
 
-    answered = marks.split(texts, "_id", True).select("text").mapInArrow(named, "s bigint, text string")
+    answered = marks.split(texts, "_id", True, named, "s bigint, text string")
     answered = answered.join(labels.select("s", "label").distinct(), "s", "left")
     alone = texts.select("text", F.lit(None).cast("bigint").alias("label"), marks.bit("_id").alias("bit"))
     entered = alone.union(answered.select("text", "label", F.lit(-1).cast("bigint"))).mapInArrow(enter, ENTRIES)
@@ -378,8 +377,8 @@ def _free(columns: list[str], name: str) -> str:
     return name
 
 
-def _with_set(docs: DataFrame, size: int, name: str) -> DataFrame:
-    """The rows with the name of their set in a new column, null without words."""
+def _with_set(docs: DataFrame, marks: Bitmap, key: str, size: int, name: str) -> DataFrame:
+    """The marked rows with the name of their set in a new column, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -388,7 +387,7 @@ def _with_set(docs: DataFrame, size: int, name: str) -> DataFrame:
                 names = pa.array(set_names(keys, at).view(np.int64), mask=np.diff(at) == 0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, names], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0).cast("bigint")).schema)
+    return marks.split(docs, key, True, run, docs.withColumn(name, F.lit(0).cast("bigint")).schema)
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -411,7 +410,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     marks = Bitmap(told, key)
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)))
     plain = marks.split(keyed, key, False).select(*docs.columns)
-    judged = _with_set(marks.split(keyed, key, True), size, s).join(told, [key, s], "left")
+    judged = _with_set(keyed, marks, key, size, s).join(told, [key, s], "left")
     repeated = judged.where(F.col(own) == 1).dropDuplicates([key, s]).select(*docs.columns)
     return plain.union(judged.where(F.col(own).isNull()).select(*docs.columns)).union(repeated)
 

@@ -169,3 +169,29 @@ def test_pipeline_stages(spark):
         assert r["start"] == ends.get(r["doc_id"], (0, 0))[0]
         ends[r["doc_id"]] = (r["start"] + r["length"], r["doc_tokens"])
     assert sorted(ends) == sorted(texts[4]) and all(a == b for a, b in ends.values())
+
+
+def test_split_and_its_step_share_a_worker(spark):
+    from evalspark.llm.common import Bitmap
+
+    rows = spark.range(0, 1000).toDF("id")
+    marks = Bitmap(rows.where("id < 10"), "id")
+    found = marks.split(rows, "id", True, lambda batches: (b.select(["id"]) for b in batches), "id bigint")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert set(range(10)) <= {r["id"] for r in found.collect()}
+
+
+def test_batches_of_a_table_are_bounded_in_bytes(spark, tmp_path):
+    import pyarrow as pa
+
+    from evalspark.llm.common import BATCH_BYTES, table
+
+    spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1200) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    found = table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n bigint, size bigint").collect()
+    assert sum(r["n"] for r in found) == 3000
+    assert max(r["size"] for r in found) < 2 * BATCH_BYTES

@@ -6,9 +6,10 @@ intersection is `percent` % of the union or more. op9 takes three words and 90 %
 1. Answers from similar sets: sets that share a min-hash are compared with the leader of their group only, the one
    that shares most min-hashes with most sets and so stands nearest to the text that others were made from. A set that
    links with a leader takes over the leader's group as its own answer, so groups of near copies need no pairs. Sets
-   without an answer choose leaders among themselves in a second round.
+   without an answer choose leaders among themselves in a second round, and try a member of each group they share a
+   min-hash with.
 2. Index lists: every set enters the lists of its prefix, the first n - ceil(percent n / 100) + 1 shingles in an order that
-   puts frequent shingles last. Lists are sorted by set size and skipped in blocks whose sizes or positions cannot
+   puts frequent shingles last, except for shingles that no other set's prefix has. Lists are sorted by set size and skipped in blocks whose sizes or positions cannot
    reach the overlap; sets that share an answer are skipped as well. What is left is compared by a sketch that
    bounds the difference of two sets, then exactly.
 
@@ -43,6 +44,8 @@ LIST_BLOCK = 512
 BITS, LIST_BITS = 1024, 512
 # Index lists are dealt to so many tasks for each shuffle partition, so that a task holds little.
 SHARDS = 4
+# Tokens before its own that an entry carries, and bits that mark the tokens which several labels share, at most.
+BEFORE, MARK_BITS = 2, 1 << 28
 # Pairs whose sketches are compared at a time.
 CHUNK = 65_536
 
@@ -206,41 +209,122 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int =
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def leader_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): each set with the leaders of its min-hash groups, sizes allowing."""
+def shared_mins(sets: DataFrame) -> DataFrame:
+    """(k, v, s, n, met): min-hashes that several sets share, with the number of these sets."""
     mins = sets.select("s", "n", F.posexplode("mins").alias("k", "v")).where("v != -1")
     groups = mins.groupBy("k", "v").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    met = kept_table(mins.join(groups, ["k", "v"]), "met")
+    return mins.join(groups, ["k", "v"])
+
+
+def _fitting(met: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set with the partner (k, v, b, m) of its min-hash groups, sizes allowing."""
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    pairs = met.join(partners, ["k", "v"]).where("s != b").where(fits)
+    return pairs.select(F.least("s", "b").alias("a"), F.greatest("s", "b").alias("b"))
+
+
+def leader_pairs(met: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): each set with the leaders of its min-hash groups."""
     central = met.groupBy("s").agg(F.sum("met").alias("score"))
     first = F.max_by(F.struct(F.col("s").alias("b"), F.col("n").alias("m")), F.struct("score", "s"))
     leaders = met.join(central, "s").groupBy("k", "v").agg(first.alias("leader")).select("k", "v", "leader.*")
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    pairs = met.join(leaders, ["k", "v"]).where("s != b").where(fits)
-    return pairs.select(F.least("s", "b").alias("a"), F.greatest("s", "b").alias("b"))
+    return _fitting(met, leaders, percent)
+
+
+def member_pairs(met: DataFrame, answered: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): each set with one answered set of each of its min-hash groups, another in most of them."""
+    some = F.min_by(F.struct(F.col("s").alias("b"), F.col("n").alias("m")), F.xxhash64("s", "k"))
+    return _fitting(met, answered.groupBy("k", "v").agg(some.alias("member")).select("k", "v", "member.*"), percent)
 
 
 def led(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(a, b): links of sets with their leaders, from ROUNDS rounds over the sets that have none yet."""
-    links = None
+    """(a, b): links of sets with their leaders, from ROUNDS rounds over the sets that have none yet.
+
+    From the second round on, sets are compared with members of the groups found as well: those near the edge of a group
+    link with many members, but not with the leader. Without this they would meet each of them in the index lists.
+    """
+    links, met = None, kept_table(shared_mins(sets), "met")
     for _ in range(ROUNDS):
-        open_sets = sets
+        open_sets, members = met, None
         if links is not None:
             answered = links.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-            open_sets = kept_table(sets.join(answered, "s", "left_anti"), "open")
-        found = kept_table(verified(docs, leader_pairs(open_sets, percent), open_sets, percent, size), "leaders")
+            marked = kept_table(met.join(answered.withColumn("has", F.lit(True)), "s", "left"), "open")
+            open_sets, members = marked.where("has IS NULL").drop("has"), marked.where("has").drop("has")
+        pairs = leader_pairs(open_sets, percent)
+        if members is not None:
+            pairs = pairs.union(member_pairs(open_sets, members, percent))
+        found = kept_table(verified(docs, pairs, sets, percent, size), "leaders")
         links = found if links is None else links.union(found)
     return links
 
 
-ENTRIES = "shard int, data binary"
-ENTRY = np.dtype([("token", "<u8"), ("s", "<i8"), ("label", "<i8"), ("n", "<u4"), ("at", "<u4"), ("sketch", "u1", (LIST_BITS // 8,))])
+PREFIXES = "s bigint, label bigint, n int, tokens binary, sketch binary"
+HOLDER = np.dtype([("token", "<u8"), ("label", "<i8")])
+ENTRY = np.dtype([("token", "<u8"), ("s", "<i8"), ("label", "<i8"), ("n", "<u4"), ("at", "<u4"), ("before", "<u8", (BEFORE,)), ("sketch", "u1", (LIST_BITS // 8,))])
+
+
+def _dealt(entries: np.ndarray, shards: int) -> pa.RecordBatch:
+    """(shard, data): the entries of each shard of tokens as bytes."""
+    shard = (entries["token"] % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    parts = [x for x in np.split(entries[order], np.flatnonzero(np.diff(shard)) + 1) if len(x)]
+    return pa.RecordBatch.from_arrays([pa.array(np.unique(shard), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["shard", "data"])
+
+
+def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a batch of prefixes, the row and the place in its prefix of each."""
+    held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
+    sizes = np.array([len(x) for x in held], np.int64)
+    row = np.repeat(np.arange(len(held)), sizes)
+    return np.concatenate(held), row, np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+
+
+def shared_tokens(prefixes: DataFrame, shards: int) -> DataFrame:
+    """(shard, marks): bits of the tokens that prefixes of different labels share; what else has them set is chance.
+
+    A token takes bit `token // shards` modulo the number of bits of its shard, eight or more for each token up to a bound.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                tokens, row, _ = _prefixes(batch)
+                holders = np.zeros(len(tokens), HOLDER)
+                holders["token"], holders["label"] = tokens, batch.column("label").to_numpy()[row]
+                yield _dealt(holders, shards)
+        give_back()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(x.as_buffer(), HOLDER) for batch in batches for x in batch.column("data")]
+        if not parts:
+            return
+        e = np.concatenate(parts)
+        del parts
+        e = e[np.lexsort((e["label"], e["token"]))]
+        other = (e["token"][1:] == e["token"][:-1]) & (e["label"][1:] != e["label"][:-1])
+        token = np.unique(e["token"][1:][other])
+        del e
+        shard, at = token % np.uint64(shards), token // np.uint64(shards)
+        for one in np.unique(shard).tolist():
+            own = at[shard == one]
+            bits = min(1 << (8 * len(own)).bit_length(), max(8, MARK_BITS // shards // 8 * 8))
+            marks = np.zeros(bits, np.uint8)
+            marks[own % np.uint64(bits)] = 1
+            data = np.packbits(marks, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([one], pa.int32()), pa.array([data], pa.binary())], ["shard", "marks"])
+        give_back()
+
+    held = prefixes.select("label", "tokens").mapInArrow(deal, "shard int, data binary")
+    return held.repartition(shards, "shard").mapInArrow(mark, "shard int, marks binary")
 
 
 def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(a, b): sets with different labels that meet in an index list where sizes and positions let them link.
 
     labels: (doc_id, s, label) of the sets that have an answer already; other sets are their own label. Ids only tell
-    which texts to look at; rows may share one.
+    which texts to look at; rows may share one. Only tokens that several labels share make entries. Two sets that met
+    in the list of a token before are skipped in a later one: entries carry the last tokens before theirs.
     """
     spark = docs.sparkSession
     shards = SHARDS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -259,7 +343,7 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                 full = pa.array(np.diff(at) > 0)
                 yield pa.RecordBatch.from_arrays([as_long(set_names(keys, at)), batch.column("text")], ["s", "text"]).filter(full)
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = known.value
         for whole in batches:
             # Texts with an answer come with a label and a bit below zero.
@@ -270,9 +354,10 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                 name = set_names(keys, at).view(np.int64)
                 given = batch.column("label")
                 label = np.where(given.is_null().to_numpy(zero_copy_only=False), name, given.fill_null(0).to_numpy())
+                held, sketch = np.diff(at), folded(sketches(keys, at))
                 lead = np.zeros(len(name), bool)
                 lead[np.unique(name, return_index=True)[1]] = True  # copies in a batch enter once
-                held, sketch = np.diff(at), folded(sketches(keys, at))
+                lead &= held > 0
                 row = np.repeat(np.arange(len(held)), held)
                 part = lead[row]
                 keys, row = keys[part], row[part]
@@ -282,22 +367,53 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                     often = np.where(tokens[place] == keys, times[place], 0)
                 order = np.lexsort((keys, often, row))
                 keys, row = keys[order], row[order]
-                begin = np.searchsorted(row, row)  # first entry of the same row
-                rank = np.arange(len(row)) - begin
+                rank = np.arange(len(row)) - np.searchsorted(row, row)  # from the first entry of the same row
                 n = held[row]
-                taken = rank < n - (percent * n + 99) // 100 + 1
-                entries = np.zeros(int(taken.sum()), ENTRY)
-                for field, values in (("token", keys), ("s", name[row]), ("label", label[row]), ("n", n), ("at", rank), ("sketch", sketch[row])):
-                    entries[field] = values[taken]
-                shard = (entries["token"] % np.uint64(shards)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.flatnonzero(np.diff(shard[order])) + 1
-                parts = [x for x in np.split(entries[order], cuts) if len(x)]
-                ids = [int(x["token"][0] % np.uint64(shards)) for x in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["shard", "data"])
+                keys = keys[rank < n - (percent * n + 99) // 100 + 1]
+                rows = np.flatnonzero(lead)
+                ends = np.cumsum(held[rows] - (percent * held[rows] + 99) // 100 + 1)
+                data = [keys[a:z].tobytes() for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
+                columns = [pa.array(name[rows]), pa.array(label[rows]), pa.array(held[rows], pa.int32())]
+                columns += [pa.array(data, pa.binary()), pa.array([x.tobytes() for x in sketch[rows]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [part.split()[0] for part in PREFIXES.split(", ")])
+
+    answered = marks.split(texts, "_id", True, named, "s bigint, text string")
+    answered = answered.join(labels.select("s", "label").distinct(), "s", "left")
+    alone = texts.select("text", F.lit(None).cast("bigint").alias("label"), marks.bit("_id").alias("bit"))
+    prefixes = alone.union(answered.select("text", "label", F.lit(-1).cast("bigint"))).mapInArrow(cut, PREFIXES)
+    prefixes = kept_table(prefixes, "prefixes")
+    found = {r["shard"]: np.frombuffer(r["marks"], np.uint8) for r in shared_tokens(prefixes, shards).collect()}  # MARK_BITS bits at most
+    widths = np.array([8 * len(found.get(k, b"0")) for k in range(shards)], np.uint64)
+    all_marks = np.concatenate([found.get(k, np.zeros(1, np.uint8)) for k in range(shards)])
+    shared = spark.sparkContext.broadcast((all_marks, np.cumsum(widths) - widths, widths))
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_marks, begins, widths = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens, row, rank = _prefixes(batch)
+            shard = (tokens % np.uint64(shards)).astype(np.int64)
+            bit = begins[shard] + tokens // np.uint64(shards) % widths[shard]
+            taken = np.flatnonzero(all_marks[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+            tokens, row, rank = tokens[taken], row[taken], rank[taken]
+            entries = np.zeros(len(tokens), ENTRY)
+            s, label, n = (batch.column(c).to_numpy()[row] for c in ("s", "label", "n"))
+            for field, values in (("token", tokens), ("s", s), ("label", label), ("n", n), ("at", rank)):
+                entries[field] = values
+            # Places before the first are told apart by the set's own name, which no other set has.
+            for k in range(BEFORE):
+                inside = np.zeros(len(row), bool)
+                inside[k + 1 :] = row[k + 1 :] == row[: -k - 1]
+                entries["before"][:, k] = np.where(inside, np.roll(tokens, k + 1), s.view(np.uint64))
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            entries["sketch"] = sketch[row]
+            if len(entries):
+                yield _dealt(entries, shards)
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x, ENTRY) for batch in batches for x in batch.column("data").to_pylist()]
+        parts = [np.frombuffer(x.as_buffer(), ENTRY) for batch in batches for x in batch.column("data")]
         if not parts:
             return
         e = np.concatenate(parts)
@@ -323,6 +439,10 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
                 reach = np.minimum((n - at)[block][:, None], (n - at)[other][None, :])
                 good = (reach >= need) & (g["label"][block][:, None] != g["label"][other][None, :])
                 good &= np.arange(start, block.stop)[:, None] < np.arange(start, stop)[None, :]
+                # Both have a token before this one, in whose list they met: sizes, positions and sketches said the same there.
+                for x in range(BEFORE):
+                    for y in range(BEFORE):
+                        good &= g["before"][block, x][:, None] != g["before"][other, y][None, :]
                 i, j = np.nonzero(good)
                 near = [
                     (100 + percent) * apart(g["sketch"][block][i[k : k + CHUNK]], g["sketch"][other][j[k : k + CHUNK]])
@@ -337,10 +457,7 @@ def list_pairs(docs: DataFrame, labels: DataFrame, frequent: DataFrame, percent:
         del e
         give_back()
 
-    answered = marks.split(texts, "_id", True, named, "s bigint, text string")
-    answered = answered.join(labels.select("s", "label").distinct(), "s", "left")
-    alone = texts.select("text", F.lit(None).cast("bigint").alias("label"), marks.bit("_id").alias("bit"))
-    entered = alone.union(answered.select("text", "label", F.lit(-1).cast("bigint"))).mapInArrow(enter, ENTRIES)
+    entered = prefixes.mapInArrow(enter, "shard int, data binary")
     return entered.repartition(shards, "shard").mapInArrow(meet, "a bigint, b bigint")
 
 

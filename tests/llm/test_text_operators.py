@@ -93,6 +93,27 @@ def test_jaccard(docs, no_docs):
     assert got == sorted(set(named))
 
 
+def test_jaccard_pairs_meet_once(spark):
+    """Near copies share most of their prefixes, but a pair comes out of few of these lists."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    texts = []
+    for k in range(40):
+        w = list(base)
+        w[rng.randrange(300)], w[rng.randrange(300)] = f"x{k}", f"y{k}"
+        texts.append(" ".join(w))
+    name = [int(x) for x in jaccard.set_names(*jaccard.shingle_sets(pa.array(texts))).view("int64")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels, frequent = spark.createDataFrame([], "doc_id bigint, s bigint, label bigint"), spark.createDataFrame([], "token bigint, times bigint")
+    met = [(r["a"], r["b"]) for r in jaccard.list_pairs(docs, labels, frequent).collect()]
+    held = [shingles(t) for t in texts]
+    linked = {tuple(sorted((name[a], name[b]))) for a in range(40) for b in range(a) if 100 * len(held[a] & held[b]) >= 90 * len(held[a] | held[b])}
+    assert len(linked) == 780 and linked <= set(met)
+    assert len(met) < 3 * len(linked)
+
+
 def test_jaccard_shared_ids(spark):
     """Different texts under null and repeated ids keep the labels of their own sets."""
     import numpy as np

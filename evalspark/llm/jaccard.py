@@ -42,6 +42,8 @@ MINS, ROUNDS = 8, 2
 LIST_BLOCK = 512
 # Bits of a set's sketch, and of its folded form in the index lists.
 BITS, LIST_BITS = 1024, 512
+# Bits for each shingle in the last sketch, for sets of which the other two say too little.
+FINE = 4
 # Index lists are dealt to so many tasks for each shuffle partition, so that a task holds little.
 SHARDS = 4
 # Tokens before its own that an entry carries, and bits that mark the tokens which several labels share, at most.
@@ -114,6 +116,12 @@ def sketches(keys: np.ndarray, at: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
+def fine_sketch(keys: np.ndarray) -> bytes:
+    """The sketch of one set with FINE bits or more for each shingle, a power of two in all."""
+    bits = max(64, 1 << (FINE * len(keys) - 1).bit_length())
+    return np.packbits((np.bincount((keys >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def folded(sketch: np.ndarray, bits: int = LIST_BITS) -> np.ndarray:
     """The sketches with fewer bits, which divide those they have."""
     return np.bitwise_xor.reduce(sketch.reshape(len(sketch), -1, bits // 8), axis=1)
@@ -157,25 +165,27 @@ def scan(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _contents(docs: DataFrame, sets: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(s, shingles) of the sets (s, node), read from the document that names each."""
+    """(s, shingles, fine) of the sets (s, node), read from the document that names each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 keys, at = shingle_sets(batch.column("text"), size)
                 data = [keys[at[k] : at[k + 1]].tobytes() for k in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([as_long(set_names(keys, at)), pa.array(data, pa.binary())], ["s", "shingles"])
+                fine = [fine_sketch(keys[at[k] : at[k + 1]]) for k in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([as_long(set_names(keys, at)), pa.array(data, pa.binary()), pa.array(fine, pa.binary())], ["s", "shingles", "fine"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("node"), "text")
     # Joined by set: rows that share an id, or have none, would all meet under one key.
-    found = Bitmap(sets, "node").split(texts, "node", True, run, "s bigint, shingles binary")
+    found = Bitmap(sets, "node").split(texts, "node", True, run, "s bigint, shingles binary, fine binary")
     return found.join(sets.select("s"), "s", "left_semi").dropDuplicates(["s"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) of set names whose sets link.
 
-    Sketches differ by no more than the sets do, so most pairs fall before any set is sent.
+    Sketches differ by no more than the sets do, so most pairs fall before any set is sent: the sketches known from the
+    scan first, then those whose size goes with the set's, an eighth of its shingles.
     """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,15 +195,30 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int =
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("x", "y"))
             total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
             good = (100 + percent) * apart(x, y) <= (100 - percent) * total
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield batch.select(["a", "b", "n", "m"]).filter(pa.array(good))
 
     known = sets.select("s", "n", "sketch")
     paired = pairs.distinct().join(known.select(F.col("s").alias("a"), "n", F.col("sketch").alias("x")), "a")
     paired = paired.join(known.select(F.col("s").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
-    pairs = kept_table(paired.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a bigint, b bigint"), "pairs")
+    pairs = kept_table(paired.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a bigint, b bigint, n bigint, m bigint"), "pairs")
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
     contents = kept_table(_contents(docs, kept_table(sets.join(wanted, "s").select("s", "node"), "wanted"), size), "contents")
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True):
+                x, y = (np.frombuffer(v, np.uint8)[None] for v in (x, y))
+                bits = 8 * min(x.size, y.size)
+                good.append((100 + percent) * int(apart(folded(x, bits), folded(y, bits))[0]) <= (100 - percent) * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    fine = pairs.join(contents.select(F.col("s").alias("a"), F.col("fine").alias("x")), "a")
+    fine = fine.join(contents.select(F.col("s").alias("b"), F.col("fine").alias("y")), "b")
+    pairs = kept_table(fine.select("a", "b", "n", "m", "x", "y").mapInArrow(close, "a bigint, b bigint"), "close")
+    left = Bitmap(pairs.select(F.explode(F.array("a", "b")).alias("s")), "s")
+    contents = left.split(contents.select("s", "shingles"), "s", True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []

@@ -114,6 +114,24 @@ def test_jaccard_pairs_meet_once(spark):
     assert len(met) < 3 * len(linked)
 
 
+def test_jaccard_fine_sketches():
+    """They bound the difference of two sets from below, also folded, and tell large sets apart that short ones can't."""
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    for size, other in ((1, 0), (40, 4), (3000, 1800), (5000, 5000)):
+        both = draw.integers(0, 2**63, size, dtype=np.uint64)
+        x, y = both, np.concatenate([both[other:], draw.integers(0, 2**63, other + size // 3, dtype=np.uint64)])
+        apart = 2 * other + size // 3
+        short = [jaccard.sketches(np.sort(v), np.array([0, len(v)])) for v in (x, y)]
+        fine = [np.frombuffer(jaccard.fine_sketch(v), np.uint8)[None] for v in (x, y)]
+        bits = 8 * min(v.size for v in fine)
+        least = int(jaccard.apart(*(jaccard.folded(v, bits) for v in fine))[0])
+        assert int(jaccard.apart(*short)[0]) <= apart and 0.6 * apart <= least <= apart
+    # Sets of 5,000 and 6,666 shingles that share nothing: 90 % would need fewer than 614 apart, short sketches say 512 or so.
+    assert int(jaccard.apart(*short)[0]) < 614 < least
+
+
 def test_jaccard_shared_ids(spark):
     """Different texts under null and repeated ids keep the labels of their own sets."""
     import numpy as np

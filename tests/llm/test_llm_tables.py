@@ -66,6 +66,35 @@ def test_blocks_of_a_hot_list(spark):
     assert len(found) < 70 * 30  # a forest and counts, not the pairs
 
 
+def test_groups_asked_do_not_grow(spark):
+    """Vectors without structure probe most lists; each goes to half of the groups, and all close pairs are found once."""
+    rng = np.random.default_rng(6)
+    asked = []
+    for size in (2600, 7800):
+        x = rng.normal(size=(size, 24))
+        x[: size // 4] = x[size // 4 : 2 * (size // 4)] + rng.normal(size=(size // 4, 24)) * 0.2
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        model = product.fit(x, size // 52, 0.95)
+        own = np.argmin(model.distances(x), axis=1)
+        needed = model.probes(x, own)
+        groups = np.zeros((size, model.group[-1] + 1), bool)
+        for c, g in enumerate(model.group.tolist()):
+            groups[:, g] |= needed[:, c]
+        asked.append(groups.sum(axis=1).max())
+        close = np.triu(x @ x.T >= 0.95, 1)
+        i, j = np.nonzero(close)
+        there, back = needed[i, own[j]], needed[j, own[i]]
+        assert len(i) > size // 20 and (there | back).all()
+        assert (there & back == (own[i] == own[j])).all()
+        df = spark.createDataFrame([(k, 1, v.tobytes()) for k, v in enumerate(x)], "rep bigint, copies bigint, unit binary")
+        found = np.array([tuple(r) for r in product.links(df, 24, block=700).collect()])
+        counts = np.zeros(size, np.int64)
+        same = found[:, 0] == found[:, 1]
+        np.add.at(counts, found[same, 0], found[same, 2])
+        assert (counts == (close | close.T).sum(axis=1)).all()
+    assert max(asked) <= product.GROUPS // 2 + 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50 + i) for i in range(20)] + [(7, 7), (300, 200)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")

@@ -16,11 +16,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evalspark.functions.draws import hash_grid, hash_range, poisson_limits
 from evalspark.functions.vectors import list_column
@@ -38,6 +41,8 @@ RUN = 1 << RUN_BITS
 DRAWN, DRAW_BYTES = 1 << 18, 64 * 1024 * 1024
 # Profiles multiplied at once.
 PROFILES = 4096
+# Distinct rows (model and values) and words of 62 bits by which the rows of an example are told in numbers.
+KINDS, WORDS, WORD = 10_000, 4, 62
 
 
 @dataclass(frozen=True)
@@ -108,22 +113,23 @@ def _drawn_windows(prefix: str, n: int, first: int, stop: int) -> Iterator[tuple
 
 def _pack(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(run, bytes) of counts: two bits for each, and what is above 3 or equal as a byte each behind them."""
-    few = np.minimum(counts, 3).reshape(-1, 4)
-    bits = (few[:, 0] | few[:, 1] << 2 | few[:, 2] << 4 | few[:, 3] << 6).reshape(-1, RUN // 4)
-    more = counts >= 3
-    extra, ends = counts[more] - 3, np.cumsum(more.reshape(-1, RUN).sum(axis=1))
+    few = np.minimum(counts, 3).view("<u4")
+    bits = (few | few >> 6 | few >> 12 | few >> 18).astype(np.uint8).reshape(-1, RUN // 4)
+    more = np.flatnonzero(counts >= 3)
+    extra, ends = counts[more] - 3, np.searchsorted(more, np.arange(1, len(bits) + 1) * RUN)
     for run in np.flatnonzero(bits.any(axis=1)).tolist():
         yield run, bits[run].tobytes() + extra[ends[run - 1] if run else 0 : ends[run]].tobytes()
 
 
-_TWO_BITS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
+# The four counts of a byte, as the bytes of a word.
+_FOUR = sum((np.arange(256, dtype="<u4") >> 2 * k & 3) << 8 * k for k in range(4)).astype("<u4")
 
 
 def _unpack(packed: list[np.ndarray]) -> np.ndarray:
     """Counts (rows, RUN) of packed rows."""
-    counts = _TWO_BITS[np.stack([p[: RUN // 4] for p in packed])].reshape(len(packed), RUN)
-    counts[counts == 3] += np.concatenate([p[RUN // 4 :] for p in packed])
-    return counts
+    counts = _FOUR[np.concatenate([p[: RUN // 4] for p in packed])].view(np.uint8)
+    counts[np.flatnonzero(counts == 3)] += np.concatenate([p[RUN // 4 :] for p in packed])
+    return counts.reshape(len(packed), RUN)
 
 
 def packed_draws(spark: SparkSession, sizes: dict[str, int], b: int, seed: int) -> DataFrame:
@@ -165,17 +171,56 @@ def _parts(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How the rows of an example are told in a few whole numbers: a field of bits for each model in one of the words.
+
+    ``fields`` holds (model, word, lowest bit, bits) and ``values`` the values that a field's numbers from 1 on stand for.
+    """
+
+    words: int
+    fields: list[tuple]
+    values: list[list[tuple]]
+    kinds: list[pa.DataType]
+
+    def rows(self, task: str | None, words: tuple[int, ...]) -> list[tuple]:
+        out = []
+        for (model, word, low, bits), values in zip(self.fields, self.values, strict=True):
+            code = words[word] >> low & (1 << bits) - 1
+            if code:
+                out.append((task, model, *values[code - 1]))
+        return out
+
+
+def _layout(found: list[tuple], kinds: list[pa.DataType]) -> Layout | None:
+    """Fields for distinct rows (model, values), if they fit WORDS words."""
+    values: dict[object, list[tuple]] = {}
+    for model, *rest in found:
+        values.setdefault(model, []).append(tuple(rest))
+    fields, word, low = [], 0, 0
+    for model, own in values.items():
+        bits = len(own).bit_length()
+        if low + bits > WORD:
+            word, low = word + 1, 0
+        fields.append((model, word, low, bits))
+        low += bits
+    return Layout(word + 1, fields, list(values.values()), kinds) if word < WORDS and len(fields) <= WORD else None
+
+
 class _Sums:
     """Sums of one task's examples per profile, and from them per (task, model, key)."""
 
-    def __init__(self, statistic: Statistic, b: int):
-        self.statistic, self.b, self.kinds = statistic, b, []
+    def __init__(self, statistic: Statistic, b: int, layout: Layout | None = None):
+        self.statistic, self.b, self.layout = statistic, b, layout
+        self.kinds = layout.kinds if layout else []
         self._clear()
 
     def _clear(self) -> None:
         # Distinct (task, model, values) of rows, and distinct sets of them that an example has.
         self.rows: dict[tuple, int] = {}
         self.at: dict[bytes, int] = {}
+        # Profiles by their task and words.
+        self.told: dict[tuple, int] = {}
         self.data = np.zeros((0, self.b), np.int32)
 
     def add(self, part: pa.RecordBatch, counts: np.ndarray) -> None:
@@ -189,7 +234,26 @@ class _Sums:
         starts = np.flatnonzero(np.diff(profile[order], prepend=-1))
         self.data[profile[order[starts]]] += np.add.reduceat(counts[order], starts, axis=0, dtype=np.int32)
 
+    def _told_profiles(self, part: pa.RecordBatch) -> np.ndarray:
+        tasks = part.column(TASK).dictionary_encode()
+        words = [part.column(f"_w{k}").to_numpy() for k in range(self.layout.words)]
+        code = tasks.indices.fill_null(len(tasks.dictionary)).to_numpy().astype(np.int64)
+        first = np.zeros(0, np.int64)
+        for word in words:
+            _, place = np.unique(word, return_inverse=True)
+            _, first, code = np.unique(code * (place.max(initial=0) + 1) + place, return_index=True, return_inverse=True)
+        profiles = []
+        for k, task in zip(first.tolist(), part.column(TASK).take(pa.array(first)).to_pylist(), strict=True):
+            name = (task, *(int(word[k]) for word in words))
+            if name not in self.told:
+                rows = [self.rows.setdefault(r, len(self.rows)) for r in self.layout.rows(task, name[1:])]
+                self.told[name] = self.at.setdefault(np.sort(np.array(rows, np.int64)).tobytes(), len(self.at))
+            profiles.append(self.told[name])
+        return np.array(profiles, np.int64)[code]
+
     def _profiles(self, part: pa.RecordBatch) -> np.ndarray:
+        if self.layout:
+            return self._told_profiles(part)
         rows = part.column("_rows")
         parent, flat = rows.value_parent_indices().to_numpy(), rows.flatten()
         names = [MODEL, *self.statistic.columns]
@@ -286,9 +350,14 @@ def _slices(batch: pa.RecordBatch, b: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, step)
 
 
-def _poisson_sums(examples: DataFrame, statistic: Statistic, b: int, seed: int) -> DataFrame:
+def _told(examples: DataFrame) -> list[str]:
+    """The columns that tell the rows of an example."""
+    return [c for c in examples.columns if c not in (TASK, ID)]
+
+
+def _poisson_sums(examples: DataFrame, statistic: Statistic, b: int, seed: int, layout: Layout | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = _Sums(statistic, b), _poisson_counts(seed, b)
+        sums, counts = _Sums(statistic, b, layout), _poisson_counts(seed, b)
         for batch in batches:
             for part in _slices(batch, b):
                 sums.add(part, counts(part))
@@ -296,34 +365,39 @@ def _poisson_sums(examples: DataFrame, statistic: Statistic, b: int, seed: int)
                     yield from sums.take()
         yield from sums.take()
 
-    fed = examples.select(TASK, F.col(ID).cast("string").alias("_id"), "_rows")
+    fed = examples.select(TASK, F.col(ID).cast("string").alias("_id"), *_told(examples))
     return fed.mapInArrow(run, SUMS)
 
 
-def _multinomial_sums(examples: DataFrame, statistic: Statistic, b: int, seed: int) -> DataFrame:
+def _multinomial_sums(examples: DataFrame, statistic: Statistic, b: int, seed: int, layout: Layout | None = None) -> DataFrame:
     """Draws and examples of one run of positions meet in one task; the draws come first and become counts."""
     sizes = {r[TASK]: r["n"] for r in examples.groupBy(TASK).agg(F.count(F.lit(1)).alias("n")).collect()}
     placed = group_rank(examples, [TASK], [ID], "_i", largest=max(sizes.values(), default=0)).withColumn("_p", F.col("_i") - 1)
     none = {REPLICATE: F.lit(None).cast("int"), "_draws": F.lit(None).cast("binary")}
+    told = _told(examples)
     fed = placed.select(
-        TASK, F.floor(F.col("_p") / RUN).alias("_run"), *[v.alias(k) for k, v in none.items()], F.pmod("_p", F.lit(RUN)).cast("int").alias("_at"), "_rows"
+        TASK, F.floor(F.col("_p") / RUN).alias("_run"), *[v.alias(k) for k, v in none.items()], F.pmod("_p", F.lit(RUN)).cast("int").alias("_at"), *told
     )
     drawn = packed_draws(examples.sparkSession, sizes, b, seed)
-    drawn = drawn.select(TASK, "_run", REPLICATE, "_draws", F.lit(-1).alias("_at"), F.lit(None).cast(fed.schema["_rows"].dataType).alias("_rows"))
+    no_rows = [F.lit(None).cast(fed.schema[c].dataType).alias(c) for c in told]
+    drawn = drawn.select(TASK, "_run", REPLICATE, "_draws", F.lit(-1).alias("_at"), *no_rows)
     runs = sum(-(-n // RUN) for n in sizes.values())
     # About a third of a byte per count.
     parts = max(_parts(examples.sparkSession), -(-runs * RUN * b // (3 * DRAW_BYTES)))
     met = drawn.union(fed).repartition(parts, TASK, "_run").sortWithinPartitions(TASK, "_run", "_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, now, counts, turned = _Sums(statistic, b), None, np.zeros((b, RUN), np.uint8), None
+        # Rows a power of two apart would share a few places of the cache, where turning them is slow.
+        sums, now, turned, counts = _Sums(statistic, b, layout), None, None, np.zeros((b, RUN + 64), np.uint8)[:, :RUN]
         for batch in batches:
-            keys = list(zip(batch.column(TASK).to_pylist(), batch.column("_run").to_pylist(), strict=True))
-            at = batch.column("_at").to_numpy()
-            edges = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1] or (at[i] < 0) != (at[i - 1] < 0)]
-            for a, z in zip(edges, [*edges[1:], len(keys)], strict=True):
-                if keys[a] != now:
-                    now, turned = keys[a], None
+            tasks, runs, at = batch.column(TASK).dictionary_encode(), batch.column("_run").to_numpy(), batch.column("_at").to_numpy()
+            code = tasks.indices.fill_null(-1).to_numpy()
+            new = (np.diff(code) != 0) | (np.diff(runs) != 0) | (np.diff(at < 0))
+            edges = [0, *(np.flatnonzero(new) + 1).tolist()] if batch.num_rows else []
+            for a, z in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+                key = batch.column(TASK)[a].as_py(), int(runs[a])
+                if key != now:
+                    now, turned = key, None
                     counts[:] = 0
                 part = batch.slice(a, z - a)
                 if at[a] < 0:
@@ -404,18 +478,57 @@ def _values(parts: DataFrame, statistic: Statistic, b: int) -> DataFrame:
     return parts.repartition(TASK, MODEL).mapInArrow(run, f"{TASK} string, {MODEL} string, _values array<double>")
 
 
+def _told_examples(df: DataFrame, kept: list[str]) -> tuple[DataFrame, Layout] | None:
+    """(task, example, words): the rows of an example as numbers, added up before the shuffle, and their layout.
+
+    None if there are too many distinct rows, or if a model has several rows of an example.
+    """
+    spark, columns = df.sparkSession, [F.col(c).alias(f"_k{k}") for k, c in enumerate(kept)]
+    rows = df.select(F.col(TASK), F.col(ID), *columns)
+    names = [f"_k{k}" for k in range(len(kept))]
+    found = [tuple(r) for r in rows.select(*names).distinct().limit(KINDS + 1).collect()]
+    kinds = [to_arrow_type(rows.schema[n].dataType) for n in names]
+    layout = _layout(found, kinds[1:]) if len(found) <= KINDS else None
+    if layout is None:
+        return None
+    known = []
+    for k, ((model, word, low, _), values) in enumerate(zip(layout.fields, layout.values, strict=True)):
+        for code, rest in enumerate(values, start=1):
+            known.append((model, *rest, *(code << low if w == word else 0 for w in range(layout.words)), 1 << k))
+    words = [f"_w{k}" for k in range(layout.words)]
+    schema = StructType([*rows.select(*names).schema.fields, *(StructField(n, LongType()) for n in (*words, "_bit"))])
+    # At most KINDS rows, which is why they may go to every task.
+    known = F.broadcast(spark.createDataFrame(known, schema).withColumnsRenamed({n: f"_of{n}" for n in names}))
+    match = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"_of{n}")) for n in names])
+    # One row a model: then fields do not touch, and their union is their sum.
+    out = rows.join(known, match, "left").groupBy(TASK, ID).agg(
+        *[F.bit_or(w).alias(w) for w in words], (F.bit_count(F.coalesce(F.bit_or("_bit"), F.lit(0))) != F.count(F.lit(1))).alias("_more")
+    )
+    out = materialize(out, "examples")
+    if not out.where("_more").isEmpty():
+        return None
+    return out.drop("_more"), layout
+
+
+def _listed_examples(df: DataFrame, kept: list[str]) -> DataFrame:
+    """(task, example, _rows): the rows of an example as a list."""
+    # A set number of parts: what follows is far more work than the size of these rows tells.
+    spread = df.select(TASK, ID, *kept).repartition(_parts(df.sparkSession), TASK, ID)
+    return spread.groupBy(TASK, ID).agg(F.collect_list(F.struct(*kept)).alias("_rows"))
+
+
 def replicates(df: DataFrame, statistic: Statistic, b: int, seed: int, method: str = "multinomial") -> DataFrame:
     """(task, model, replicate, value) of a statistic, b rows per task and model."""
+    if method not in ("poisson", "multinomial"):
+        raise ValueError(f"unknown resampling method {method!r}")
     kept = [c for c in dict.fromkeys([MODEL, *statistic.columns])]
-    # A set number of parts: what follows is far more work than the size of these rows tells.
-    spread = df.select(TASK, ID, *kept).repartition(_parts(df.sparkSession), TASK, ID)
-    examples = spread.groupBy(TASK, ID).agg(F.collect_list(F.struct(*kept)).alias("_rows"))
+    examples, layout = _told_examples(df, kept) or (_listed_examples(df, kept), None)
     if method == "poisson":
-        sums = _poisson_sums(examples, statistic, b, seed)
-    elif method == "multinomial":
-        sums = _multinomial_sums(materialize(examples, "examples"), statistic, b, seed)
+        if layout:
+            examples = examples.repartition(_parts(df.sparkSession), TASK, ID)
+        sums = _poisson_sums(examples, statistic, b, seed, layout)
     else:
-        raise ValueError(f"unknown resampling method {method!r}")
+        sums = _multinomial_sums(examples if layout else materialize(examples, "examples"), statistic, b, seed, layout)
     values = _values(_add_keys(sums, statistic, b), statistic, b)
     return values.select(TASK, MODEL, F.posexplode("_values").alias(REPLICATE, "value"))
 

@@ -293,6 +293,45 @@ def test_profiles_are_few():
     assert [(r["model_ckpt"], r["_sums"]) for r in sent] == [(m, [20.0] * 6) for m in ("a", "b")] and not sums.at
 
 
+@pytest.mark.parametrize("method", ["multinomial", "poisson"])
+def test_examples_told_in_numbers(spark, monkeypatch, method):
+    """Rows of few kinds make no lists; lists give the same replicates, and repeated or many rows take them."""
+    from evalspark.operators import counts
+
+    df = predictions(spark, 90, 3).withColumn("y_pred", F.when(F.col("img_id") == "4", None).otherwise(F.col("y_pred")))
+    df = df.withColumn("score", F.when(F.col("img_id") == "7", float("nan")).when(F.col("img_id") == "8", -0.0).otherwise(F.col("score")))
+    listed, used = counts._listed_examples, []
+    monkeypatch.setattr(counts, "_listed_examples", lambda *a: used.append(1) or listed(*a))
+    metrics = [boot.bootstrap_accuracy, boot.bootstrap_mean, boot.bootstrap_macro_f1, lambda d, *a: boot.bootstrap_user_loss(d, [1, 3], *a)]
+
+    def table(metric, rows):
+        return [(*r[:3], None if r[3] is None else repr(round(r[3], 9))) for r in sorted(metric(rows, 7, 2, method).collect(), key=lambda r: r[:3])]
+
+    got = [table(m, df) for m in metrics]
+    assert not used
+    monkeypatch.setattr(counts, "KINDS", 1)
+    assert [table(m, df) for m in metrics] == got and len(used) == len(metrics)
+    monkeypatch.undo()
+    monkeypatch.setattr(counts, "_listed_examples", lambda *a: used.append(1) or listed(*a))
+    used.clear()
+    twice = df.union(df.where("img_id = '5'"))
+    values = table(boot.bootstrap_accuracy, twice)
+    assert len(used) == 1 and values != got[0] and [v[:3] for v in values] == [v[:3] for v in got[0]]
+
+
+def test_fields_of_words():
+    """A field for each model; what does not fit is left to lists."""
+    from evalspark.operators import counts
+
+    found = [(m, v) for m in ("a", None, "c") for v in range(2**21 - 1)]
+    layout = counts._layout(found[: 2**21 + 5], [])
+    assert layout.words == 1 and layout.rows("t", (3 << 21 | 7,)) == [("t", "a", 6), ("t", None, 2)]
+    layout = counts._layout(found, [])
+    assert [f[1:] for f in layout.fields] == [(0, 0, 21), (0, 21, 21), (1, 0, 21)]
+    assert layout.rows(None, (0, 1)) == [(None, "c", 0)]
+    assert counts._layout([(m, 0) for m in range(63)], []) is None
+
+
 def test_draws_without_the_package(tmp_path):
     """What tasks run travels with them: it works where the package can't be imported."""
     import subprocess

@@ -501,3 +501,22 @@ def test_forward_backward():
     assert np.allclose(got[:3], good / weight)
     assert np.isclose(log_z, np.log(weight) + np.log(1 + np.exp(2.0)))
     assert np.isclose(pairs_seen.sum(), 2)
+
+
+def test_perplexity_by_slices(spark, docs, no_docs):
+    """A large model goes in slices: what is shuffled is a row for each text and pass, whatever the length of the text."""
+    table = docs.select("doc_id", "lang", "text")
+    names = ["doc_id", "lang", "n_words", "kept", "base_failed", "low", "high"]
+    whole = perplexity.judge(table)
+    counted = perplexity.count(table)
+    total = counted.count()
+    sliced = perplexity.judge(table, most=0, rows=total // 5 + 1)
+    assert rows_of(sliced, *names) == rows_of(whole, *names)
+    found = [sorted((repr(r["doc_id"]), r["n_words"], r["perplexity"]) for r in x.collect()) for x in (whole, sliced)]
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 for a, b in zip(*found, strict=True))
+    sums = perplexity.slice_sums(table, perplexity.log_probabilities(counted), total // 5 + 1)
+    texts = table.count()
+    assert total > 50 * texts and sums.count() == 2 * texts
+    # Every n-gram of a text is in one of the five slices.
+    assert sums.groupBy("l", "digest").agg(F.sum("known").alias("known"), F.sum("n").alias("n")).where("known != n").isEmpty()
+    assert perplexity.judge(no_docs, most=-1, rows=1).count() == 0

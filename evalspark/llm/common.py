@@ -15,6 +15,8 @@ from evalspark.scaling import materialize
 
 # Bytes of text that one vectorised step works on; temporaries take about 60 times as much.
 STEP_BYTES = 1 << 19
+# The same for steps whose results do not depend on how rows are put together: their temporaries stay in a core's cache.
+ROW_BYTES = 1 << 17
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import Words, mix, pieces, run_hashes, table, text_bytes
+from evalspark.llm.common import ROW_BYTES, Words, mix, pieces, run_hashes, table, text_bytes
 
 MAX_DOCS = 6000
 LIMIT = 0.3
@@ -37,8 +37,21 @@ def _class(chars) -> np.ndarray:
     return out
 
 
-UPPER, LOWER, DIGIT = _class(range(65, 91)), _class(range(97, 123)), _class(range(48, 58))
-MARK, LOUD, BAR, STOP = _class(SYMBOLS), _class(b"!"), _class(b"|"), _class(b".,;:?")
+MARK = _class(SYMBOLS)
+# Kinds of bytes, each of which has one; 0 is any other.
+UPPER, LOWER, DIGIT, BAR, SIGN, LOUD, STOP, WHITE = range(1, 9)
+KINDS = np.zeros(256, np.uint8)
+for _kind, _chars in (
+    (UPPER, range(65, 91)),
+    (LOWER, range(97, 123)),
+    (DIGIT, range(48, 58)),
+    (SIGN, SYMBOLS),
+    (BAR, b"|"),
+    (LOUD, b"!"),
+    (STOP, b".,;:?"),
+    (WHITE, [32, 9, 11, 12, 13, 10]),
+):
+    KINDS[list(_chars)] = _kind
 
 
 def line_bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,16 +68,15 @@ def line_bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[ends_at] = at[1:]
     size = last - first
 
-    def total(flags: np.ndarray) -> np.ndarray:
-        run = np.concatenate([[0], np.cumsum(flags)])
-        return run[last] - run[first]
-
+    # Bytes of each kind in each line; a break counts as white space of the line that it ends.
+    line_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(data))))
+    kinds = np.bincount(line_of * (WHITE + 1) + KINDS[data], minlength=len(first) * (WHITE + 1)).reshape(-1, WHITE + 1)
     words = Words(texts)
     place = np.searchsorted(first, words.first, side="right") - 1
     # Several empty lines share a start; a word belongs to the last of them, which is the one with the text.
     n_words = np.bincount(place, minlength=len(first))
-    chars = total(~np.isin(data, [32, 9, 11, 12, 13, 10]))
-    letters = total(UPPER[data] | LOWER[data])
+    chars = kinds[:, :WHITE].sum(axis=1)
+    letters = kinds[:, UPPER] + kinds[:, LOWER]
     order = np.lexsort((words.hash, place))
     same = (words.hash[order][1:] == words.hash[order][:-1]) & (place[order][1:] == place[order][:-1])
     repeats = np.bincount(place[order][1:][same], minlength=len(first))
@@ -87,12 +99,12 @@ def line_bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     distinct = np.bincount(word_row[order][fresh], minlength=rows) / np.maximum(words.count, 1)
     w, c = np.maximum(n_words, 1), np.maximum(chars, 1)
     shares = [
-        total(UPPER[data]) / np.maximum(letters, 1),
-        total(MARK[data]) / c,
-        total(LOUD[data]) / c,
-        total(BAR[data]) / c,
-        total(STOP[data]) / c,
-        total(DIGIT[data]) / c,
+        kinds[:, UPPER] / np.maximum(letters, 1),
+        (kinds[:, SIGN] + kinds[:, BAR]) / c,
+        kinds[:, LOUD] / c,
+        kinds[:, BAR] / c,
+        kinds[:, STOP] / c,
+        kinds[:, DIGIT] / c,
         repeats / w,
         stutter / w,
         marks / w,
@@ -234,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", ROW_BYTES):
                 bins, size, lines = line_bins(batch.column("text"))
                 at = np.concatenate([[0], np.cumsum(lines)])
                 parts = [bins[a:b].astype(np.uint8).tobytes() for a, b in zip(at, at[1:], strict=False)]
@@ -263,7 +275,7 @@ def score(docs: DataFrame, model: Model, limit: float = LIMIT, keep: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", ROW_BYTES):
                 p = model.probability(model.quality(*line_bins(batch.column("text"))))
                 columns = [*[batch.column(c) for c in keep], pa.array(p), pa.array((p >= limit).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])

@@ -86,14 +86,17 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 LEDGER = "blob string, scanned array<string>, spans array<struct<rule:string,start:int,end:int>>"
 
 
-def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, known: bool = True) -> None:
+def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, known: bool = True, copies: bool = True) -> None:
     """Scan the blobs of `versions` (column text) for the rule versions that the ledger at `path` has not seen of them.
 
-    With `known` false the ledger is new and not read.
+    With `known` false the ledger is new and not read. With `copies` false the versions are expected to differ: texts are
+    scanned where they are, without a shuffle; a blob that occurs again is scanned again, which readers of the ledger merge.
     """
     spark = versions.sparkSession
     text = F.coalesce("text", F.lit(""))
-    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
+    if copies:
+        blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     seen = F.array().cast("array<string>")
     if known:
         blobs = blobs.join(read_ledger(spark, path).select("blob", F.col("scanned").alias("_seen")), "blob", "left")
